@@ -59,21 +59,33 @@ def channel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_events(spark, sf_dir).drop("utm_campaign")
 
 
-def marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as spend rows: priority as campaign, the last 60 days by order key."""
+def _spend_rows(spark: SparkSession, sf_dir: str, campaign_id: Column, campaign: Column) -> DataFrame:
     orders, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    spend = F.col("o_totalprice").cast("decimal(18,2)") * F.lit("0.01").cast("decimal(2,2)")
     return orders.join(_segments(spark, sf_dir), orders["o_custkey"] == F.col("c_custkey"), "left").select(
         F.date_sub(F.lit(AS_OF).cast("date"), (key % SPEND_DAYS).cast("int")).alias("date"),
         F.coalesce("segment", F.lit("unknown")).alias("channel"),
-        F.substring("o_orderpriority", 1, 1).alias("campaign_id"),
-        F.col("o_orderpriority").alias("campaign"),
-        (F.col("o_totalprice").cast("decimal(18,2)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(18,4)").alias("spend"),
+        campaign_id.alias("campaign_id"),
+        campaign.alias("campaign"),
+        spend.cast("decimal(18,4)").alias("spend"),
         (key % 1000 * 10 + 100).alias("impressions"),
         (key % 50 + 1).alias("clicks"),
         (key % 4).alias("conversions"),
     )
 
 
+def marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as spend rows: priority as campaign, the last 60 days by order key."""
+    priority = F.col("o_orderpriority")
+    return _spend_rows(spark, sf_dir, F.substring(priority, 1, 1), priority)
+
+
+def account_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spend with one campaign per customer."""
+    customer = F.col("o_custkey").cast("string")
+    return _spend_rows(spark, sf_dir, customer, F.concat(F.lit("account "), customer))
+
+
 def spend_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The spend rows as the tables of two platforms."""
     spend = marketing_spend(spark, sf_dir)
@@ -122,6 +134,17 @@ def _case(column: str, spellings: dict[str, str], default: str) -> str:
 _SEGMENT = "coalesce(lower(c.c_mktsegment), 'unknown')"
 _CAMPAIGN = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(CAMPAIGN_SPELLINGS))
 
+
+
+def _spend_sql(campaign_id: str, campaign: str) -> str:
+    return f"""
+        SELECT DATE '{AS_OF}' - CAST(o_orderkey % {SPEND_DAYS} AS INTEGER) AS date, {_SEGMENT} AS channel,
+               {campaign_id} AS campaign_id, {campaign} AS campaign,
+               CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,4)) AS spend,
+               o_orderkey % 1000 * 10 + 100 AS impressions, o_orderkey % 50 + 1 AS clicks, o_orderkey % 4 AS conversions
+        FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey"""
+
+
 CTES = {
     "user_events": f"""
         SELECT CAST(e.user_id AS VARCHAR) AS user_id, e.event_id, e.ts, e.event_type, CAST(e.ts AS DATE) AS event_date,
@@ -130,12 +153,8 @@ CTES = {
                  AS utm_campaign,
                CASE WHEN e.event_type = 'purchase' THEN CAST(e.value AS DECIMAL(18,2)) ELSE 0 END AS revenue
         FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""",
-    "marketing_spend": f"""
-        SELECT DATE '{AS_OF}' - CAST(o_orderkey % {SPEND_DAYS} AS INTEGER) AS date, {_SEGMENT} AS channel,
-               substr(o_orderpriority, 1, 1) AS campaign_id, o_orderpriority AS campaign,
-               CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,4)) AS spend,
-               o_orderkey % 1000 * 10 + 100 AS impressions, o_orderkey % 50 + 1 AS clicks, o_orderkey % 4 AS conversions
-        FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""",
+    "marketing_spend": _spend_sql("substr(o_orderpriority, 1, 1)", "o_orderpriority"),
+    "account_spend": _spend_sql("CAST(o_custkey AS VARCHAR)", "'account ' || o_custkey"),
     "spend_data": f"""
         SELECT CASE WHEN channel IN {META_CHANNELS} THEN 'meta_marketing_spend' ELSE 'google_marketing_spend' END
                  AS source_table, *
