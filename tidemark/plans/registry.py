@@ -1,5 +1,5 @@
 """All queries in one table: name to (Spark function, SQL)."""
 
-from tidemark.plans import behaviour, mapping, revenue, summaries
+from tidemark.plans import behaviour, mapping, revenue, summaries, tables
 
-ALL = {**behaviour.QUERIES, **revenue.QUERIES, **summaries.QUERIES, **mapping.QUERIES}
+ALL = {**behaviour.QUERIES, **revenue.QUERIES, **summaries.QUERIES, **mapping.QUERIES, **tables.QUERIES}
