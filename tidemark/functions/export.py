@@ -19,7 +19,7 @@ def report_types(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             column = column.cast("bigint")
         elif isinstance(field.dataType, T.DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
+            column = column.cast("string")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             column = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'")
         columns.append(column.alias(field.name))

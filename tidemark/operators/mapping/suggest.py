@@ -67,8 +67,8 @@ def _channel_candidates(unmatched: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def _campaign_candidates(keys: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Best spend campaign per ``(utm_campaign, hint)``.
+def _campaign_candidates(keys: DataFrame, names: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``keys`` with the best spend campaign of each ``(utm_campaign, hint)``; ``names`` holds their campaigns.
 
     Campaigns of the hinted channel are considered first; all campaigns only
     when the hint names no channel with spend.
@@ -82,7 +82,7 @@ def _campaign_candidates(keys: DataFrame, catalog: DataFrame) -> DataFrame:
     overall = catalog.groupBy("campaign").agg(
         F.min(_spend_order()).alias("spend_order"), F.min_by(row, _spend_order()).alias("target")
     )
-    pairs = similar_names(keys.select("utm_campaign"), catalog.select("campaign"), CAMPAIGN_THRESHOLD).select(
+    pairs = similar_names(names, catalog.select("campaign"), CAMPAIGN_THRESHOLD).select(
         F.col("left_name").alias("utm_campaign"), F.col("right_name").alias("campaign"), "score"
     )
     best = F.min(F.struct((-F.col("score")).alias("cost"), F.col("spend_order"), F.col("target"), F.col("score")))
@@ -131,7 +131,7 @@ def suggest_mappings(
     )
     if with_campaign:
         hinted = keyed.filter(F.col("utm_campaign") != "").withColumn("hint", F.coalesce("candidate", "channel_key"))
-        campaigns = _campaign_candidates(hinted, catalog).select(
+        campaigns = _campaign_candidates(hinted, unmatched.select("utm_campaign"), catalog).select(
             F.lit(CAMPAIGN).alias("scope"),
             F.col("match.target.campaign").alias("canonical_value"),
             F.col("utm_campaign").alias("alias"),

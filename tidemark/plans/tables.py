@@ -86,7 +86,8 @@ def _contract_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _json(frame: DataFrame, *columns: Column) -> DataFrame:
     """Rows as JSON text; null fields are left out, as in real payloads."""
-    return frame.select(F.to_json(F.struct(*columns)).alias("value"))
+    # Through an explode, so that the text is built once however often it is used.
+    return frame.select(F.explode_outer(F.array(F.to_json(F.struct(*columns)))).alias("value"))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +220,7 @@ def _google_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("metrics"),
     )
     lines = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(result).alias("results"))
-    return lines.select(F.to_json(F.array(F.struct("results"))).alias("value"))
+    return lines.select(F.explode_outer(F.array(F.to_json(F.array(F.struct("results"))))).alias("value"))
 
 
 def _google_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +275,7 @@ def _raw_mixpanel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = F.to_json(F.struct(F.col("event_type").alias("event"), properties.alias("properties")))
     cut = F.when(number % 50 == 0, F.substring(lines, 1, 30)).otherwise(lines)
-    return tables.read(spark, sf_dir, "events").select(cut.alias("value"))
+    return tables.read(spark, sf_dir, "events").select(F.explode_outer(F.array(cut)).alias("value"))
 
 
 def _mixpanel_events(spark: SparkSession, sf_dir: str) -> DataFrame:

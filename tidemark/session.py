@@ -17,6 +17,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+    # Plans are built from thousands of small expressions; do not record a call site for each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -22,14 +22,19 @@ PAYLOAD = "value"
 def unpack_pages(pages: DataFrame, field: str = "data", column: str = PAYLOAD) -> DataFrame:
     """The objects of paged API responses ``{"<field>": [...]}``, one per row."""
     items = F.from_json(F.col(column), f"`{field}` array<string>")[field]
-    return pages.select(F.explode(items).alias(PAYLOAD))
+    return pages.select(F.explode_outer(items).alias(PAYLOAD)).filter(F.col(PAYLOAD).isNotNull())
 
 
 def _parse(raw: DataFrame, schema: str, column: str) -> DataFrame:
-    """The payload as struct ``p``; rows that do not parse to an object are dropped."""
-    marked = F.from_json(F.col(column), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    parsed = raw.filter(F.trim(F.col(column)).startswith("{")).select(F.col(column).alias(PAYLOAD), marked.alias("p"))
-    return parsed.filter(F.col("p").isNotNull() & F.col("p._bad").isNull())
+    """The payload as struct ``p``; rows that do not parse to an object are dropped.
+
+    The parsed struct passes through an (outer) explode. Filters on it then stay
+    behind the explode instead of being pushed down as further copies of the
+    parser, so each text is parsed once.
+    """
+    parsed = F.from_json(F.col(column), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    objects = raw.filter(F.ltrim(F.col(column)).startswith("{"))
+    return objects.select(F.explode_outer(F.array(parsed)).alias("p")).filter("p IS NOT NULL AND p._bad IS NULL")
 
 
 def _text(name: str) -> Column:
@@ -195,8 +200,10 @@ def normalize_meta_spend(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
 def _google_results(raw: DataFrame, result: str, column: str) -> DataFrame:
     """The results of report batches; a single batch counts as a list of one."""
     batches = F.from_json(F.col(column), f"array<struct<results:array<struct<{result}>>>>")
-    results = F.flatten(F.transform(batches, lambda batch: F.coalesce(batch["results"], F.array().cast(f"array<struct<{result}>>"))))
-    return raw.select(F.explode(results).alias("p"))
+    none = F.array().cast(f"array<struct<{result}>>")
+    results = F.flatten(F.transform(batches, lambda batch: F.coalesce(batch["results"], none)))
+    # Outer for the same reason as in _parse: an inner explode would test, and parse, its input twice.
+    return raw.select(F.explode_outer(results).alias("p")).filter("p IS NOT NULL")
 
 
 def normalize_google_campaigns(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
