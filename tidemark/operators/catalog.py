@@ -88,14 +88,16 @@ def profile_table(table: DataFrame, approx: bool = False) -> DataFrame:
             F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
             F.count("value").alias("distinct_count"),
         )
-        # The rank limit is applied within each partition first, so no task sees all values of a column.
+        # The rank limit is applied within each partition first, so no task sees all values of a
+        # column. The samples carry their counts so that both branches share one exchange.
         rank = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
+        found = F.array_sort(F.collect_list(F.struct("value", "n")))
         samples = (
             values.filter(F.col("value").isNotNull())
             .withColumn("rank", rank)
             .filter(F.col("rank") <= SAMPLES)
             .groupBy("column_name")
-            .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("samples"))
+            .agg(F.array_join(F.transform(found, lambda item: item["value"]), ", ").alias("samples"))
         )
         stats = counts.join(samples, "column_name", "left")
     zero = F.lit(0).cast("bigint")
