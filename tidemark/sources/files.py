@@ -6,6 +6,7 @@ import logging
 import re
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -71,7 +72,7 @@ def load_csv_dir(
         name = table_name(path.rsplit("/", 1)[-1][: -len(".csv")])
         try:
             tables[name] = load_csv(spark, path, name, (schemas or {}).get(name))
-        except PySparkException as error:
+        except (PySparkException, Py4JError) as error:
             log.error("skipped %s: %s", path, error)
     return tables
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +44,7 @@ class SourceRegistry:
         for url, table in self.jdbc_tables:
             try:
                 frame = load_jdbc(spark, url, table)
-            except PySparkException as error:
+            except (PySparkException, Py4JError) as error:
                 log.error("skipped table %s: %s", table, error)
                 continue
             name = f"pg_{table_name(table)}"
