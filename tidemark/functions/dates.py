@@ -34,6 +34,11 @@ def before(column: Column, as_of: DateLike, days: int) -> Column:
     return (column >= F.lit(start)) & (column < F.lit(end))
 
 
+def since_both(column: Column, as_of: DateLike, days: int) -> Column:
+    """The current and the previous period together, as one bound for the scan."""
+    return since(column, as_of, 2 * days)
+
+
 def between_days(column: Column, first: DateLike | None, last: DateLike | None) -> Column:
     """Inclusive day range for a date or timestamp column; an open side for None."""
     bounds = []

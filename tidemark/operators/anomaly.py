@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.dates import DateLike, before, since, to_date
+from tidemark.functions.dates import DateLike, before, since, since_both, to_date
 from tidemark.functions.numeric import count_if, mean, rounded
 
 SPIKE, DROP, ELEVATED, BELOW, NORMAL = "Spike", "Drop", "Elevated", "Below Normal", "Normal"
@@ -85,7 +85,7 @@ def _drift(table: DataFrame, metric: str, as_of: DateLike, date_col: str, lookba
         return F.when(then != 0, (now - then) / then * 100)
 
     return (
-        table.filter(current | previous)
+        table.filter(since_both(F.col(date_col), as_of, lookback_days))
         .agg(*measures)
         .withColumn("avg_change", change("avg"))
         .withColumn("total_change", change("total"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.dates import DateLike, before, since
+from tidemark.functions.dates import DateLike, before, since, since_both
 from tidemark.functions.numeric import change_pct, percent, ratio, rounded, sum_if
 
 SPEND_COLUMNS = ("channel", "campaign_id", "campaign", "date", "spend", "clicks", "impressions")
@@ -33,7 +33,7 @@ def campaign_performance(spend: DataFrame, as_of: DateLike, days: int = 30) -> D
     current, previous = since(F.col("date"), as_of, days), before(F.col("date"), as_of, days)
     # Rows outside both periods add nothing but zeros, so the scan need not read them.
     rollup = (
-        spend.filter(current | previous)
+        spend.filter(since_both(F.col("date"), as_of, days))
         .groupBy("channel", "campaign_id", "campaign")
         .agg(
             *[sum_if(current, F.col(n)).alias(f"current_{n}") for n in ("spend", "clicks", "impressions", "conversions")],

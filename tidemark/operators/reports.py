@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.dates import DateLike, before, since
+from tidemark.functions.dates import DateLike, before, since, since_both
 from tidemark.functions.numeric import change_pct, count_if, ratio, rounded, sum_if
 from tidemark.operators.acquisition import best_channels, compute_cac_ltv
 from tidemark.operators.anomaly import detect_anomalies
@@ -48,12 +48,12 @@ def growth_summary(spend: DataFrame, events: DataFrame, as_of: DateLike, days: i
     distinct users of both periods from one shuffle.
     """
     current, previous = _periods("date", as_of, days)
-    spend_totals = spend.filter(current | previous).agg(
+    spend_totals = spend.filter(since_both(F.col("date"), as_of, days)).agg(
         *_sums({"spend": F.col("spend"), "conversions": F.col("conversions")}, current, previous)
     )
     current, previous = _periods("event_date", as_of, days)
     users = (
-        events.filter(current | previous)
+        events.filter(since_both(F.col("event_date"), as_of, days))
         .groupBy("user_id")
         .agg(
             F.max(F.when(current, 1).otherwise(0)).alias("now"),
@@ -153,7 +153,7 @@ def paid_growth_review(spend: DataFrame, invoices: DataFrame, as_of: DateLike, d
     """Paid spend, clicks, impressions and conversions against paid invoice revenue, with blended MER."""
     current, previous = _periods("date", as_of, days)
     names = ("spend", "clicks", "impressions", "conversions")
-    paid = spend.filter(current | previous).agg(*_sums({n: F.col(n) for n in names}, current, previous))
+    paid = spend.filter(since_both(F.col("date"), as_of, days)).agg(*_sums({n: F.col(n) for n in names}, current, previous))
     revenue = stripe_revenue_totals(invoices, as_of, days).select(
         F.struct(F.col("current_revenue").alias("now"), F.col("previous_revenue").alias("then"))
     )
@@ -181,7 +181,7 @@ def paid_channel_mix(spend: DataFrame, as_of: DateLike, days: int = 30) -> DataF
 
 def _ads_summary(spend: DataFrame, as_of: DateLike, days: int, metrics: dict[str, str]) -> DataFrame:
     current, previous = _periods("date", as_of, days)
-    totals = spend.filter(current | previous).agg(*_sums({n: F.col(n) for n in metrics}, current, previous))
+    totals = spend.filter(since_both(F.col("date"), as_of, days)).agg(*_sums({n: F.col(n) for n in metrics}, current, previous))
     return _metric_rows(totals, metrics)
 
 
@@ -199,7 +199,7 @@ def google_ads_summary(spend: DataFrame, as_of: DateLike, days: int = 30) -> Dat
 def stripe_revenue_totals(invoices: DataFrame, as_of: DateLike, days: int = 30) -> DataFrame:
     """One row: revenue and number of paid invoices of both periods."""
     current, previous = _periods("created", as_of, days)
-    paid = invoices.filter((F.col("status") == "paid") & (current | previous))
+    paid = invoices.filter((F.col("status") == "paid") & since_both(F.col("created"), as_of, days))
     return paid.agg(
         *_sums({"revenue": F.col("amount_paid")}, current, previous),
         count_if(current).alias("current_invoices"),

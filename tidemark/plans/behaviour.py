@@ -36,19 +36,19 @@ _ANALYZED = f"""
 
 
 def _funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_types(funnel.funnel_conversion(tables.user_events(spark, sf_dir), STEPS, DAY, DAY))
+    return report_types(funnel.funnel_conversion(tables.plain_events(spark, sf_dir), STEPS, DAY, DAY))
 
 
 def _analyze_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_types(funnel.analyze_funnel(tables.user_events(spark, sf_dir), STEPS, DAY, DAY)).drop("description")
+    return report_types(funnel.analyze_funnel(tables.plain_events(spark, sf_dir), STEPS, DAY, DAY)).drop("description")
 
 
 def _funnel_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_types(funnel.funnel_ab_comparison(tables.user_events(spark, sf_dir), STEPS, PERIOD_A, PERIOD_B))
+    return report_types(funnel.funnel_ab_comparison(tables.plain_events(spark, sf_dir), STEPS, PERIOD_A, PERIOD_B))
 
 
 def _funnel_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = funnel.funnel_diagnosis(tables.user_events(spark, sf_dir), STEPS, AS_OF, DAY, DAY, inactive_days=1)
+    parts = funnel.funnel_diagnosis(tables.plain_events(spark, sf_dir), STEPS, AS_OF, DAY, DAY, inactive_days=1)
     steps = parts["funnel"].select(F.lit("funnel").alias("section"), F.col("step").alias("item"), "users", F.col("conversion_pct").alias("pct"))
     segments = parts["churn"].select(F.lit("churn").alias("section"), F.col("segment").alias("item"), "users", "pct")
     return report_types(steps.unionByName(segments))
@@ -56,7 +56,7 @@ def _funnel_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _funnel_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every preset over all events."""
-    events = tables.user_events(spark, sf_dir)
+    events = tables.plain_events(spark, sf_dir)
     result = None
     for name in funnel.PRESETS:
         part = funnel.funnel_conversion(events, name).withColumn("preset", F.lit(name))
@@ -154,7 +154,7 @@ def _retention_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retention_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    purchases = tables.user_events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    purchases = tables.plain_events(spark, sf_dir).filter(F.col("event_type") == "purchase")
     return report_types(retention.cohort_retention(purchases, "week"))
 
 
@@ -194,7 +194,7 @@ _PCT = sql_round("100.0 * count(*) / sum(count(*)) OVER ()", 1)
 
 
 def _churn_inactivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    purchases = tables.user_events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    purchases = tables.plain_events(spark, sf_dir).filter(F.col("event_type") == "purchase")
     return report_types(churn.churn_inactivity(purchases, AS_OF, 6))
 
 
@@ -218,7 +218,7 @@ def _churn_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _analyze_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_types(churn.analyze_churn(tables.user_events(spark, sf_dir), AS_OF, 1))
+    return report_types(churn.analyze_churn(tables.plain_events(spark, sf_dir), AS_OF, 1))
 
 
 QUERIES = {

@@ -34,37 +34,46 @@ def _choice(index: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with the user's segment as source and a campaign picked by the event's ``k``."""
+def plain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a campaign picked by the event's ``k``, but without a source.
+
+    The source needs a join with the customers; queries that do not look at it
+    start from here and have none.
+    """
     k = F.get_json_object("props", "$.k").try_cast("int")
-    source = F.coalesce("segment", F.lit("unknown"))
-    for plain, spelled in SOURCE_SPELLINGS.items():
-        source = F.when(F.col("segment") == plain, F.lit(spelled)).otherwise(source)
     amount = F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(18,2)"))
-    events = read(spark, sf_dir, "events")
-    return events.join(_segments(spark, sf_dir), events["user_id"] == F.col("c_custkey"), "left").select(
+    return read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("customer"),
         F.col("user_id").cast("string").alias("user_id"),
         "event_id",
         "ts",
         "event_type",
         F.to_date("ts").alias("event_date"),
-        source.alias("utm_source"),
         F.coalesce(_choice(k % 5, CAMPAIGN_SPELLINGS), F.lit("")).alias("utm_campaign"),
         F.coalesce(amount, F.lit(0).cast("decimal(18,2)")).alias("revenue"),
     )
 
 
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with campaign and, as source, the segment of the user."""
+    source = F.coalesce("segment", F.lit("unknown"))
+    for plain, spelled in SOURCE_SPELLINGS.items():
+        source = F.when(F.col("segment") == plain, F.lit(spelled)).otherwise(source)
+    joined = plain_events(spark, sf_dir).join(_segments(spark, sf_dir), F.col("customer") == F.col("c_custkey"), "left")
+    return joined.withColumn("utm_source", source).drop("customer", "c_custkey", "segment")
+
+
 def channel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events without a campaign name."""
     return user_events(spark, sf_dir).drop("utm_campaign")
 
 
 def _spend_rows(spark: SparkSession, sf_dir: str, campaign_id: Column, campaign: Column) -> DataFrame:
-    orders, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    key = F.col("o_orderkey")
     spend = F.col("o_totalprice").cast("decimal(18,2)") * F.lit("0.01").cast("decimal(2,2)")
-    return orders.join(_segments(spark, sf_dir), orders["o_custkey"] == F.col("c_custkey"), "left").select(
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("customer"),
         F.date_sub(F.lit(AS_OF).cast("date"), (key % SPEND_DAYS).cast("int")).alias("date"),
-        F.coalesce("segment", F.lit("unknown")).alias("channel"),
         campaign_id.alias("campaign_id"),
         campaign.alias("campaign"),
         spend.cast("decimal(18,4)").alias("spend"),
@@ -74,16 +83,28 @@ def _spend_rows(spark: SparkSession, sf_dir: str, campaign_id: Column, campaign:
     )
 
 
-def marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as spend rows: priority as campaign, the last 60 days by order key."""
+def _with_channel(spark: SparkSession, sf_dir: str, spend: DataFrame) -> DataFrame:
+    joined = spend.join(_segments(spark, sf_dir), F.col("customer") == F.col("c_custkey"), "left")
+    return joined.withColumn("channel", F.coalesce("segment", F.lit("unknown"))).select(
+        "date", "channel", "campaign_id", "campaign", "spend", "impressions", "clicks", "conversions"
+    )
+
+
+def plain_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as spend rows of the last 60 days by order key, without a channel and so without a join."""
     priority = F.col("o_orderpriority")
     return _spend_rows(spark, sf_dir, F.substring(priority, 1, 1), priority)
 
 
+def marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as spend rows: priority as campaign, the customer's segment as channel."""
+    return _with_channel(spark, sf_dir, plain_spend(spark, sf_dir))
+
+
 def account_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same spend with one campaign per customer."""
     customer = F.col("o_custkey").cast("string")
-    return _spend_rows(spark, sf_dir, customer, F.concat(F.lit("account "), customer))
+    return _with_channel(spark, sf_dir, _spend_rows(spark, sf_dir, customer, F.concat(F.lit("account "), customer)))
 
 
 def spend_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -114,7 +135,7 @@ def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journeys: every event is a touch of the channel that its campaign stands for."""
-    return user_events(spark, sf_dir).select("user_id", "event_id", "ts", F.col("utm_campaign").alias("channel"), "revenue")
+    return plain_events(spark, sf_dir).select("user_id", "event_id", "ts", F.col("utm_campaign").alias("channel"), "revenue")
 
 
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:

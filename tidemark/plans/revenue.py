@@ -85,7 +85,7 @@ def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spend_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_types(anomaly.detect_anomalies(tables.marketing_spend(spark, sf_dir), "spend", AS_OF, lookback_days=60))
+    return report_types(anomaly.detect_anomalies(tables.plain_spend(spark, sf_dir), "spend", AS_OF, lookback_days=60))
 
 
 def _explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def _drift_ctes(days: int) -> dict[str, str]:
 
 def _forecast(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        events = tables.user_events(spark, sf_dir)
+        events = tables.plain_events(spark, sf_dir)
         return report_types(forecast.forecast_metric(events, "revenue", AS_OF, "event_date", HORIZON, method))
 
     return run
@@ -137,13 +137,13 @@ def _smoothing_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = tables.user_events(spark, sf_dir)
+    events = tables.plain_events(spark, sf_dir)
     outlook = forecast.forecast_metric(events, "revenue", AS_OF, "event_date", HORIZON)
     return report_types(forecast.with_trend(outlook))
 
 
 def _kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spend, events = tables.marketing_spend(spark, sf_dir), tables.user_events(spark, sf_dir)
+    spend, events = tables.plain_spend(spark, sf_dir), tables.plain_events(spark, sf_dir)
     return report_types(forecast.forecast_growth_kpis(spend, events, AS_OF, 30))
 
 

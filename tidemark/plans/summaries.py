@@ -16,12 +16,17 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tables.marketing_spend(spark, sf_dir), tables.user_events(spark, sf_dir)
 
 
+def _totals_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Spend and events for totals over all channels."""
+    return tables.plain_spend(spark, sf_dir), tables.plain_events(spark, sf_dir)
+
+
 def _spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaigns.spend_union(tables.spend_tables(spark, sf_dir))
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.growth_summary(*_inputs(spark, sf_dir), AS_OF)
+    return reports.growth_summary(*_totals_inputs(spark, sf_dir), AS_OF)
 
 
 def _now(column: str, days: int) -> str:
@@ -177,7 +182,7 @@ QUERIES = {
         ),
     ),
     "weekly_report": (
-        lambda spark, d: report_types(reports.weekly_report(*_inputs(spark, d), AS_OF)),
+        lambda spark, d: report_types(reports.weekly_report(*_totals_inputs(spark, d), AS_OF)),
         with_tables(
             _NAMES,
             _SUMMARY
@@ -253,7 +258,7 @@ QUERIES = {
         ),
     ),
     "mixpanel_events_summary": (
-        lambda spark, d: report_types(reports.mixpanel_events_summary(tables.user_events(spark, d).withColumnRenamed("event_type", "event"))),
+        lambda spark, d: report_types(reports.mixpanel_events_summary(tables.plain_events(spark, d).withColumnRenamed("event_type", "event"))),
         _share_sql("user_events", "event", "(SELECT event_type AS event FROM user_events)", "events"),
     ),
     "amplitude_events_summary": (

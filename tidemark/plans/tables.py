@@ -61,7 +61,7 @@ def _load_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _write_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events partitioned by day, read back for one week: only its folders are scanned."""
     path = scratch_dir(spark)
-    files.write_extract(tables.user_events(spark, sf_dir), path, "parquet", partition_by=["event_date"])
+    files.write_extract(tables.plain_events(spark, sf_dir), path, "parquet", partition_by=["event_date"])
     week = spark.read.parquet(path).filter(F.col("event_date") >= F.lit("2024-01-23").cast("date"))
     return report_types(week.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"), F.sum("revenue").alias("revenue")))
 
@@ -375,7 +375,7 @@ def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A data set without campaigns, with an aliased and a missing column."""
     broken = {
         "marketing_spend": tables.marketing_spend(spark, sf_dir).withColumnRenamed("spend", "cost").drop("channel"),
-        "user_events": tables.user_events(spark, sf_dir).drop("ts"),
+        "user_events": tables.plain_events(spark, sf_dir).drop("ts"),
     }
     return report_types(catalog.validate_contracts(broken, "2024-02-05"))
 

@@ -87,10 +87,14 @@ def write_extract(
     """Write a normalized table; returns its path, or '' without writing when it has no rows.
 
     Partition spend and events by their date column: the date windows of the
-    operators then prune whole folders.
+    operators then prune whole folders. Rows of one partition value are brought
+    together before writing, so that tasks do not leave one small file each per
+    value; the rebalance splits a value that holds too many rows for one task.
     """
     if table.isEmpty():
         return ""
+    if partition_by:
+        table = table.hint("rebalance", *partition_by)
     writer = table.write.mode(mode).format(file_format)
     if file_format == "csv":
         writer = writer.option("header", True)
