@@ -7,7 +7,7 @@ rows. ``CTES`` states the same tables in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The day all windows count back from, and how spend spreads over days.
 AS_OF = "2024-01-30"
@@ -20,9 +20,16 @@ CAMPAIGN_SPELLINGS = ("1_urgent", "2 HIGH", "3.medium", "not_specified_4", "low"
 META_CHANNELS = ("automobile", "building")
 
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; its schema is inferred once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
