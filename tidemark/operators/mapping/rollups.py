@@ -108,7 +108,9 @@ def attribution_bridge(
     """Spend keys with the sign-ups, purchasers and revenue that follow from them, best first."""
     by_campaign = has_campaigns(events)
     spent = spend_rollup(spend, rules, as_of, by_campaign).filter(F.col("spend_30d") >= max(float(min_spend), 0.0))
-    earned = event_rollup(events, rules, as_of, revenue_event, by_campaign)
+    # Other events only add keys without counts, which the left join treats like missing ones.
+    counted = events.filter(F.col("event_type").isin("signup", revenue_event))
+    earned = event_rollup(counted, rules, as_of, revenue_event, by_campaign)
     revenue, purchasers = zero_if_null(F.col("revenue_30d")), zero_if_null(F.col("purchasers_30d"))
     return (
         spent.join(earned, key_columns(by_campaign), "left")
