@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tidemark.operators.mapping import coverage, rollups, rules, store, suggest
+from tidemark.operators.mapping.profile import build_profile, read_profile
 from tidemark.session import scratch_dir, snapshot
 
 AS_OF = "2026-03-12"
@@ -178,3 +179,27 @@ def test_suggestions_across_channels(spark, spend_rows, event_rows):
         ("campaign", "sale spring"): ("Spring Sale", "linkedin", 1.0),
         ("campaign", "spring-sale!"): ("Spring Sale", "google_ads", 0.91),
     }
+
+
+def test_profile_outlives_its_inputs(spark, spend_rows, event_rows):
+    path = scratch_dir(spark)
+    current = rules.all_rules(spark)
+    built = build_profile(spend_rows(GOOGLE, META), event_rows(BRAND, FACEBOOK, LINKEDIN), current, AS_OF, path=path)
+    loaded = read_profile(spark, path)
+    assert loaded.keys() == built.keys()
+    assert [(r.alias, r.canonical_value) for r in loaded["suggestions"].collect()] == [("brand_search", "Brand Search - US")]
+    assert {r.utm_source for r in loaded["unmatched_events"].collect()} == {"google ads", "linkedin"}
+    assert loaded["coverage"].first().matched_keys == 1
+    plan = store.plan_apply(loaded["suggestions"], store.active_rules(store.read_history(spark, scratch_dir(spark))), current, loaded["coverage"], min_confidence=0.7)
+    assert [r.status for r in plan.collect()] == ["applied"]
+
+
+def test_rules_by_channel_without_campaigns(spark, spend_rows, event_rows):
+    """Without campaign names everything works by channel."""
+    events = event_rows(("u", "purchase", "2026-03-06", "linkedinn", None, 80.0)).drop("utm_campaign")
+    spend = spend_rows(("2026-03-06", "linkedin", "1", "Spring", 500.0, 1, 1, 1.0))
+    profile = build_profile(spend, events, rules.all_rules(spark), AS_OF)
+    assert [(r.scope, r.alias, r.canonical_value) for r in profile["suggestions"].collect()] == [("channel", "linkedinn", "linkedin")]
+    assert [(r.channel, r.campaign) for r in profile["unmatched_spend"].collect()] == [("linkedin", "linkedin")]
+    preview = suggest.preview_mappings(spend, events, rules.all_rules(spark), profile["suggestions"], AS_OF)
+    assert {r.metric: r.preview for r in preview.collect()}["Matched keys"] == 1.0

@@ -15,9 +15,14 @@ from tidemark.functions.dates import DateLike, days_before
 from tidemark.functions.numeric import percent
 
 Catalog = Mapping[str, DataFrame]
+# Issue texts and the limits of the freshness grades in days.
+MISSING_TABLE = "Missing canonical table."
+MISSING_COLUMN = "Missing required column `{}`."
+ALIASED_COLUMN = "Missing canonical column `{}` but alias detected."
+FRESH_DAYS, STALE_DAYS = 2, 14
+
 SHOWN_COLUMNS = 6
 SAMPLES = 5
-FRESH_DAYS, STALE_DAYS = 2, 14
 
 
 def _stacked(frames: list[DataFrame]) -> DataFrame:
@@ -194,16 +199,16 @@ def contract_issues(catalog: Catalog, contracts: Mapping[str, Contract] = CONTRA
     issues = []
     for name, contract in contracts.items():
         if name not in catalog:
-            issues.append((name, "error", "Missing canonical table."))
+            issues.append((name, "error", MISSING_TABLE))
             continue
         present = {field.name: field.dataType for field in catalog[name].schema.fields}
         for column in contract.required:
             if column in present:
                 continue
             if any(alias in present for alias in contract.aliases.get(column, ())):
-                issues.append((name, "warning", f"Missing canonical column `{column}` but alias detected."))
+                issues.append((name, "warning", ALIASED_COLUMN.format(column)))
             else:
-                issues.append((name, "error", f"Missing required column `{column}`."))
+                issues.append((name, "error", MISSING_COLUMN.format(column)))
         for column, wanted in {**contract.required, **contract.optional}.items():
             found = present.get(column)
             if found is not None and found != wanted and not _compatible(found, wanted):

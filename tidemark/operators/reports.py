@@ -12,6 +12,11 @@ from tidemark.operators.acquisition import best_channels, compute_cac_ltv
 from tidemark.operators.anomaly import detect_anomalies
 
 
+# Texts of the summaries.
+NO_WINS, NO_RISKS = "No major wins detected.", "No major risks detected."
+GREW, DECLINED, NO_PRIOR = " grew %+.1f%% to ", " declined %+.1f%% to ", " (no prior period for comparison)"
+
+
 def _periods(date_col: str, as_of: DateLike, days: int) -> tuple[Column, Column]:
     """Conditions of the current and the previous period."""
     return since(F.col(date_col), as_of, days), before(F.col(date_col), as_of, days)
@@ -96,8 +101,8 @@ def executive_summary(summary: DataFrame) -> DataFrame:
     text = F.format_string("%s %+.1f%%", F.col("metric"), F.col("change_pct"))
     wins, risks = _listed(F.col("change_pct") > 0, text), _listed(F.col("change_pct") < 0, text)
     return summary.agg(wins.alias("wins"), risks.alias("risks")).select(
-        F.coalesce(F.nullif("wins", F.lit("")), F.lit("No major wins detected.")).alias("wins"),
-        F.coalesce(F.nullif("risks", F.lit("")), F.lit("No major risks detected.")).alias("risks"),
+        F.coalesce(F.nullif("wins", F.lit("")), F.lit(NO_WINS)).alias("wins"),
+        F.coalesce(F.nullif("risks", F.lit("")), F.lit(NO_RISKS)).alias("risks"),
     )
 
 
@@ -109,9 +114,9 @@ def narrative_growth_review(summary: DataFrame) -> DataFrame:
     """
     change, value = F.col("change_pct"), F.format_number("current_value", 0)
     sentence = (
-        F.when(change.isNull(), F.concat("metric", F.lit(" is "), value, F.lit(" (no prior period for comparison)")))
-        .when(change > 0, F.concat("metric", F.format_string(" grew %+.1f%% to ", change), value))
-        .otherwise(F.concat("metric", F.format_string(" declined %+.1f%% to ", change), value))
+        F.when(change.isNull(), F.concat("metric", F.lit(" is "), value, F.lit(NO_PRIOR)))
+        .when(change > 0, F.concat("metric", F.format_string(GREW, change), value))
+        .otherwise(F.concat("metric", F.format_string(DECLINED, change), value))
     )
     group = F.when(change.isNull(), 3).when(change > 0, 1).otherwise(2)
     lines = F.array_sort(F.collect_list(F.struct(group.alias("g"), F.col("metric_order"), sentence.alias("text"))))

@@ -55,14 +55,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def snapshot(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` once, to the shared folder unless ``path`` is given, and read it back.
 
     For a result that several later jobs start from (for example suggestions
     that are reviewed, previewed and then applied): it cuts the lineage and,
     unlike a cache, survives the loss of executors.
     """
     spark = df.sparkSession
-    path = scratch_dir(spark)
+    path = path or scratch_dir(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
