@@ -94,12 +94,12 @@ def profile_table(table: DataFrame, approx: bool = False) -> DataFrame:
             F.count("value").alias("distinct_count"),
         )
         # The rank limit is applied within each partition first, so no task sees all values of a
-        # column. The samples carry their counts so that both branches share one exchange.
-        rank = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
-        found = F.array_sort(F.collect_list(F.struct("value", "n")))
+        # column. The samples carry their counts and drop nulls only at the end, so that both
+        # branches share one exchange.
+        rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.asc_nulls_last("value")))
+        found = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "n"))))
         samples = (
-            values.filter(F.col("value").isNotNull())
-            .withColumn("rank", rank)
+            values.withColumn("rank", rank)
             .filter(F.col("rank") <= SAMPLES)
             .groupBy("column_name")
             .agg(F.array_join(F.transform(found, lambda item: item["value"]), ", ").alias("samples"))
