@@ -24,7 +24,7 @@ def table_name(stem: str) -> str:
 def _default_schema(name: str, header: Sequence[str]) -> T.StructType | None:
     """The contract's types in the file's own column order, when the contract knows every column."""
     contract = CONTRACTS.get(name)
-    if contract is None:
+    if contract is None or not header:
         return None
     known = {f.name: f.dataType for f in contract.schema.fields}
     for canonical, aliases in contract.aliases.items():
@@ -48,6 +48,8 @@ def load_csv(
     if schema is None:
         schema = _default_schema(name, reader.csv(path).columns)
     table = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    if not table.columns:
+        raise ValueError(f"{path} has no columns")
     table.createOrReplaceTempView(name)
     return table
 
@@ -72,7 +74,7 @@ def load_csv_dir(
         name = table_name(path.rsplit("/", 1)[-1][: -len(".csv")])
         try:
             tables[name] = load_csv(spark, path, name, (schemas or {}).get(name))
-        except (PySparkException, Py4JError) as error:
+        except (PySparkException, Py4JError, ValueError) as error:
             log.error("skipped %s: %s", path, error)
     return tables
 
