@@ -324,13 +324,13 @@ def _amplitude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _amplitude_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One listing per nation with its customers as cohorts."""
+    """One listing per hundred customer keys, with the customers as cohorts."""
     key = F.col("c_custkey")
     cohort = F.struct(
         F.concat(F.lit("coh_"), key).alias("id"), F.col("c_name").alias("name"), (key % 77).alias("size"),
         F.when(key % 3 == 0, F.concat(F.lit("2024-01-"), F.lpad((key % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))).when(key % 3 == 1, "").alias("lastComputed"),
     )
-    listings = tables.read(spark, sf_dir, "customer").groupBy("c_nationkey", (key % 64).alias("page")).agg(F.collect_list(cohort).alias("cohorts"))
+    listings = tables.read(spark, sf_dir, "customer").groupBy(F.floor(key / 100).alias("page")).agg(F.collect_list(cohort).alias("cohorts"))
     return report_types(payloads.normalize_amplitude_cohorts(_json(listings, F.col("cohorts")), AS_OF))
 
 
