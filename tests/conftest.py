@@ -6,7 +6,7 @@ import datetime as dt
 
 import pytest
 
-from tidemark.session import build_session
+from tidemark.session import build_session, use_local_scratch
 
 
 @pytest.fixture(scope="session")
@@ -15,6 +15,7 @@ def spark():
         "tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"}
     )
     session.sparkContext.setLogLevel("ERROR")
+    use_local_scratch(session)
     yield session
     session.stop()
 

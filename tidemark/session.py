@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SCRATCH_KEY = "tidemark.scratch.dir"
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,11 +22,6 @@ _DEFAULTS = {
 }
 
 
-@lru_cache(maxsize=1)
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
 def build_session(app_name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect.
 
@@ -41,17 +36,24 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared folder that the session names.
+def use_local_scratch(spark: SparkSession) -> None:
+    """Name a temporary folder for intermediate tables where the session names none.
 
-    Only a local session without the setting falls back to a temporary folder:
-    on a cluster such a folder would exist on one machine only.
+    For tests and single-machine runs: their entry points call this, operators
+    never do. A cluster has to name a folder that all its machines share.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
+    if spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get(SCRATCH_KEY, None):
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
+    spark.conf.set(SCRATCH_KEY, tempfile.mkdtemp(prefix="tidemark-"))
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder below the one that ``spark.checkpoint.dir`` (or else ``tidemark.scratch.dir``) names."""
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get(SCRATCH_KEY, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-        base = _local_base()
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
