@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, packing
+from tidemark.llm import exact_dedup, line_dedup, packing, secrets, simhash
 from tidemark.llm.common import filled, table
 
 
@@ -33,7 +33,49 @@ w AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages without the lines that are on more than a quarter of their site's pages."""
+    return line_dedup.drop_site_boilerplate(table(spark, sf_dir, "pages"), line_dedup.host_of("url"), line_dedup.page_text("html"))
+
+
+OP4_SQL = rf"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{line_dedup.HOST}', 1)) AS host,
+         list_filter(list_transform(string_split(
+           regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '[\x20\x09-\x0D]+', ' ', 'g'),
+             '{line_dedup.UNSEEN}', ' ', 'g'), '{line_dedup.BLOCKS}', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)),
+           lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') AS lines
+  FROM pages),
+t AS (SELECT host, count(*) AS host_pages FROM p WHERE host <> '' GROUP BY host),
+c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p WHERE host <> '') GROUP BY host, line),
+b AS (SELECT c.host, list(line) AS boilerplate FROM c JOIN t USING (host) WHERE n >= 3 AND n > 0.25 * host_pages GROUP BY c.host),
+k AS (
+  SELECT page_id, p.host, len(lines)::INT AS n_lines,
+         CASE WHEN boilerplate IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(boilerplate, x)) END AS kept
+  FROM p LEFT JOIN b USING (host))
+SELECT page_id, host, n_lines, (n_lines - len(kept))::INT AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text FROM k
+"""
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document as spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.with_secrets(docs)
+    counts = [secrets.span_count(F.col("base_secrets"), kind).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.span_text(F.col("base_secrets")), 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans")
+    )
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at two or fewer differing bits."""
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
+    "op4_line_dedup": (op4_line_dedup, OP4_SQL),
+    "op7_secret_scan": (op7_secret_scan, None),
+    "op9_simhash": (op9_simhash, None),
 }
