@@ -41,6 +41,10 @@ def _rotated(pattern: Column, bits: int, shift: int) -> Column:
     return turned.bitwiseAND(F.lit(mask))
 
 
+def _right(pattern: Column, shift: Column) -> Column:
+    return F.call_function("shiftrightunsigned", pattern, shift.cast("int"))
+
+
 def _near(width: int, errors: Column, other: Column) -> Column:
     """The values of ``width`` bits that differ from ``other`` in at most ``errors`` bits."""
     return F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda x: F.bit_count(x.bitwiseXOR(other.cast("int"))) <= errors)
@@ -55,7 +59,7 @@ def _cut(units: DataFrame, bits: int, width: int, budget: int) -> DataFrame:
     width = width or STEP_BITS
     ended = F.col("depth") >= bits
     step = F.when(ended, 0).otherwise(width)
-    below = F.shiftrightunsigned(F.col("pattern"), F.greatest(F.lit(bits) - F.col("depth") - width, F.lit(0)).cast("int")).bitwiseAND(F.lit((1 << width) - 1))
+    below = _right(F.col("pattern"), F.greatest(F.lit(bits) - F.col("depth") - width, F.lit(0))).bitwiseAND(F.lit((1 << width) - 1))
     part = F.pmod(F.xxhash64("id", "unit"), F.lit(1 << width))
     own = units.withColumn("own", F.when(ended, part).otherwise(below).cast("int"))
     errors = F.when(ended, F.lit(width)).otherwise(F.lit(budget) - F.col("errors"))
@@ -94,7 +98,7 @@ def trie_links(patterns: DataFrame, bits: int, budget: int, *, verify_bits: int
         for k, (start, end) in enumerate(blocks)
     ]
     turns = patterns.withColumn("t", F.explode(F.array(*turned)))
-    path = F.concat_ws(".", F.col("family").cast("string"), F.col("t.turn").cast("string"), F.shiftrightunsigned(F.col("t.pattern"), (F.lit(bits) - F.col("t.depth")).cast("int")).cast("string"))
+    path = F.concat_ws(".", F.col("family").cast("string"), F.col("t.turn").cast("string"), _right(F.col("t.pattern"), F.lit(bits) - F.col("t.depth")).cast("string"))
     units = snapshot(
         turns.select(
             path.alias("unit"), F.lit(0).alias("side"), F.lit(0).alias("errors"), F.col("t.depth").alias("depth"), F.col("t.pattern").alias("pattern"), "id", "words"
