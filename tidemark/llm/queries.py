@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, line_dedup, packing, secrets, simhash
+import public_tokenizers
+
+from tidemark.llm import embedding_dedup, exact_dedup, line_dedup, packing, secrets, sentence_pieces, simhash
 from tidemark.llm.common import filled, table
 
 
@@ -72,10 +74,34 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the piece ids of each document and of the text they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentence_pieces.encode_texts(table(spark, sf_dir, "documents"), path, digests=True)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a label that link at a cosine of 0.98 or more."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), group=F.col("label"))
+
+
+OP10_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM e LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
+"""
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op4_line_dedup": (op4_line_dedup, OP4_SQL),
     "op7_secret_scan": (op7_secret_scan, None),
+    "op8_sentence_pieces": (op8_sentence_pieces, None),
     "op9_simhash": (op9_simhash, None),
+    "op10_embedding_dedup": (op10_embedding_dedup, OP10_SQL),
 }
