@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import embedding_dedup, exact_dedup, line_dedup, packing, secrets, sentence_pieces, simhash
-from tidemark.llm.common import filled, table
+from tidemark.llm import embedding_dedup, exact_dedup, line_dedup, packing, quality, secrets, sentence_pieces, simhash, toxicity
+from tidemark.llm.common import filled, id_remainder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,22 @@ SELECT page_id, host, n_lines, (n_lines - len(kept))::INT AS n_dropped, coalesce
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from four fifths of the labels."""
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 0
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from two thirds of the labels."""
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder("doc_id", 3) == 1
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of each document as spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,6 +116,8 @@ QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op4_line_dedup": (op4_line_dedup, OP4_SQL),
+    "op5_toxicity": (op5_toxicity, None),
+    "op6_quality": (op6_quality, None),
     "op7_secret_scan": (op7_secret_scan, None),
     "op8_sentence_pieces": (op8_sentence_pieces, None),
     "op9_simhash": (op9_simhash, None),
