@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import embedding_dedup, exact_dedup, line_dedup, packing, quality, secrets, sentence_pieces, simhash, toxicity
+from tidemark.llm import embedding_dedup, exact_dedup, language_model, line_dedup, packing, quality, secrets, sentence_pieces, simhash, toxicity
 from tidemark.llm.common import filled, id_remainder, table
 
 
@@ -35,6 +35,11 @@ w AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of each document, learned from nine tenths of them."""
+    return language_model.score_documents(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) == 0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages without the lines that are on more than a quarter of their site's pages."""
     return line_dedup.drop_site_boilerplate(table(spark, sf_dir, "pages"), line_dedup.host_of("url"), line_dedup.page_text("html"))
@@ -115,6 +120,7 @@ FROM e LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
+    "op3_language_model": (op3_language_model, None),
     "op4_line_dedup": (op4_line_dedup, OP4_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op6_quality": (op6_quality, None),
