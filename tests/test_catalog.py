@@ -141,3 +141,31 @@ def test_custom_metric_and_benchmarks(spark):
     assert adhoc.custom_metric(spend, metric, higher_is_better=False).first().verdict == "Average"
     rows = {r.channel: (r.benchmark, r.verdict) for r in adhoc.benchmark_join(spend, "channel", "cac").collect()}
     assert rows == {"google-ads": ("google_ads", "Average"), "Organic Search": ("organic", "Good"), "unknown": (None, None), "linkedin": ("linkedin", None)}
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT * FROM VALUES (1) t(a) WHERE reflect('java.util.UUID', 'randomUUID') <> ''",
+        "WITH x AS (SELECT upper(try_reflect('java.lang.System', 'lineSeparator')) AS v) SELECT v FROM x",
+        "SELECT (SELECT max(java_method('java.lang.System', 'nanoTime')))",
+        "SELECT * FROM text.`/etc/hostname`",
+        "SELECT a FROM VALUES (1) t(a) WHERE EXISTS (SELECT 1 FROM csv.`/tmp/x`)",
+        "SELECT * FROM parquet.`/tmp/y` JOIN nowhere.z",
+    ],
+)
+def test_reflection_and_files_are_refused(spark, sql):
+    with pytest.raises(adhoc.ReadOnlyQueryError):
+        adhoc.run_query(spark, sql)
+
+
+@pytest.mark.parametrize(
+    ("metric", "value", "verdict"),
+    [("mer", 3.0, "Good"), ("mer", 1.0, "Poor"), ("payback_months", 13.0, "Average"), ("payback_months", 30.0, "Poor"), ("retention_week", 61.0, "Good"), ("retention_month", 31.0, "Average")],
+)
+def test_benchmarks_that_hold_for_every_row(spark, metric, value, verdict):
+    row = adhoc.benchmark_join(spark.createDataFrame([(value,)], "v double"), None, "v", metric=metric).first()
+    assert (row.benchmark, row.verdict) == (metric, verdict)
+    with pytest.raises(ValueError, match="channel"):
+        adhoc.benchmark_join(spark.createDataFrame([(value,)], "v double"), None, "v")

@@ -160,6 +160,33 @@ def test_high_risk_blocks_everything_unless_forced(spark, workflow):
     assert store.plan_apply(suggestions, nothing, current, now, aliases=["something else"], min_confidence=0.7).count() == 0
 
 
+def test_rollback_counts_by_the_moment_not_by_its_text(spark, workflow):
+    _, _, current, suggestions, now = workflow
+    path = scratch_dir(spark)
+    store.apply_mappings(suggestions, path, current, now, min_confidence=0.7, changed_at="2024-01-01T00:00:00+00:00")
+    store.rollback_mappings(spark, path, ["brand_search"], changed_at="2023-12-31T23:30:00-05:00")
+    assert store.active_rules(store.read_history(spark, path)).count() == 0
+    assert [r.action for r in store.review_mappings(store.read_history(spark, path))["history"].collect()] == ["rollback", "apply"]
+    with pytest.raises(ValueError, match="recorded already"):
+        store.apply_mappings(suggestions, path, current, now, min_confidence=0.7, changed_at="2024-01-01T05:30:00+01:00")
+
+
+def test_all_suggestions_are_acted_on(spark, workflow):
+    _, _, current, suggestions, now = workflow
+    many = spark.createDataFrame(
+        [("campaign", f"Name {k}", f"name_{k}", "google_ads", 0.9, 1.0 + k, 1.0) for k in range(45)],
+        "scope string, canonical_value string, alias string, channel string, confidence double, estimated_revenue_30d double, estimated_spend_30d double",
+    )
+    nothing = store.active_rules(store.read_history(spark, scratch_dir(spark)))
+    plan = store.plan_apply(many, nothing, current, now, force=True).orderBy("position").collect()
+    assert [r.alias for r in plan] == [f"name_{k}" for k in range(44, -1, -1)] and {r.status for r in plan} == {"applied"}
+    assert store.plan_apply(many, nothing, current, now, force=True, limit=3).count() == 3
+    assert suggest.select_suggestions(many, limit=0).count() == 0
+    path = scratch_dir(spark)
+    store.record(snapshot(store.plan_apply(many, nothing, current, now, force=True)), path, "2024-01-01T00:00:00")
+    assert store.review_mappings(store.read_history(spark, path))["rules"].count() == 45
+
+
 def test_suggestions_across_channels(spark, spend_rows, event_rows):
     spend = spend_rows(
         ("2026-03-06", "linkedin", "1", "Spring Sale", 500.0, 1, 1, 1.0),

@@ -87,3 +87,14 @@ def test_scratch_folder_is_below_the_shared_one(spark):
     path = scratch_dir(spark)
     assert path != scratch_dir(spark) and (base is None or path.startswith(base.rstrip("/") + "/"))
     assert snapshot(spark.range(5)).count() == 5
+
+
+def test_values_that_do_not_fit_the_contract_stay(spark, tmp_path):
+    path = tmp_path / "marketing_spend.csv"
+    path.write_text('date,channel,spend,conversions,clicks\n2024-01-02,a,"1,200.50",1.5,7\n2024-01-03,b,3.25,2,8.5\n')
+    rows = files.load_csv(spark, str(path)).orderBy("date").collect()
+    assert [(r.spend, r.conversions, r.clicks) for r in rows] == [("1,200.50", 1.5, 7.0), ("3.25", 2.0, 8.5)]
+    path.write_text("date,channel,spend,conversions,clicks\n2024-01-02,a,1200.50,1.5,7\n,b,,,\n")
+    table = files.load_csv(spark, str(path))
+    assert dict(table.dtypes) == {"date": "date", "channel": "string", "spend": "double", "conversions": "double", "clicks": "bigint"}
+    assert [(r.conversions, r.clicks) for r in table.orderBy("channel").collect()] == [(1.5, 7), (None, None)]

@@ -34,7 +34,7 @@ CONTRACTS: dict[str, Contract] = {
             "campaign": T.StringType(),
             "impressions": T.LongType(),
             "clicks": T.LongType(),
-            "conversions": T.LongType(),
+            "conversions": T.DoubleType(),
         },
         aliases={
             "date": ("day", "spend_date"),

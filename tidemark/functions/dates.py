@@ -56,7 +56,24 @@ def days_before(as_of: DateLike, column: Column) -> Column:
     return F.date_diff(F.lit(to_date(as_of)), column)
 
 
+# The days and seconds of unix time that years 1 to 9999 span.
+_DAYS = (-719_162, 2_932_896)
+_SECONDS = (-62_135_596_800, 253_402_300_799)
+
+
+def _epoch(seconds: Column) -> Column:
+    """Unix seconds, also with a fraction or as text; null where unreadable."""
+    return seconds.cast("string").try_cast("decimal(38,6)")
+
+
 def date_from_epoch(seconds: Column) -> Column:
-    """UTC day of a unix timestamp, whatever the session time zone; null for 0 or null."""
-    whole = F.nullif(seconds.try_cast("bigint"), F.lit(0).cast("bigint"))
-    return F.date_from_unix_date(F.floor(whole / F.lit(86400)).cast("int"))
+    """UTC day of a unix timestamp, whatever the session time zone; null for 0, null and years beyond 9999."""
+    number = _epoch(seconds)
+    day = F.floor(number / F.lit(86400)).try_cast("int")
+    return F.when((number != 0) & day.between(*_DAYS), F.date_from_unix_date(day))
+
+
+def time_from_epoch(seconds: Column) -> Column:
+    """Timestamp of unix seconds without their fraction; null where unreadable or beyond year 9999."""
+    whole = _epoch(seconds).try_cast("bigint")
+    return F.when(whole.between(*_SECONDS), F.timestamp_seconds(whole))

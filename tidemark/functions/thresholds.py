@@ -47,3 +47,23 @@ def channel_threshold(channel: Column, table: dict[str, tuple[float, float]] | N
         hit = F.contains(clean, F.lit(name)) | F.contains(F.lit(name), clean)
         match = F.when(hit, row) if match is None else match.when(hit, row)
     return match
+
+
+#: Metrics with one threshold for all rows: (good, ok) and whether more is better.
+METRICS = {
+    "mer": (MER, True),
+    "ltv_cac": (LTV_CAC, True),
+    "payback_months": (PAYBACK_MONTHS, False),
+    "retention_month": (RETENTION["month"], True),
+    "retention_week": (RETENTION["week"], True),
+}
+
+
+def metric_threshold(metric: str, channel: Column | None = None) -> tuple[Column, bool]:
+    """``struct(benchmark, good, ok)`` of a metric, and whether more is better; ``cac`` goes by channel."""
+    if metric == "cac":
+        if channel is None:
+            raise ValueError("the threshold of cac depends on a channel")
+        return channel_threshold(channel), False
+    (good, ok), higher = METRICS[metric]
+    return F.struct(F.lit(metric).alias("benchmark"), F.lit(good).alias("good"), F.lit(ok).alias("ok")), higher

@@ -8,11 +8,13 @@ from dataclasses import dataclass
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.thresholds import channel_threshold, classify_metric
+from tidemark.functions.thresholds import classify_metric, metric_threshold
 
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical"
 # Commands that only read.
 READ_COMMANDS = ("Describe", "Show")
+# Functions that call any static method of the JVM.
+REFLECTION = ("reflect", "java_method", "try_reflect")
 
 
 class ReadOnlyQueryError(ValueError):
@@ -29,6 +31,29 @@ def _nodes(plan) -> Iterator:
                 yield from _nodes(node)
 
 
+def _functions(tree) -> Iterator[str]:
+    """Lower-case names of the functions that a node's expressions call."""
+    if tree.getClass().getSimpleName() == "UnresolvedFunction":
+        yield tree.nameParts().last().lower()
+    children = tree.children()
+    for i in range(children.size()):
+        yield from _functions(children.apply(i))
+
+
+def _refuse_reach(spark: SparkSession, node) -> None:
+    """Refuse what reads or runs anything outside the tables: reflection and relations that are files."""
+    expressions = node.expressions()
+    for i in range(expressions.size()):
+        for name in _functions(expressions.apply(i)):
+            if name in REFLECTION:
+                raise ReadOnlyQueryError(f"Forbidden function '{name}'.")
+    if node.getClass().getSimpleName() == "UnresolvedRelation":
+        parts = node.multipartIdentifier()
+        # A name of several parts that is no table would be tried as source.`path`.
+        if parts.size() > 1 and not spark.catalog.tableExists(node.tableName()):
+            raise ReadOnlyQueryError(f"Unknown table '{node.tableName()}'. Files can't be queried.")
+
+
 def _parse(spark: SparkSession, sql: str):
     if not sql or not sql.strip():
         raise ReadOnlyQueryError("Empty SQL is not allowed.")
@@ -50,6 +75,7 @@ def check_read_only(spark: SparkSession, sql: str) -> None:
     forbidden = [kinds.forName(f"{_LOGICAL}.{name}") for name in ("Command", "ParsedStatement")]
     for node in _nodes(plan):
         name = node.getClass().getSimpleName()
+        _refuse_reach(spark, node)
         if name.startswith(READ_COMMANDS):
             continue
         if any(kind.isInstance(node) for kind in forbidden):
@@ -103,10 +129,17 @@ def custom_metric(table: DataFrame, metric: CustomMetric, higher_is_better: bool
     )
 
 
-def benchmark_join(values: DataFrame, channel_col: str, value_col: str, higher_is_better: bool = False) -> DataFrame:
-    """Per-channel values with the threshold of their channel and the verdict; null without one."""
+def benchmark_join(
+    values: DataFrame, channel_col: str | None, value_col: str, higher_is_better: bool | None = None, metric: str = "cac"
+) -> DataFrame:
+    """Values with the threshold of ``metric`` (see ``METRICS``) and the verdict; null without one.
+
+    The threshold of ``cac`` depends on the row's channel; the others hold for every row.
+    """
+    threshold, higher = metric_threshold(metric, None if channel_col is None else F.col(channel_col))
+    higher_is_better = higher if higher_is_better is None else higher_is_better
     return (
-        values.withColumn("t", channel_threshold(F.col(channel_col)))
+        values.withColumn("t", threshold)
         .select(
             "*",
             F.col("t.benchmark").alias("benchmark"),

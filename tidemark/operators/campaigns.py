@@ -58,25 +58,24 @@ def campaign_performance(spend: DataFrame, as_of: DateLike, days: int = 30) -> D
     )
 
 
-def _top(frame: DataFrame, limit: int, *order) -> DataFrame:
-    """The first ``limit`` campaigns; ties go by name so that the choice is repeatable."""
-    return frame.orderBy(*order, F.asc_nulls_last("channel"), F.asc_nulls_last("campaign"), F.asc_nulls_last("campaign_id")).limit(
-        max(int(limit), 1)
-    )
+def _top(frame: DataFrame, limit: int | None, *order) -> DataFrame:
+    """Campaigns in order, all or the first ``limit``; ties go by name so that the choice is repeatable."""
+    ranked = frame.orderBy(*order, F.asc_nulls_last("channel"), F.asc_nulls_last("campaign"), F.asc_nulls_last("campaign_id"))
+    return ranked if limit is None else ranked.limit(int(limit))
 
 
-def top_campaigns(performance: DataFrame, limit: int = 5) -> DataFrame:
+def top_campaigns(performance: DataFrame, limit: int | None = None) -> DataFrame:
     """Campaigns by current spend, then conversions."""
     return _top(performance, limit, F.desc("current_spend"), F.desc("current_conversions"))
 
 
-def campaign_efficiency_leaders(performance: DataFrame, min_spend: float = 50, limit: int = 5) -> DataFrame:
+def campaign_efficiency_leaders(performance: DataFrame, min_spend: float = 50, limit: int | None = None) -> DataFrame:
     """Converting campaigns with enough spend by cost per conversion."""
     eligible = performance.filter((F.col("current_spend") >= min_spend) & (F.col("current_conversions") > 0))
     return _top(eligible, limit, F.asc_nulls_last("current_cpa"), F.desc("current_conversions"))
 
 
-def campaign_watchlist(performance: DataFrame, min_spend: float = 50, limit: int = 5) -> DataFrame:
+def campaign_watchlist(performance: DataFrame, min_spend: float = 50, limit: int | None = None) -> DataFrame:
     """Campaigns that spend without converting, or spend over 20 percent more without converting more."""
     no_result = F.col("current_conversions") == 0
     no_gain = (F.col("spend_change_pct") > 20) & (F.col("current_conversions") <= F.col("previous_conversions"))

@@ -49,7 +49,7 @@ def mapping_coverage(
 
 
 def _top(frame: DataFrame, limit: int | None, *order: Column) -> DataFrame:
-    return frame if limit is None else frame.orderBy(*order).limit(max(int(limit), 1))
+    return frame if limit is None else frame.orderBy(*order).limit(int(limit))
 
 
 def unmatched_event_keys(
@@ -183,7 +183,7 @@ def mapping_diagnostics(
     rules: DataFrame,
     as_of: DateLike,
     revenue_event: str = "purchase",
-    limit: int | None = 10,
+    limit: int | None = None,
 ) -> dict[str, DataFrame]:
     """Coverage, unmatched names of both sides and the rules in use."""
     return {

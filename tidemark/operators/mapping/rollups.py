@@ -103,16 +103,16 @@ def attribution_bridge(
     as_of: DateLike,
     revenue_event: str = "purchase",
     min_spend: float = 50,
-    limit: int = 10,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Spend keys with the sign-ups, purchasers and revenue that follow from them, best first."""
+    """Spend keys with the sign-ups, purchasers and revenue that follow from them, best first; all, or the first ``limit``."""
     by_campaign = has_campaigns(events)
     spent = spend_rollup(spend, rules, as_of, by_campaign).filter(F.col("spend_30d") >= max(float(min_spend), 0.0))
     # Other events only add keys without counts, which the left join treats like missing ones.
     counted = events.filter(F.col("event_type").isin("signup", revenue_event))
     earned = event_rollup(counted, rules, as_of, revenue_event, by_campaign)
     revenue, purchasers = zero_if_null(F.col("revenue_30d")), zero_if_null(F.col("purchasers_30d"))
-    return (
+    ranked = (
         spent.join(earned, key_columns(by_campaign), "left")
         .select(
             "channel",
@@ -128,8 +128,8 @@ def attribution_bridge(
             ratio(F.col("spend_30d"), purchasers, 2).alias("cost_per_purchaser"),
         )
         .orderBy(F.desc("attributed_revenue_30d"), F.desc("spend_30d"), F.asc("channel"), F.asc("campaign"))
-        .limit(max(int(limit), 1))
     )
+    return ranked if limit is None else ranked.limit(int(limit))
 
 
 def attribution_bridge_coverage(

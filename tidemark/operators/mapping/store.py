@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.text import normalize_key, normalize_text
 from tidemark.operators.mapping.rules import RULE_COLUMNS, RULE_SCHEMA, rule_identity
@@ -34,15 +34,21 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], HISTORY_SCHEMA)
 
 
+def _instant() -> Column:
+    """The moment of a change, whatever offset its text is written with."""
+    return F.try_to_timestamp("changed_at")
+
+
 def active_rules(history: DataFrame) -> DataFrame:
-    """Rules in force, ordered by when they were applied."""
+    """Rules in force, ordered by when they were applied: ``batch`` is the moment in UTC, as text that sorts by time."""
+    batch = F.date_format(F.to_utc_timestamp(_instant(), F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     latest = history.groupBy(*rule_identity()).agg(
         F.max_by(
-            F.struct("action", "changed_at", "position", *RULE_COLUMNS), F.struct("changed_at", "position")
+            F.struct("action", batch.alias("batch"), "position", *RULE_COLUMNS), F.struct(_instant(), "position")
         ).alias("last")
     )
     return latest.filter(F.col("last.action") == APPLY).select(
-        F.col("last.changed_at").alias("batch"),
+        F.col("last.batch").alias("batch"),
         F.col("last.position").alias("position"),
         *[F.col(f"last.{name}").alias(name) for name in RULE_COLUMNS],
     )
@@ -55,7 +61,7 @@ def plan_apply(
     coverage: DataFrame,
     aliases: Sequence[str] = (),
     min_confidence: float = 0.8,
-    limit: int = 20,
+    limit: int | None = None,
     force: bool = False,
 ) -> DataFrame:
     """What an apply would do with each selected suggestion, in ``status``.
@@ -67,8 +73,7 @@ def plan_apply(
     selected = in_order(select_suggestions(suggestions, aliases, min_confidence, limit))
     assessed = assess_mapping_risk(selected, rules, coverage)
     known = active.select(*rule_identity()).distinct().withColumn("is_active", F.lit(True))
-    # Both windows hold at most `limit` rows.
-    any_high = F.max(F.col("risk_level") == "high").over(Window.partitionBy(F.lit(1)))
+    any_high = assessed.agg(F.coalesce(F.bool_or(F.col("risk_level") == "high"), F.lit(False)).alias("any_high")).scalar()
     repeat = F.row_number().over(Window.partitionBy(*_IDENTITY).orderBy("position"))
     checked = (
         assessed.select("*", *rule_identity())
@@ -123,18 +128,32 @@ def history_rows(planned: DataFrame, changed_at: str) -> DataFrame:
 
 
 def record(planned: DataFrame, path: str, changed_at: str | None = None) -> None:
-    """Append a plan's changes to the history; a plan without changes writes nothing."""
-    changed_at = changed_at or datetime.now(timezone.utc).isoformat()
-    rows = history_rows(planned, changed_at)
-    if not rows.isEmpty():
-        rows.coalesce(1).write.mode("append").parquet(path)
+    """Append the changes of a plan (a written table) to the history; a plan without changes writes nothing.
 
-
-def review_mappings(history: DataFrame, history_limit: int = 20, rules_limit: int = 50) -> dict[str, DataFrame]:
-    """Active rules in order and the latest changes, newest first."""
+    ``changed_at`` is ISO text; without an offset it is UTC. Two batches of one moment are refused.
+    """
+    changed_at = changed_at or datetime.now(timezone.utc).isoformat()
+    moment = datetime.fromisoformat(changed_at)
+    moment = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+    rows = history_rows(planned, moment.isoformat())
+    if rows.isEmpty():
+        return
+    spark = planned.sparkSession
+    same = read_history(spark, path).filter(_instant() == F.lit(moment))
+    if same.limit(1).count():
+        raise ValueError(f"changes of {changed_at} are recorded already; the order of two batches has to be known")
+    rows.write.mode("append").parquet(path)
+
+
+def review_mappings(
+    history: DataFrame, history_limit: int | None = None, rules_limit: int | None = None
+) -> dict[str, DataFrame]:
+    """Active rules in order and the changes, newest first; all of them, or the first of each."""
+    rules = active_rules(history).orderBy("batch", "position")
+    changes = history.orderBy(_instant().desc(), F.desc("position"))
     return {
-        "rules": active_rules(history).orderBy("batch", "position").limit(max(int(rules_limit), 1)),
-        "history": history.orderBy(F.desc("changed_at"), F.desc("position")).limit(max(int(history_limit), 1)),
+        "rules": rules if rules_limit is None else rules.limit(int(rules_limit)),
+        "history": changes if history_limit is None else changes.limit(int(history_limit)),
     }
 
 
@@ -145,7 +164,7 @@ def apply_mappings(
     coverage: DataFrame,
     aliases: Sequence[str] = (),
     min_confidence: float = 0.8,
-    limit: int = 20,
+    limit: int | None = None,
     force: bool = False,
     changed_at: str | None = None,
 ) -> DataFrame:

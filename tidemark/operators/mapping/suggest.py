@@ -162,18 +162,18 @@ def suggest_mappings(
         "channel",
         *[F.col(f"first.{name}").alias(name) for name in kept if name != "alias"],
     )
-    return result if limit is None else result.orderBy(*_ranking()).limit(max(int(limit), 1))
+    return result if limit is None else result.orderBy(*_ranking()).limit(int(limit))
 
 
 def select_suggestions(
-    suggestions: DataFrame, aliases: Sequence[str] = (), min_confidence: float = 0.8, limit: int = 20
+    suggestions: DataFrame, aliases: Sequence[str] = (), min_confidence: float = 0.8, limit: int | None = None
 ) -> DataFrame:
-    """The suggestions to act on: confident enough, among ``aliases`` when given, the first ``limit``."""
+    """The suggestions to act on: confident enough, among ``aliases`` when given; all, or the first ``limit``."""
     chosen = suggestions.filter(F.col("confidence") >= max(float(min_confidence), 0.0))
     wanted = sorted({normalize_text(alias) for alias in aliases if alias.strip()})
     if wanted:
         chosen = chosen.filter(normalize_key(F.col("alias")).isin(wanted))
-    return chosen.orderBy(*_ranking()).limit(max(int(limit), 1))
+    return chosen if limit is None else chosen.orderBy(*_ranking()).limit(int(limit))
 
 
 def _conflicts(suggestions: DataFrame, rules: DataFrame) -> DataFrame:
@@ -237,12 +237,8 @@ def assess_mapping_risk(suggestions: DataFrame, rules: DataFrame, coverage: Data
 
 
 def in_order(selected: DataFrame) -> DataFrame:
-    """``selected`` with its ``position`` in the ranking.
-
-    Only for the result of :func:`select_suggestions`: the window has one
-    partition of at most its ``limit`` rows.
-    """
-    return selected.withColumn("position", F.row_number().over(Window.orderBy(*_ranking())).cast("long"))
+    """``selected`` with a ``position`` that ascends with the ranking (with gaps, so that no task sees all rows)."""
+    return selected.orderBy(*_ranking()).withColumn("position", F.monotonically_increasing_id())
 
 
 def with_suggestions(rules: DataFrame, selected: DataFrame) -> DataFrame:
@@ -292,7 +288,7 @@ def mapping_review_pack(
     revenue_event: str = "purchase",
     aliases: Sequence[str] = (),
     min_confidence: float = 0.8,
-    limit: int = 20,
+    limit: int | None = None,
 ) -> dict[str, DataFrame]:
     """Coverage preview, risks and the mix of risk levels of the selected suggestions."""
     selected = select_suggestions(suggestions, aliases, min_confidence, limit)

@@ -237,13 +237,13 @@ def mixpanel_events_summary(events: DataFrame) -> DataFrame:
     return _counts_with_share(events, "event", "events")
 
 
-def amplitude_events_summary(events: DataFrame, top_countries: int = 5) -> dict[str, DataFrame]:
-    """Events by type with share, by device, and the countries with most events."""
+def amplitude_events_summary(events: DataFrame, top_countries: int | None = None) -> dict[str, DataFrame]:
+    """Events by type with share, by device, and by country with most events first (all, or the ``top_countries``)."""
+    countries = (
+        events.groupBy("country").agg(F.count(F.lit(1)).alias("events")).orderBy(F.desc("events"), F.asc_nulls_last("country"))
+    )
     return {
         "by_type": _counts_with_share(events, "event_type", "events"),
         "by_device": events.groupBy("device_type").agg(F.count(F.lit(1)).alias("events")),
-        "top_countries": events.groupBy("country")
-        .agg(F.count(F.lit(1)).alias("events"))
-        .orderBy(F.desc("events"), F.asc_nulls_last("country"))
-        .limit(top_countries),
+        "top_countries": countries if top_countries is None else countries.limit(int(top_countries)),
     }

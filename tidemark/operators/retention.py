@@ -27,16 +27,19 @@ def _distance(period: str, start: Column, end: Column) -> Column:
 def cohort_retention(events: DataFrame, period: str = "month") -> DataFrame:
     """``cohort, cohort_size, period_number, active_users, retention_pct``.
 
-    A user's events shrink to the set of periods they were active in before
-    anything is shuffled, so the distinct count per cohort is a plain count
-    and the cohort comes without a join. Weeks start on Monday.
+    A user's events shrink to the periods they were active in before anything
+    is shuffled (a hash aggregate of fixed-width rows), so the distinct count
+    per cohort is a plain count and the cohort comes without a join. Weeks
+    start on Monday.
     """
     period = _check(period)
     start = F.trunc(F.col("event_date"), period)
     users = (
         events.filter(F.col("user_id").isNotNull() & F.col("event_date").isNotNull())
+        .select("user_id", start.alias("active_in"))
+        .distinct()
         .groupBy("user_id")
-        .agg(F.collect_set(start).alias("periods"))
+        .agg(F.collect_list("active_in").alias("periods"))
     )
     cells = (
         users.select(F.array_min("periods").alias("cohort"), F.explode("periods").alias("active_in"))

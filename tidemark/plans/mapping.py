@@ -23,6 +23,8 @@ USER_RULES = [
     ("campaign", "second", "2-HIGH", ""),
 ]
 CHANGED_AT = "2024-01-31T00:00:00+00:00"
+# Later, though its text sorts earlier.
+ROLLED_BACK_AT = "2024-01-30T23:30:00-05:00"
 
 
 def _rules(spark: SparkSession) -> DataFrame:
@@ -77,7 +79,7 @@ def _event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_types(rollups.attribution_bridge(*_both(spark, sf_dir), _rules(spark), AS_OF, limit=15))
+    return report_types(rollups.attribution_bridge(*_both(spark, sf_dir), _rules(spark), AS_OF))
 
 
 def _bridge_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +184,7 @@ def _changed_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     path, now = scratch_dir(spark), snapshot(_now(spark, sf_dir))
     suggestions = snapshot(_suggestions(spark, sf_dir))
     store.apply_mappings(suggestions, path, rules.all_rules(spark), now, min_confidence=0.72, changed_at=CHANGED_AT)
-    plan = store.rollback_mappings(spark, path, ["Furnitur", "not specified 4", "unheard-of"], changed_at=CHANGED_AT + "~")
+    plan = store.rollback_mappings(spark, path, ["Furnitur", "not specified 4", "unheard-of"], changed_at=ROLLED_BACK_AT)
     return plan, store.read_history(spark, path)
 
 
@@ -191,7 +193,7 @@ def _rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = store.review_mappings(_changed_history(spark, sf_dir)[1], history_limit=100, rules_limit=100)
+    parts = store.review_mappings(_changed_history(spark, sf_dir)[1])
     active = parts["rules"].select(F.lit("active").alias("section"), "scope", "alias", "canonical_value", "channel")
     history = parts["history"].select(F.col("action").alias("section"), "scope", "alias", "canonical_value", "channel")
     return report_types(active.unionByName(history))
@@ -277,7 +279,7 @@ def _query(sql: str, rule_values: str = _RULES, **more: str) -> str:
 _BRIDGE = f"""SELECT channel, campaign_id, campaign, {sql_round('spend_30d', 2)} AS spend_30d, clicks_30d, CAST(platform_conversions_30d AS DOUBLE) AS platform_conversions_30d,
     coalesce(signups_30d, 0) AS signups_30d, coalesce(purchasers_30d, 0) AS purchasers_30d, {sql_round('coalesce(revenue_30d, 0)', 2)} AS attributed_revenue_30d,
     {sql_ratio('coalesce(revenue_30d, 0)', 'spend_30d', 2)} AS attributed_roas, {sql_ratio('spend_30d', 'coalesce(purchasers_30d, 0)', 2)} AS cost_per_purchaser
-    FROM joined WHERE spend_30d >= 50 ORDER BY attributed_revenue_30d DESC, spend_30d DESC, channel, campaign LIMIT {{limit}}"""
+    FROM joined WHERE spend_30d >= 50 ORDER BY attributed_revenue_30d DESC, spend_30d DESC, channel, campaign"""
 _UNMATCHED = f"""SELECT utm_source, utm_campaign, e.channel_key, e.campaign_key, count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS purchasers_30d,
     {sql_round("sum(CASE WHEN event_type = 'purchase' THEN revenue ELSE 0 END)", 2)} AS revenue_30d FROM keyed_events e
     LEFT JOIN (SELECT DISTINCT channel_key, campaign_key FROM spend_rollup) s ON e.channel_key = s.channel_key AND e.campaign_key = s.campaign_key
@@ -319,7 +321,7 @@ _SUGGEST = {
                 QUALIFY row_number() OVER (PARTITION BY scope, canonical_value, channel, {_norm('alias')} ORDER BY estimated_revenue_30d DESC, purchasers_30d DESC, alias) = 1""",
 }
 _RANKING = "confidence DESC, estimated_revenue_30d DESC, estimated_spend_30d DESC, scope, alias, channel, canonical_value"
-_SELECTED = {"selected": f"SELECT *, row_number() OVER (ORDER BY {_RANKING}) AS position FROM suggestions WHERE confidence >= 0.72 QUALIFY position <= 20"}
+_SELECTED = {"selected": f"SELECT *, row_number() OVER (ORDER BY {_RANKING}) AS position FROM suggestions WHERE confidence >= 0.72"}
 
 
 def _risk_ctes(source: str, rule_table: str) -> dict[str, str]:
@@ -388,12 +390,12 @@ QUERIES = {
     ),
     "spend_rollup": (_spend_rollup, _query("SELECT * REPLACE (CAST(spend_30d AS DOUBLE) AS spend_30d) FROM spend_rollup")),
     "event_rollup": (_event_rollup, _query("SELECT * REPLACE (CAST(revenue_30d AS DOUBLE) AS revenue_30d) FROM event_rollup")),
-    "attribution_bridge": (_bridge, _query(_BRIDGE.format(limit=15))),
+    "attribution_bridge": (_bridge, _query(_BRIDGE.format())),
     "attribution_bridge_by_channel": (
         _bridge_by_channel,
         with_tables(
             _NAMES,
-            _BRIDGE.format(limit=10).replace("campaign_id, ", "", 1),
+            _BRIDGE.format().replace("campaign_id, ", "", 1),
             rules=_RULES,
             s=f"""SELECT {_channel_key('m.channel')} AS k, min(channel) AS channel, min(channel) AS campaign, sum(spend) AS spend_30d, CAST(sum(clicks) AS BIGINT) AS clicks_30d,
                   CAST(sum(conversions) AS BIGINT) AS platform_conversions_30d FROM marketing_spend m WHERE date >= DATE '{AS_OF}' - 30 GROUP BY 1""",

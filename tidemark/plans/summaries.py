@@ -212,11 +212,11 @@ QUERIES = {
     ),
     "campaign_performance": (lambda spark, d: report_types(_performance(spark, d)), _performance_sql("")),
     "top_campaigns": (
-        lambda spark, d: report_types(campaigns.top_campaigns(_performance(spark, d))),
+        lambda spark, d: report_types(campaigns.top_campaigns(_performance(spark, d), limit=5)),
         _performance_sql("ORDER BY current_spend DESC, current_conversions DESC, channel, campaign LIMIT 5"),
     ),
     "campaign_efficiency_leaders": (
-        lambda spark, d: report_types(campaigns.campaign_efficiency_leaders(_account_performance(spark, d))),
+        lambda spark, d: report_types(campaigns.campaign_efficiency_leaders(_account_performance(spark, d), limit=5)),
         _performance_sql(
             """WHERE current_spend >= 50 AND current_conversions > 0
                ORDER BY current_cpa, current_conversions DESC, channel, campaign LIMIT 5""",

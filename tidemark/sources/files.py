@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from tidemark.contracts import CONTRACTS
 
@@ -34,19 +34,35 @@ def _default_schema(name: str, header: Sequence[str]) -> T.StructType | None:
     return T.StructType([T.StructField(column, known[column]) for column in header])
 
 
+def _reader(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("header", True)
+
+
+def _unfit_rows(reader: DataFrameReader, schema: T.StructType, path: str) -> int:
+    """Rows with a value that cannot be read as its column's type."""
+    checked = reader.schema(T.StructType([*schema.fields, T.StructField("_unfit", T.StringType())])).option("columnNameOfCorruptRecord", "_unfit").csv(path)
+    # Spark reads no column but this one unless another is asked for as well, and then calls no row unfit.
+    return checked.select(F.count_if(F.col("_unfit").isNotNull()), *[F.count(f"`{f.name}`") for f in schema.fields]).first()[0]
+
+
 def load_csv(
     spark: SparkSession, path: str, name: str | None = None, schema: T.StructType | str | None = None
 ) -> DataFrame:
     """One CSV file (or folder of parts) with a header, registered as a view.
 
-    Without a schema the contract of that table name gives the types; other
-    tables are inferred, which reads the file twice.
+    Without a schema the contract of that table name gives the types. A contract
+    type that does not fit some value would turn it into null; such files are
+    reported and their types inferred, like those of other tables, which reads
+    the file twice.
     """
     stem = path.rstrip("/").rsplit("/", 1)[-1]
     name = name or table_name(re.sub(r"\.csv$", "", stem, flags=re.IGNORECASE))
-    reader = spark.read.option("header", True)
     if schema is None:
-        schema = _default_schema(name, reader.csv(path).columns)
+        schema = _default_schema(name, _reader(spark).csv(path).columns)
+        if schema is not None and (unfit := _unfit_rows(_reader(spark), schema, path)):
+            log.warning("%s: %s rows do not fit the contract of %s; its types are inferred", path, unfit, name)
+            schema = None
+    reader = _reader(spark)
     table = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     if not table.columns:
         raise ValueError(f"{path} has no columns")

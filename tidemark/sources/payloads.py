@@ -3,8 +3,11 @@
 Every normalizer takes a frame with the payloads as JSON text in one column
 (one object per row, as ``spark.read.text`` gives it) and returns the table.
 They are projections without shuffles or state, so they run on a batch and on
-a stream alike. Text that is no JSON is skipped. Missing text becomes '',
-missing amounts 0 and missing dates null.
+a stream alike. Text that is no JSON object is skipped, and ``rejected`` lists
+it. A field of another type than usual never loses its record: every field is
+read as text first, sub-objects and lists are read from their text, and what
+cannot be read counts as missing. Missing text becomes '', missing amounts 0 and
+missing dates null.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.dates import DateLike, date_from_epoch, to_date
+from tidemark.functions.dates import DateLike, date_from_epoch, time_from_epoch, to_date
 from tidemark.functions.text import filled
 
 PAYLOAD = "value"
@@ -25,16 +28,47 @@ def unpack_pages(pages: DataFrame, field: str = "data", column: str = PAYLOAD) -
     return pages.select(F.explode_outer(items).alias(PAYLOAD)).filter(F.col(PAYLOAD).isNotNull())
 
 
-def _parse(raw: DataFrame, schema: str, column: str) -> DataFrame:
-    """The payload as struct ``p``; rows that do not parse to an object are dropped.
+# Texts of JSON values that count as false.
+FALSE = ("", "false", "0", "0.0", "[]", "{}")
+
+
+def _as_object(fields: str, text: Column) -> Column:
+    """The named fields of an object given as text, each as text; null for anything else."""
+    schema = ", ".join(f"`{name}` string" for name in fields.split())
+    return F.from_json(F.when(text.rlike(r"^\s*\{"), text), schema)
+
+
+def _as_list(text: Column) -> Column:
+    """The elements of a list given as text, each as text; null for anything else."""
+    return F.from_json(F.when(text.rlike(r"^\s*\["), text), "array<string>")
+
+
+def _read(raw: DataFrame, fields: str, column: str) -> DataFrame:
+    """``raw`` as ``_value`` with the parsed struct ``p``, null where the text is no JSON object.
 
     The parsed struct passes through an (outer) explode. Filters on it then stay
     behind the explode instead of being pushed down as further copies of the
     parser, so each text is parsed once.
     """
-    parsed = F.from_json(F.col(column), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    objects = raw.filter(F.ltrim(F.col(column)).startswith("{"))
-    return objects.select(F.explode_outer(F.array(parsed)).alias("p")).filter("p IS NOT NULL AND p._bad IS NULL")
+    schema = ", ".join(f"`{name}` string" for name in fields.split())
+    text = F.when(F.col(column).rlike(r"^\s*\{"), F.col(column))
+    parsed = F.from_json(text, f"{schema}, `_bad` string", {"columnNameOfCorruptRecord": "_bad"})
+    read = raw.select(F.col(column).alias("_value"), F.explode_outer(F.array(parsed)).alias("p"))
+    return read.withColumn("p", F.when(F.col("p._bad").isNull(), F.col("p")))
+
+
+def _parse(raw: DataFrame, fields: str, column: str) -> DataFrame:
+    """The payload as struct ``p`` with the named fields as text; rows that are no JSON object are dropped."""
+    return _read(raw, fields, column).filter("p IS NOT NULL").select("p")
+
+
+def rejected(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
+    """The texts that the normalizers of single objects skip because they are no JSON object."""
+    return _read(raw, "_any", column).filter("p IS NULL").select(F.col("_value").alias(PAYLOAD))
+
+
+def _truth(name: str) -> Column:
+    return ~F.coalesce(F.trim(F.col(name)), F.lit("")).isin(*FALSE)
 
 
 def _text(name: str) -> Column:
@@ -49,13 +83,13 @@ def _minor(name: str) -> Column:
 
 def _number(name: str, digits: int = 2) -> Column:
     """A number that may come as text; blank or unreadable as 0."""
-    value = F.round(F.coalesce(F.col(name).try_cast("decimal(30,10)"), F.lit(0)), digits)
-    return value.cast(f"decimal(20,{digits})")
+    value = F.round(F.col(name).try_cast("decimal(30,10)"), digits)
+    return F.coalesce(value.try_cast(f"decimal(20,{digits})"), F.lit(0).cast(f"decimal(20,{digits})"))
 
 
 def _whole(name: str) -> Column:
     """The whole part of a number that may come as text; blank or unreadable as 0."""
-    return F.coalesce(F.col(name).try_cast("double").cast("bigint"), F.lit(0))
+    return F.coalesce(F.col(name).try_cast("decimal(38,10)").try_cast("bigint"), F.lit(0))
 
 
 def _day(value: Column) -> Column:
@@ -68,52 +102,52 @@ def _day(value: Column) -> Column:
 
 def normalize_stripe_customers(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Customers of the billing system."""
-    schema = "id string, email string, name string, created string, currency string, delinquent boolean"
-    return _parse(raw, schema, column).select(
+    return _parse(raw, "id email name created currency delinquent", column).select(
         _text("p.id").alias("customer_id"),
         _text("p.email").alias("email"),
         _text("p.name").alias("name"),
         date_from_epoch(F.col("p.created")).alias("created"),
         _text("p.currency").alias("currency"),
-        F.coalesce("p.delinquent", F.lit(False)).alias("delinquent"),
+        _truth("p.delinquent").alias("delinquent"),
     )
 
 
 _INVOICE = (
-    "id string, customer string, customer_email string, customer_details struct<email:string>, status string, "
-    "currency string, amount_paid string, amount_due string, amount_remaining string, created string, "
-    "subscription string, status_transitions struct<paid_at:string>, "
-    "lines struct<data:array<struct<period:struct<start:string,`end`:string>>>>"
+    "id customer customer_email customer_details status currency amount_paid amount_due amount_remaining created "
+    "subscription status_transitions lines"
 )
 
 
+def _first(name: str, field: str) -> Column:
+    """The first element of the list ``field`` of the object ``name``, as text."""
+    return F.get(_as_list(_as_object(field, F.col(name))[field]), F.lit(0))
+
+
 def normalize_stripe_invoices(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
-    """Invoices; the period is that of the first line."""
-    period = F.get("p.lines.data", F.lit(0))["period"]
-    return _parse(raw, _INVOICE, column).select(
+    """Invoices; the period is that of the first line. Customer details that are text are the address."""
+    details = F.col("p.customer_details")
+    address = F.when(details.rlike(r"^\s*\{"), _as_object("email", details)["email"]).otherwise(details)
+    period = _as_object("start end", _as_object("period", _first("p.lines", "data"))["period"])
+    return _parse(raw, _INVOICE, column).withColumn("period", period).select(
         _text("p.id").alias("invoice_id"),
         _text("p.customer").alias("customer_id"),
-        F.coalesce(F.nullif("p.customer_email", F.lit("")), F.col("p.customer_details.email"), F.lit("")).alias(
-            "customer_email"
-        ),
+        F.coalesce(F.nullif("p.customer_email", F.lit("")), address, F.lit("")).alias("customer_email"),
         _text("p.status").alias("status"),
         _text("p.currency").alias("currency"),
         *[_minor(f"p.{name}").alias(name) for name in ("amount_paid", "amount_due", "amount_remaining")],
         date_from_epoch(F.col("p.created")).alias("created"),
-        date_from_epoch(period["start"]).alias("period_start"),
-        date_from_epoch(period["end"]).alias("period_end"),
+        date_from_epoch(F.col("period.start")).alias("period_start"),
+        date_from_epoch(F.col("period.end")).alias("period_end"),
         _text("p.subscription").alias("subscription_id"),
     )
 
 
 def normalize_stripe_subscriptions(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Subscriptions with the price of their first item."""
-    schema = (
-        "id string, customer string, status string, created string, current_period_start string, "
-        "current_period_end string, cancel_at_period_end boolean, items struct<data:array<struct<price:struct<"
-        "id:string,currency:string,unit_amount:string,recurring:struct<`interval`:string>>>>>"
-    )
-    parsed = _parse(raw, schema, column).withColumn("price", F.get("p.items.data", F.lit(0))["price"])
+    fields = "id customer status created current_period_start current_period_end cancel_at_period_end items"
+    price = _as_object("id currency unit_amount recurring", _as_object("price", _first("p.items", "data"))["price"])
+    parsed = _parse(raw, fields, column).withColumn("price", price)
+    parsed = parsed.withColumn("recurring", _as_object("interval", F.col("price.recurring")))
     return parsed.select(
         _text("p.id").alias("subscription_id"),
         _text("p.customer").alias("customer_id"),
@@ -122,25 +156,25 @@ def normalize_stripe_subscriptions(raw: DataFrame, column: str = PAYLOAD) -> Dat
             date_from_epoch(F.col(f"p.{name}")).alias(name)
             for name in ("created", "current_period_start", "current_period_end")
         ],
-        F.coalesce("p.cancel_at_period_end", F.lit(False)).alias("cancel_at_period_end"),
+        _truth("p.cancel_at_period_end").alias("cancel_at_period_end"),
         _text("price.currency").alias("currency"),
         _text("price.id").alias("price_id"),
         _minor("price.unit_amount").alias("unit_amount"),
-        _text("price.recurring.interval").alias("interval"),
+        _text("recurring.interval").alias("interval"),
     )
 
 
 def stripe_invoices_to_events(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Paid invoices as purchase events of their customer."""
     user = F.coalesce(*[F.nullif(f"p.{name}", F.lit("")) for name in ("customer", "customer_email", "id")], F.lit(""))
-    paid_at = F.nullif(F.col("p.status_transitions.paid_at").try_cast("bigint"), F.lit(0).cast("bigint"))
+    paid_at = date_from_epoch(_as_object("paid_at", F.col("p.status_transitions"))["paid_at"])
     return (
         _parse(raw, _INVOICE, column)
         .filter(F.col("p.status") == "paid")
         .select(
             user.alias("user_id"),
             F.lit("purchase").alias("event_type"),
-            date_from_epoch(F.coalesce(paid_at, F.col("p.created").try_cast("bigint"))).alias("event_date"),
+            F.coalesce(paid_at, date_from_epoch(F.col("p.created"))).alias("event_date"),
             F.lit("stripe").alias("utm_source"),
             _minor("p.amount_paid").alias("revenue"),
             F.lit("stripe").alias("source_system"),
@@ -153,19 +187,16 @@ def stripe_invoices_to_events(raw: DataFrame, column: str = PAYLOAD) -> DataFram
 
 def normalize_meta_campaigns(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Campaigns of the first ads platform; a list of delivery states is joined by commas."""
-    schema = (
-        "id string, name string, objective string, status string, effective_status string, created_time string, "
-        "start_time string, stop_time string, daily_budget string, lifetime_budget string"
-    )
+    fields = "id name objective status effective_status created_time start_time stop_time daily_budget lifetime_budget"
     state = F.col("p.effective_status")
-    joined = F.array_join(F.from_json(state, "array<string>"), ",")
-    return _parse(raw, schema, column).select(
+    joined = F.array_join(_as_list(state), ",")
+    return _parse(raw, fields, column).select(
         _text("p.id").alias("campaign_id"),
         _text("p.name").alias("name"),
         F.lit("meta_ads").alias("channel"),
         _text("p.objective").alias("objective"),
         _text("p.status").alias("status"),
-        F.when(state.startswith("["), joined).otherwise(filled(state)).alias("effective_status"),
+        F.when(joined.isNotNull(), joined).otherwise(filled(state)).alias("effective_status"),
         _day(F.col("p.created_time")).alias("created_time"),
         _day(F.col("p.start_time")).alias("start_date"),
         _day(F.col("p.stop_time")).alias("stop_date"),
@@ -177,11 +208,8 @@ def normalize_meta_campaigns(raw: DataFrame, column: str = PAYLOAD) -> DataFrame
 
 def normalize_meta_spend(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Daily insights as spend rows. The platform reports no conversions here."""
-    schema = (
-        "date_start string, campaign_id string, campaign_name string, spend string, impressions string, "
-        "clicks string, reach string, cpc string, ctr string"
-    )
-    return _parse(raw, schema, column).select(
+    fields = "date_start campaign_id campaign_name spend impressions clicks reach cpc ctr"
+    return _parse(raw, fields, column).select(
         F.col("p.date_start").try_cast("date").alias("date"),
         F.lit("meta_ads").alias("channel"),
         _text("p.campaign_id").alias("campaign_id"),
@@ -250,37 +278,31 @@ def normalize_google_spend(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
 
 def normalize_hubspot_contacts(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Contacts; a missing stage or source is 'unknown'."""
-    schema = (
-        "id string, properties struct<email:string,firstname:string,lastname:string,createdate:string,"
-        "lifecyclestage:string,hs_analytics_source:string>"
-    )
-    return _parse(raw, schema, column).select(
+    properties = _as_object("email firstname lastname createdate lifecyclestage hs_analytics_source", F.col("p.properties"))
+    return _parse(raw, "id properties", column).withColumn("q", properties).select(
         _text("p.id").alias("id"),
-        _text("p.properties.email").alias("email"),
-        _text("p.properties.firstname").alias("firstname"),
-        _text("p.properties.lastname").alias("lastname"),
-        _day(F.col("p.properties.createdate")).alias("created_date"),
-        filled(F.col("p.properties.lifecyclestage"), "unknown").alias("lifecycle_stage"),
-        filled(F.col("p.properties.hs_analytics_source"), "unknown").alias("lead_source"),
+        _text("q.email").alias("email"),
+        _text("q.firstname").alias("firstname"),
+        _text("q.lastname").alias("lastname"),
+        _day(F.col("q.createdate")).alias("created_date"),
+        filled(F.col("q.lifecyclestage"), "unknown").alias("lifecycle_stage"),
+        filled(F.col("q.hs_analytics_source"), "unknown").alias("lead_source"),
         F.lit(0).alias("num_associated_deals"),
     )
 
 
 def normalize_hubspot_deals(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Deals; an unreadable amount is 0 and a missing source 'direct'."""
-    schema = (
-        "id string, properties struct<dealname:string,amount:string,dealstage:string,createdate:string,"
-        "closedate:string,pipeline:string,hs_analytics_source:string>"
-    )
-    return _parse(raw, schema, column).select(
+    properties = _as_object("dealname amount dealstage createdate closedate pipeline hs_analytics_source", F.col("p.properties"))
+    return _parse(raw, "id properties", column).withColumn("q", properties).select(
         _text("p.id").alias("id"),
-        _text("p.properties.dealname").alias("dealname"),
-        F.coalesce(F.col("p.properties.amount").try_cast("double"), F.lit(0.0)).alias("amount"),
-        _text("p.properties.dealstage").alias("stage"),
-        _day(F.col("p.properties.createdate")).alias("created_date"),
-        _day(F.col("p.properties.closedate")).alias("close_date"),
-        _text("p.properties.pipeline").alias("pipeline"),
-        filled(F.col("p.properties.hs_analytics_source"), "direct").alias("utm_source"),
+        _text("q.dealname").alias("dealname"),
+        F.coalesce(F.col("q.amount").try_cast("double"), F.lit(0.0)).alias("amount"),
+        _text("q.dealstage").alias("stage"),
+        _day(F.col("q.createdate")).alias("created_date"),
+        _day(F.col("q.closedate")).alias("close_date"),
+        _text("q.pipeline").alias("pipeline"),
+        filled(F.col("q.hs_analytics_source"), "direct").alias("utm_source"),
     )
 
 
@@ -291,13 +313,12 @@ def normalize_mixpanel_events(
     raw: DataFrame, column: str = PAYLOAD, event_names: Sequence[str] | None = None
 ) -> DataFrame:
     """Exported events with their properties kept as JSON text, optionally of some names only."""
-    properties = F.from_json("p.properties", "distinct_id string, time string, utm_source string, utm_campaign string")
-    events = _parse(raw, "event string, properties string", column).withColumn("q", properties)
-    seconds = F.col("q.time").try_cast("double").cast("bigint")
+    properties = _as_object("distinct_id time utm_source utm_campaign", F.col("p.properties"))
+    events = _parse(raw, "event properties", column).withColumn("q", properties)
     result = events.select(
         _text("p.event").alias("event"),
         _text("q.distinct_id").alias("distinct_id"),
-        F.timestamp_seconds(seconds).alias("time"),
+        time_from_epoch(F.col("q.time")).alias("time"),
         _text("q.utm_source").alias("utm_source"),
         _text("q.utm_campaign").alias("utm_campaign"),
         F.coalesce("p.properties", F.lit("{}")).alias("properties_json"),
@@ -306,15 +327,18 @@ def normalize_mixpanel_events(
 
 
 def normalize_mixpanel_funnels(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
-    """One row per funnel step, numbered from 0."""
-    schema = (
-        "funnel_id string, id string, steps array<struct<event:string,name:string,count:string,"
-        "conversion_rate:string,step_conv_ratio:string>>"
-    )
-    parsed = _parse(raw, schema, column).select(
-        F.coalesce("p.funnel_id", "p.id", F.lit("")).alias("funnel_id"), F.posexplode("p.steps").alias("step_index", "s")
+    """One row per funnel step, numbered from 0; funnels come alone, as a list or as a list under ``results``.
+
+    A step that is no object keeps its number and has no users.
+    """
+    text = F.col(column)
+    listed = F.coalesce(_as_list(text), _as_list(_as_object("results", text)["results"]), F.array(text))
+    funnels = raw.select(F.explode(listed).alias(column))
+    parsed = _parse(funnels, "funnel_id id steps", column).select(
+        F.coalesce("p.funnel_id", "p.id", F.lit("")).alias("funnel_id"), F.posexplode(_as_list(F.col("p.steps"))).alias("step_index", "step")
     )
-    rate = F.coalesce("s.conversion_rate", "s.step_conv_ratio").try_cast("double")
+    parsed = parsed.withColumn("s", _as_object("event name count conversion_rate step_conv_ratio", F.col("step")))
+    rate = F.coalesce("s.conversion_rate", "s.step_conv_ratio")
     return parsed.select(
         "funnel_id",
         F.coalesce("s.event", "s.name", F.concat(F.lit("Step "), F.col("step_index"))).alias("step_name"),
@@ -334,19 +358,18 @@ def normalize_amplitude_events(raw: DataFrame, column: str = PAYLOAD) -> DataFra
 
     ``timestamp`` is ISO text; a time in another format is kept as it came.
     """
-    tags = "struct<utm_source:string,utm_campaign:string>"
-    schema = (
-        "event_type string, user_id string, session_id string, device_type string, country string, "
-        f"event_time string, revenue string, user_properties {tags}, event_properties {tags}"
-    )
+    fields = "event_type user_id session_id device_type country event_time revenue user_properties event_properties"
     time = F.col("p.event_time")
 
     def tag(name: str) -> Column:
-        return F.coalesce(
-            F.nullif(f"p.user_properties.{name}", F.lit("")), F.nullif(f"p.event_properties.{name}", F.lit("")), F.lit("")
-        )
+        return F.coalesce(F.nullif(f"user.{name}", F.lit("")), F.nullif(f"own.{name}", F.lit("")), F.lit(""))
 
-    return _parse(raw, schema, column).select(
+    events = _parse(raw, fields, column).select(
+        "p",
+        _as_object("utm_source utm_campaign", F.col("p.user_properties")).alias("user"),
+        _as_object("utm_source utm_campaign", F.col("p.event_properties")).alias("own"),
+    )
+    return events.select(
         *[_text(f"p.{name}").alias(name) for name in ("event_type", "user_id", "session_id", "device_type", "country")],
         tag("utm_source").alias("utm_source"),
         tag("utm_campaign").alias("utm_campaign"),
@@ -359,12 +382,12 @@ def normalize_amplitude_events(raw: DataFrame, column: str = PAYLOAD) -> DataFra
 
 def normalize_amplitude_cohorts(raw: DataFrame, as_of: DateLike, column: str = PAYLOAD) -> DataFrame:
     """Cohorts of a cohort listing; a missing computation day is ``as_of``."""
-    cohort = "array<struct<id:string,name:string,size:bigint,lastComputed:string>>"
-    parsed = _parse(raw, f"cohorts {cohort}", column).select(F.explode("p.cohorts").alias("c"))
+    parsed = _parse(raw, "cohorts", column).select(F.explode(_as_list(F.col("p.cohorts"))).alias("cohort"))
+    parsed = parsed.select(_as_object("id name size lastComputed", F.col("cohort")).alias("c")).filter("c IS NOT NULL")
     computed = F.when(F.length("c.lastComputed") >= 10, _day(F.col("c.lastComputed")))
     return parsed.select(
         _text("c.id").alias("cohort_id"),
         _text("c.name").alias("cohort_name"),
-        F.coalesce("c.size", F.lit(0)).alias("size"),
+        _whole("c.size").alias("size"),
         F.coalesce(computed, F.lit(to_date(as_of))).alias("last_computed"),
     )
