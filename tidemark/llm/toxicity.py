@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import char_model
 from tidemark.llm.labelled import SAMPLE_ROWS, labelled_texts
 from tidemark.llm.quality import BoostedTrees, fit_trees
+from tidemark.llm.recent import Recent
+from tidemark.session import snapshot
 
 # Characters that stand for letters.
 LOOK_ALIKE = {
@@ -44,7 +46,7 @@ SUSPECT = re.compile("[" + re.escape("".join(LOOK_ALIKE)) + "]")
 JOINED = "\x00"
 
 SHORTEST, LONGEST = 4, 7
-GROUP_CHARS, KNOWN_WORDS = 1 << 20, 200_000
+GROUP_CHARS, KNOWN_WORDS = 1 << 21, 150_000
 #: Weight of the evidence words in the character model, as a share of its words.
 LEXICON_SHARE = 0.02
 
@@ -123,9 +125,13 @@ class ToxicityModel:
     evidence: dict[str, tuple[float, float]]
     trees: BoostedTrees
 
+    def __post_init__(self) -> None:
+        self.starts = {feature[1 : SHORTEST + 1] for feature in self.evidence if feature.startswith("^")}
+
     def hit(self, words: list[str]) -> tuple[float, float, float, str] | None:
         """Log odds of the best word and the best beginning, the sure share, and the beginning; None without evidence."""
-        found = {f: self.evidence[f] for word in words for f in features_of(word) if f in self.evidence}
+        evidence, starts = self.evidence, self.starts
+        found = {f: evidence[f] for word in words if word in evidence or word[:SHORTEST] in starts for f in features_of(word) if f in evidence}
         if not found:
             return None
         begun = {f: e[0] for f, e in found.items() if f.startswith("^")}
@@ -136,7 +142,7 @@ class ToxicityModel:
         """The summary of a document (see ``SUMMARY``) and the surest share of toxic documents among those with one of its words."""
         hit_tokens = [t for t in tokens if known[t] is not None]
         if not hit_tokens:
-            return [0.0] * (len(SUMMARY) - 1) + [math.log1p(len(tokens))], 0.0
+            return [0.0] * len(SUMMARY), 0.0  # alike for all texts, so that length alone proves nothing
         hits = [known[t] for t in hit_tokens]
         top = max(Counter(h[3] for h in hits if h[3]).values(), default=0)
         strength = sum(max(h[0], h[1]) for h in hits)
@@ -145,16 +151,13 @@ class ToxicityModel:
         return row, max(h[2] for h in hits)
 
     def summaries(self, texts: Iterable[str]) -> Iterator[tuple[list[float], float]]:
-        known: dict[str, tuple | None] = {}
+        recent = Recent(KNOWN_WORDS)
         for group in grouped(texts):
-            new = set().union(*group).difference(known)
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-                new = set().union(*group)
+            new = recent.missing(set().union(*group))
             for token, words in restored(self.characters, new).items():
-                known[token] = self.hit(words)
+                recent.known[token] = self.hit(words)
             for tokens in group:
-                yield self.summary(tokens, known)
+                yield self.summary(tokens, recent.known)
 
     def probabilities(self, texts: Iterable[str]) -> np.ndarray:
         """What the trees say of the summary, but no less than the surest single word."""
@@ -239,7 +242,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_r
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < toxic < total:
         return ToxicityModel(plain, {}, fit_trees(np.zeros((total, len(SUMMARY))), np.full(total, float(toxic > 0))))
-    evidence = _evidence(_feature_counts(sample, plain), toxic / total)
+    evidence = _evidence(snapshot(_feature_counts(sample, plain)), toxic / total)
     lexicon = counts.astype(np.float64)
     if evidence:
         each = max(1.0, LEXICON_SHARE * counts.reshape(-1, char_model.SIZE).sum(axis=0)[0] / len(evidence))
