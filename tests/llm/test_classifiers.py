@@ -106,13 +106,13 @@ def test_held_out_accuracy(spark, query, label, divisor, rest):
 
 
 def test_odd_rows_and_labels(spark, documents):
-    docs = documents(*[f"fine idiot {k} here" if k % 3 == 0 else f"fine words {k} here" for k in range(60)], None, "", (None, "you 1d10t"), (3, "fine"), "i d i o t " * 3000)
+    docs = documents(*[f"fine idiot {k} here" if k % 3 == 0 else f"fine words {k} here" for k in range(60)], None, "", (None, "you 1d10t"), (3, "fine"), "i d i o t", "idiot " * 30_000)
     labels = [(k, 1, int(k % 3 == 0)) for k in range(60)] + [(None, 1, 1), (5, 1, None), (6, 1, 7), (999, 0, 1), (9, 1, 1), (9, 1, 1)]
     given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(docs, given, F.lit(True))
     rows = toxicity.score_toxicity(docs, model).collect()
-    assert len(rows) == 65 and all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in rows if r.doc_id is not None and 5 < r.doc_id < 60)
-    assert [r.score >= 0.5 for r in rows if r.doc_id is None or r.doc_id in (60, 61, 64)] == [False, False, True, True]
+    assert len(rows) == 66 and all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in rows if r.doc_id is not None and 5 < r.doc_id < 60)
+    assert [r.score >= 0.5 for r in rows if r.doc_id is None or r.doc_id in (60, 61, 64, 65)] == [False, False, True, True, True]
     assert labelled.labelled_texts(docs, given, "toxic", F.lit(True), sample_rows=7).select("doc_id").distinct().count() <= 7
     nothing = given.limit(0)
     for fit, score in ((toxicity.fit_toxicity, toxicity.score_toxicity), (quality.fit_quality, quality.score_quality)):
