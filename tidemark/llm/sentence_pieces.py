@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.recent import Recent
+
 SPACE = "▁"
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NO_RANK = np.int64(1 << 30)
@@ -39,6 +41,8 @@ class PieceModel:
         self.eos = eos
         self.pieces = [piece for piece, _, _ in pieces]
         self.types = [kind for _, _, kind in pieces]
+        self.texts = [None if kind == BYTE else "" if kind == CONTROL else piece.replace(SPACE, " ") for piece, _, kind in pieces]
+        self.numerals = [str(number) for number in range(len(pieces))]
         self.byte_ids = [self.pieces.index(f"<0x{value:02X}>") for value in range(256)]
         mergeable = {piece: i for i, (piece, _, kind) in enumerate(pieces) if kind == NORMAL}
         symbols = dict(mergeable)
@@ -138,6 +142,8 @@ def merge_long(model: PieceModel, part: str) -> list[int]:
 
 def piece_ids(model: PieceModel, symbols: list[int], part: str) -> list[int]:
     """Ids of the symbols; characters that are no piece become their bytes."""
+    if min(symbols) >= 0 and max(symbols) < len(model.pieces):
+        return symbols
     ids: list[int] = []
     at = 0
     for symbol in symbols:
@@ -162,8 +168,29 @@ def parts_of(text: str) -> list[str]:
     return PART.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+def _characters(octets: bytes) -> str:
+    """UTF-8 as text, each byte that belongs to no character as U+FFFD."""
+    out: list[str] = []
+    at = 0
+    while at < len(octets):
+        for size in (1, 2, 3, 4):
+            try:
+                out.append(octets[at : at + size].decode())
+            except UnicodeDecodeError:
+                continue
+            at += size
+            break
+        else:
+            out.append("\ufffd")
+            at += 1
+    return "".join(out)
+
+
 def decoded(model: PieceModel, ids: list[int]) -> str:
     """The pieces as text with blanks; control pieces are nothing, bytes that are no UTF-8 are U+FFFD."""
+    whole = [model.texts[number] for number in ids]
+    if None not in whole:
+        return "".join(whole)
     out: list[str] = []
     held = bytearray()
     for number in [*ids, -1]:
@@ -171,10 +198,10 @@ def decoded(model: PieceModel, ids: list[int]) -> str:
             held.append(int(model.pieces[number][3:5], 16))
             continue
         if held:
-            out.append(held.decode(errors="replace"))
+            out.append(_characters(bytes(held)))
             held.clear()
-        if number >= 0 and model.types[number] != CONTROL:
-            out.append(model.pieces[number].replace(SPACE, " "))
+        if number >= 0:
+            out.append(model.texts[number])
     return "".join(out)
 
 
@@ -189,15 +216,14 @@ class Encoder:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.recent = Recent(KNOWN_PARTS)
 
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > KNOWN_PARTS:
-            self.known.clear()
-            new = list(parts)
+    def learn(self, parts: set[str]) -> dict[str, tuple[int, str, str]]:
+        new = self.recent.missing(parts)
+        known, numerals = self.recent.known, self.model.numerals
         for part, ids in zip(new, encode_parts(self.model, new), strict=True):
-            self.known[part] = (len(ids), " ".join(map(str, ids)), decoded(self.model, ids))
+            known[part] = (len(ids), " ".join([numerals[i] for i in ids]), decoded(self.model, ids))
+        return known
 
     def groups(self, texts: Iterator[str]) -> Iterator[list[list[str]]]:
         """The parts of texts, of about ``GROUP_CHARS`` characters at a time."""
@@ -215,9 +241,9 @@ class Encoder:
     def encode(self, texts: Iterator[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids with blanks, decoded text) of each text; an end id follows the last part."""
         for group in self.groups(texts):
-            self.learn(set().union(*group))
+            known = self.learn(set().union(*group))
             for parts in group:
-                found = [self.known[p] for p in parts]
+                found = [known[p] for p in parts]
                 ids = " ".join([*(f[1] for f in found), str(self.model.eos)])
                 yield sum(f[0] for f in found) + 1, ids, "".join(f[2] for f in found).removeprefix(" ")
 
