@@ -234,14 +234,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_r
 
     The character model counts all texts of ``docs``; labels come from at most
     ``sample_rows`` usable labelled documents (see ``labelled_texts``). Without
-    labelled rows of both kinds every text gets the share of toxic ones.
+    labelled rows of both kinds every text gets the share of toxic ones, with one
+    clean document assumed if there are none at all: nothing is toxic unlearned.
     """
     counts = char_model.count_trigrams(docs)
     plain = char_model.log_probabilities(counts)
     sample = labelled_texts(docs, labels, "toxic", usable, sample_rows=sample_rows)
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < toxic < total:
-        return ToxicityModel(plain, {}, fit_trees(np.zeros((total, len(SUMMARY))), np.full(total, float(toxic > 0))))
+        return ToxicityModel(plain, {}, fit_trees(np.zeros((max(total, 1), len(SUMMARY))), np.full(max(total, 1), float(toxic > 0))))
     evidence = _evidence(snapshot(_feature_counts(sample, plain)), toxic / total)
     lexicon = counts.astype(np.float64)
     if evidence:
