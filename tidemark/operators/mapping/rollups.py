@@ -1,8 +1,8 @@
 """Spend and events by canonical key, and the bridge between them.
 
-Sums are taken per spelled name first, and the few spelled names are resolved
-afterwards. Only where distinct users are counted are the rows resolved while
-they are scanned, which saves a shuffle of (name, user) pairs.
+Sums are taken per spelled name first (per name and user where distinct users
+are counted), and the spelled names are resolved afterwards: no raw row is
+shuffled by a name that many rows share.
 
 All functions work by campaign when the events have ``utm_campaign`` and by
 channel otherwise.
@@ -38,12 +38,9 @@ def spend_rollup(
     """
     recent = since(F.col("date"), as_of, days)
     sums = {"spend_30d": "spend", "clicks_30d": "clicks", "platform_conversions_30d": "conversions"}
-    names = ["channel", "campaign"] if by_campaign else ["channel"]
-    shown = {"campaign_id": "campaign_id"} if by_campaign else {}
-    spelled = spend.groupBy(*names).agg(
-        *[sum_if(recent, F.col(column)).alias(name) for name, column in sums.items()],
-        *[F.min(column).alias(name) for name, column in shown.items()],
-    )
+    # The id is a key here, so that the pass over the raw rows only sums numbers (a hash aggregate).
+    names = ["channel", "campaign", "campaign_id"] if by_campaign else ["channel"]
+    spelled = spend.groupBy(*names).agg(*[sum_if(recent, F.col(column)).alias(name) for name, column in sums.items()])
     keyed = canonicalize(spelled, rules, "channel", "campaign" if by_campaign else None)
     rollup = keyed.groupBy(*key_columns(by_campaign)).agg(
         F.min("channel").alias("channel"),
@@ -65,15 +62,18 @@ def event_rollup(
     """Distinct sign-ups and purchasers and the revenue of the revenue event per key."""
     by_campaign = has_campaigns(events) if by_campaign is None else by_campaign
     keys = key_columns(by_campaign)
+    names = ["utm_source", "utm_campaign"] if by_campaign else ["utm_source"]
     is_revenue = F.col("event_type") == revenue_event
     known = F.col("user_id").isNotNull()
     recent = events.filter(since(F.col("event_date"), as_of, days))
-    keyed = canonicalize(recent, rules, "utm_source", "utm_campaign" if by_campaign else None)
-    users = keyed.groupBy(*keys, "user_id").agg(
+    spelled = recent.groupBy(*names, "user_id").agg(
         F.max(F.when((F.col("event_type") == "signup") & known, 1).otherwise(0)).alias("signed_up"),
         F.max(F.when(is_revenue & known, 1).otherwise(0)).alias("purchased"),
         sum_if(is_revenue, F.col("revenue")).alias("revenue"),
     )
+    users = canonicalize(spelled, rules, *names).groupBy(*keys, "user_id").agg(
+        F.max("signed_up").alias("signed_up"), F.max("purchased").alias("purchased"), F.sum("revenue").alias("revenue")
+    )
     return users.groupBy(*keys).agg(
         F.sum("signed_up").alias("signups_30d"),
         F.sum("purchased").alias("purchasers_30d"),

@@ -477,7 +477,7 @@ QUERIES = {
         _load_csv,
         with_tables(
             "marketing_spend",
-            """SELECT strftime(date, '%Y-%m-%d') AS date, channel, campaign, CAST(spend AS DOUBLE) AS spend, impressions, clicks, conversions FROM marketing_spend""",
+            """SELECT strftime(date, '%Y-%m-%d') AS date, channel, campaign, CAST(spend AS DOUBLE) AS spend, impressions, clicks, CAST(conversions AS DOUBLE) AS conversions FROM marketing_spend""",
         ),
     ),
     "load_csv_dir": (
