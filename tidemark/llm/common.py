@@ -11,6 +11,8 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Name of the row key; input columns of this name are not supported.
 ROW = "__row"
+#: Setting of the least number of partitions of a file scan.
+SPLITS = "spark.sql.files.minPartitionNum"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +30,12 @@ def with_row_key(df: DataFrame) -> DataFrame:
 
     The key is the row's place in the scan, so ``df`` has to be a table (or
     anything else that yields the same rows in the same order when read again).
+    Small tables are split by the number of cores; that number is pinned in the
+    session, so that a scan after the loss of executors gives the same keys.
     """
+    spark = df.sparkSession
+    if spark.conf.get(SPLITS, None) is None:
+        spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
