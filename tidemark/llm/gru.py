@@ -196,7 +196,7 @@ def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], *, lanes: int
     return flat, int(lanes * length)
 
 
-def score_texts(shape: Shape, p: dict[str, np.ndarray], texts: list[np.ndarray], *, steps: int = 32) -> np.ndarray:
+def score_texts(shape: Shape, p: dict[str, np.ndarray], texts: list[np.ndarray], *, steps: int = 12) -> np.ndarray:
     """Natural log-likelihood of each whole text.
 
     All texts advance together, longest first, so those that still run are a prefix.

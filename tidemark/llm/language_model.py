@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import gru
 from tidemark.llm.common import ROW, with_row_key
+from tidemark.llm.packing import length_histogram
 from tidemark.session import snapshot
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -38,7 +39,7 @@ ROUNDS, ROUND_WORDS, ROUND_SHARE = 3, 1_000_000, 1 / 100
 #: Words that one task trains on; numbers of a block when models are averaged.
 SHARD_WORDS, BLOCK = 300_000, 8_192
 #: Counted words that a task holds, and words that it scores together.
-HELD_WORDS, GROUP_WORDS = 200_000, 3_000_000
+HELD_WORDS, GROUP_WORDS = 200_000, 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -79,9 +80,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """What a task knows of words: symbol, log10 base probability and log10 share of its symbol."""
+    """What a task knows of words: their numbers, and by number symbol, log10 base probability and log10 share of the symbol."""
 
-    known: dict[bytes, tuple[int, float, float]]
+    known: dict[bytes, int]
+    symbol: np.ndarray
+    base_log: np.ndarray
+    share_log: np.ndarray
     groups: np.ndarray
     shape: gru.Shape
     frequency: np.ndarray
@@ -96,9 +100,9 @@ class Lexicon:
 
 def build_lexicon(counts: DataFrame) -> Lexicon:
     """Vocabulary, classes and the masses of the spelling groups; bounded whatever the number of different words."""
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    top = [(r.word.encode(), r.n) for r in rows]
+    of_ends = F.sum(F.when(F.col("word") == END, F.col("n")))
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(of_ends, F.lit(0))).first()
+    top = _most_frequent(counts)
     grouped = counts.filter(F.col("word") != END).groupBy(_spelling_group(F.col("word")).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
     masses = np.full(GROUPS, SMOOTHING)
     for r in grouped.collect():
@@ -107,7 +111,6 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
     for word, n in own:
         masses[spelling_group(word)] -= n + SMOOTHING
     masses = np.maximum(masses, SMOOTHING)
-    ends = dict(top).get(END.encode(), 0)
     symbols: list[tuple[float, bytes | int]] = [(n + SMOOTHING, w) for w, n in own] + [(ends + SMOOTHING, END.encode())] + [(m, g) for g, m in enumerate(masses)]
     symbols.sort(key=lambda s: (-s[0], str(s[1])))
     frequency = np.array([n for n, _ in symbols])
@@ -117,19 +120,37 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
     first = np.r_[np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]]), len(symbols)]
     number = {s: i for i, (_, s) in enumerate(symbols)}
     groups = np.array([number[g] for g in range(GROUPS)])
-    lexicon = Lexicon({}, groups, gru.Shape(first, WIDTH), frequency, total, distinct, masses)
-    for word, n in [*top, (END.encode(), ends)]:
-        group = spelling_group(word)
-        symbol = number.get(word)
-        share = 0.0 if symbol is not None else math.log10((n + SMOOTHING) / masses[group])
-        lexicon.known[word] = (groups[group] if symbol is None else symbol, math.log10((n + SMOOTHING) / lexicon.base()), share)
-    return lexicon
-
-
-def _symbols(lexicon: Lexicon, words: list[bytes]) -> np.ndarray:
-    known, groups = lexicon.known, lexicon.groups
-    found = [known[w][0] if w in known else groups[spelling_group(w)] for w in words]
-    return np.array([*found, known[END.encode()][0]], np.int64)
+    top = [*((w, n) for w, n in top if w != END.encode()), (END.encode(), ends)]
+    times = np.array([n for _, n in top]) + SMOOTHING
+    group = np.array([spelling_group(w) for w, _ in top])
+    symbol = np.array([number.get(w, -1) for w, _ in top])
+    share = np.where(symbol >= 0, 0.0, np.log10(times / masses[group]))
+    base = np.log10(times / (total + SMOOTHING * (distinct + 1)))
+    known = {w: i for i, (w, _) in enumerate(top)}
+    return Lexicon(known, np.where(symbol >= 0, symbol, groups[group]), base, share, groups, gru.Shape(first, WIDTH), frequency, total, distinct, masses)
+
+
+def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """All words more frequent than the count at which they would outnumber the dictionary."""
+    room, least = DICTIONARY, 0
+    for top, words, _ in reversed(length_histogram(counts.select(F.col("n").alias("n_tokens")))):
+        room -= words
+        if room < 0:
+            least = top
+            break
+    rows = counts.filter(F.col("n") > least).collect()
+    return sorted(((r.word.encode(), r.n) for r in rows), key=lambda row: (-row[1], row[0]))
+
+
+def _numbered(lexicon: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers of the words and the end (-1 for others), their symbols, and the other words."""
+    get = lexicon.known.get
+    numbers = np.array([*[get(w, -1) for w in words], lexicon.known[END.encode()]], np.int64)
+    other = np.flatnonzero(numbers < 0)
+    rare = [words[k] for k in other.tolist()]
+    symbols = lexicon.symbol[numbers]
+    symbols[other] = lexicon.groups[[spelling_group(w) for w in rare]] if rare else 0
+    return numbers, symbols, rare
 
 
 def train_model(docs: DataFrame, lexicon: Lexicon, *, round_share: float = ROUND_SHARE) -> np.ndarray:
@@ -146,7 +167,7 @@ def train_model(docs: DataFrame, lexicon: Lexicon, *, round_share: float = ROUND
 
         def tasks(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             words, flat = shared.value
-            texts = [_symbols(words, words_of(text.as_py())) for batch in batches for text in batch.column(1)]
+            texts = [_numbered(words, words_of(text.as_py()))[1] for batch in batches for text in batch.column(1)]
             trained, seen = gru.train(words.shape, flat, texts, rate=rate)
             blocks = [trained[at : at + BLOCK] for at in range(0, len(trained), BLOCK)]
             n = len(blocks) if seen else 0
@@ -196,15 +217,12 @@ def _scored(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame
 
         for batch in batches:
             for row, doc_id, held_out, text in zip(*(batch.column(k) for k in range(4)), strict=True):
-                tokens = [*words_of(text.as_py()), END.encode()]
-                found = [words.known.get(w) for w in tokens]
-                symbols = [f[0] if f else words.groups[spelling_group(w)] for f, w in zip(found, tokens, strict=True)]
-                hits = [f for f in found if f]
-                rare = Counter(w for f, w in zip(found, tokens, strict=True) if f is None)
-                base, share = math.fsum(f[1] for f in hits), math.fsum(f[2] for f in hits)
-                rows.append((row.as_py(), doc_id.as_py(), held_out.as_py(), len(tokens), len(hits), base, share, rare))
-                texts.append(np.array(symbols, np.int64))
-                size += len(tokens)
+                numbers, symbols, rare = _numbered(words, words_of(text.as_py()))
+                hits = numbers[numbers >= 0]
+                base, share = words.base_log[hits].sum(), words.share_log[hits].sum()
+                rows.append((row.as_py(), doc_id.as_py(), held_out.as_py(), len(numbers), len(hits), base, share, Counter(rare)))
+                texts.append(symbols)
+                size += len(numbers)
                 if size >= GROUP_WORDS:
                     yield emit()
                     rows, texts, size = [], [], 0
