@@ -109,3 +109,37 @@ def test_near_copies_keep_one_of_each_group(spark, documents):
     gone = sorted(r[0] for r in simhash.near_copies(documents(*texts).coalesce(1)).collect())
     assert gone == list(range(12, len(texts)))
     assert simhash.near_copies(documents()).count() == 0
+
+
+def shingle_sets_of(texts, size=5):
+    found = []
+    for text in texts:
+        words = text.split()
+        found.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))})
+    return found
+
+
+@pytest.mark.parametrize("part_rows", [256, 3])
+def test_near_copies_are_those_at_a_similarity_of_0_8(spark, documents, monkeypatch, part_rows):
+    """Pairs around 0.70, 0.75, 0.80 and 0.85, chains of them, and a group around one text, against all pairs."""
+    monkeypatch.setattr(simhash, "PART_ROWS", part_rows)
+    random.seed(17)
+    fresh = iter(range(10**9))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    texts = []
+    for similarity in (0.70, 0.75, 0.79, 0.80, 0.81, 0.85):
+        for _ in range(25):
+            base = new(204)
+            kept = round(200 * 2 * similarity / (1 + similarity) + 0.499)
+            texts += [" ".join(base), " ".join(base[: kept + 4] + new(200 - kept))]
+    base = new(200)
+    for k in range(40):
+        texts.append(" ".join(base[k * 3 :] + new(k * 3)))
+    same = new(300)
+    texts += [" ".join([*new(12), *same]), " ".join([*same, *new(12)]), " ".join(["again"] * 3000 + new(300)), " ".join(["again"] * 3000 + new(300))]
+    sets = shingle_sets_of(texts)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])]
+    expected = sorted(n for n, root in groups_of(pairs, range(len(texts))).items() if n != root)
+    assert sum(n < 300 for n in expected) == 75
+    gone = sorted(r[0] for r in simhash.near_copies(documents(*texts).coalesce(1)).collect())
+    assert gone == expected

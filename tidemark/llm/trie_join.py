@@ -124,7 +124,7 @@ def trie_links(patterns: DataFrame, bits: int, budget: int, *, verify_bits: int
 
 def _walk(units: DataFrame, bits: int, budget: int, verify_bits: int | None) -> DataFrame:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_units(batches):
+        for part in whole_units(batches):
             u, v = _unit_edges(part, bits, budget, verify_bits)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -137,7 +137,7 @@ def _unsigned(name: str) -> Column:
     return F.col(name).bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _whole_units(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+def whole_units(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
     """Sorted batches, regrouped so that no unit is cut; units are small, so these tables are too."""
     held: list[pa.RecordBatch] = []
     size = 0
