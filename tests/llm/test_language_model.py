@@ -134,3 +134,19 @@ def test_degenerate_tables(documents, tiny):
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(3, 0, 0), (1, 0, 0)]
     same = language_model.score_documents(documents((1, "a a"), (1, "a a"), (None, "a")), F.lit(False)).collect()
     assert sorted((r.n_tokens, r.train_tokens) for r in same) == [(2, 8), (3, 8), (3, 8)]
+
+
+def test_every_training_document_is_trained_on_once(spark, documents, tiny, monkeypatch):
+    monkeypatch.setattr(language_model, "ROUND_WORDS", 100, raising=False)
+    random.seed(8)
+    trained, kind = [], type(spark.range(0))
+
+    def recorded(self, function, schema, *rest, run=kind.mapInArrow, **options):
+        if str(schema).startswith("block "):
+            trained.extend(r.key for r in self.select("key").collect())
+        return run(self, function, schema, *rest, **options)
+
+    monkeypatch.setattr(kind, "mapInArrow", recorded)
+    docs = documents(*(" ".join(random.choices(["a", "b", "c"], k=20)) for _ in range(200)))
+    language_model.score_documents(docs, F.col("doc_id") % 10 == 0)
+    assert sorted(trained) == [k for k in range(200) if k % 10]

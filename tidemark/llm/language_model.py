@@ -4,9 +4,9 @@ Word counts of all training documents fix the vocabulary: the most frequent word
 have a symbol of their own, all others share one symbol per spelling group, inside
 which a word has its smoothed frequency. The model therefore gives every word a
 probability, and starts as the unigram model. It is trained in rounds: every task
-trains a copy on its part of a sample of the training documents that grows with
-the corpus, then the copies are averaged. Scoring runs over all texts in tasks;
-only words outside a bounded dictionary are looked up by a join.
+trains a copy on its part of the round's documents, then the copies are averaged;
+the rounds together are one pass over all training documents. Scoring runs over
+all texts in tasks; only words outside a bounded dictionary are looked up by a join.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ SMOOTHING = 0.1
 #: Words with a symbol of their own, spelling groups of all others, words that tasks know without a join.
 VOCABULARY, GROUPS, DICTIONARY = 8_192, 256, 65_536
 WIDTH, CLASSES = 24, 96
-#: Rounds of training; words of the sample of a round (all, if there are fewer) and the share of the corpus it has at least.
-ROUNDS, ROUND_WORDS, ROUND_SHARE = 3, 1_000_000, 1 / 100
+#: Rounds of training, over which the training documents are dealt.
+ROUNDS = 3
 #: Words that one task trains on; numbers of a block when models are averaged.
 SHARD_WORDS, BLOCK = 300_000, 8_192
 #: Counted words that a task holds, and words that it scores together.
@@ -153,17 +153,16 @@ def _numbered(lexicon: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     return numbers, symbols, rare
 
 
-def train_model(docs: DataFrame, lexicon: Lexicon, *, round_share: float = ROUND_SHARE) -> np.ndarray:
-    """Weights after ``ROUNDS`` rounds of training and averaging on (``key``, ``text``) of training documents."""
+def train_model(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Weights after ``ROUNDS`` rounds of training and averaging; each (``key``, ``text``) is trained on in one of them."""
     spark = docs.sparkSession
     shape = lexicon.shape
     weights = gru.initial(shape, lexicon.frequency)
-    share = min(1.0, max(ROUND_WORDS / max(lexicon.total, 1), round_share))
-    shards = max(1, math.ceil(share * lexicon.total / SHARD_WORDS))
+    shards = max(1, math.ceil(lexicon.total / ROUNDS / SHARD_WORDS))
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast((lexicon, weights))
         rate = 0.01 / 2**number
-        chosen = docs.filter(F.pmod(F.xxhash64("key", F.lit(number)), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+        chosen = docs.filter(F.pmod(F.xxhash64("key", "text"), F.lit(ROUNDS)) == number)
 
         def tasks(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             words, flat = shared.value
@@ -233,7 +232,7 @@ def _scored(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame
     return docs.select(ROW, "doc_id", "held_out", "text").mapInArrow(tasks, schema)
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", *, round_share: float = ROUND_SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Scores are log10 probabilities of the whole text including its end. Everything
@@ -245,7 +244,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     rows = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")))
     counts = snapshot(word_counts(rows.filter(~F.col("held_out"))))
     lexicon = build_lexicon(counts)
-    weights = train_model(rows.filter(~F.col("held_out")).select(F.col("doc_id").alias("key"), "text"), lexicon, round_share=round_share)
+    weights = train_model(rows.filter(~F.col("held_out")).select(F.col("doc_id").alias("key"), "text"), lexicon)
     scored = snapshot(_scored(rows, lexicon, weights))
     rare = scored.select(ROW, F.explode(F.arrays_zip("rare", "times")).alias("r")).select(ROW, F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     found = rare.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)) + F.lit(SMOOTHING))
