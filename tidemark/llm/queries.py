@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import embedding_dedup, exact_dedup, language_model, line_dedup, packing, quality, secrets, sentence_pieces, simhash, toxicity
+from tidemark.llm import (
+    centroids,
+    embedding_dedup,
+    exact_dedup,
+    language_model,
+    line_dedup,
+    packing,
+    quality,
+    secrets,
+    sentence_pieces,
+    sharding,
+    simhash,
+    spelling,
+    toxicity,
+)
 from tidemark.llm.common import filled, id_remainder, table
 
 
@@ -117,6 +131,92 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_
 FROM e LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
 """
 
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in 40 shards by a uniform shuffle; only their sizes and checksums move."""
+    docs = table(spark, sf_dir, "documents")
+    size = (sharding.utf8_size(F.col("text")) + 16).cast("long")
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(filled("text")).alias("text_crc32"))
+    placed = sharding.shuffle_into_shards(rows, 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors in 16 clusters after three rounds."""
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op12_sql(clusters: int, dims: int, scale: int, rounds: int) -> str:
+    """Rounds unrolled; centroids are lists, distances are taken to all of them."""
+    steps = [
+        f"""WITH k AS (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+f AS (SELECT q, row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS cluster FROM k),
+c0 AS (SELECT cluster, q AS c FROM f WHERE cluster < {clusters})"""
+    ]
+    for t in range(rounds + 1):
+        squared = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (k.q[i] - c.c[i]) * (k.q[i] - c.c[i])))"
+        steps.append(
+            f"""a{t} AS (
+  SELECT row_id, vec_id, q, cluster, distance::BIGINT AS distance FROM (
+    SELECT k.*, cluster, {squared} AS distance FROM k CROSS JOIN c{t} AS c)
+  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY distance, cluster) = 1)"""
+        )
+        if t < rounds:
+            steps.append(
+                f"""m{t} AS (
+  SELECT cluster, list(floor(total / n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT cluster, i, sum(x)::DOUBLE AS total, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range({dims})) AS i FROM a{t}) GROUP BY cluster, i)
+  GROUP BY cluster),
+c{t + 1} AS (SELECT c.cluster, coalesce(m.c, c.c) AS c FROM c{t} AS c LEFT JOIN m{t} AS m USING (cluster))"""
+            )
+    steps.append(f"""e AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY cluster)""")
+    last = f"""SELECT vec_id, cluster::INT AS cluster, distance, cluster_inertia, (SELECT sum(distance) FROM a{rounds})::BIGINT AS inertia,
+       sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN e USING (cluster) JOIN c{rounds} AS c USING (cluster)"""
+    return ",\n".join(steps) + "\n" + last
+
+
+OP12_SQL = _op12_sql(16, 64, 64, 3)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the documents with their spelling variants."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 byte by byte, with the usual table made from its polynomial 0xEDB88320.
+OP13_SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS crc
+  FROM range(256) r(b)),
+o AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '{spelling.LETTERS}')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM o WHERE length(run) >= 5 GROUP BY doc_id, run),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(0, length(code) // 2), lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1]))) AS h
+  FROM g, t),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT DISTINCT a.word AS word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS form, max(near_n) AS form_n FROM p GROUP BY word),
+v AS (
+  SELECT word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM w LEFT JOIN b USING (word)),
+r(word, root) AS (SELECT word, word FROM v WHERE form IS NULL UNION ALL SELECT v.word, r.root FROM v JOIN r ON v.form = r.word)
+SELECT v.word, form, root, n, n_near, form_n FROM v JOIN r USING (word)
+"""
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
@@ -128,4 +228,7 @@ QUERIES = {
     "op8_sentence_pieces": (op8_sentence_pieces, None),
     "op9_simhash": (op9_simhash, None),
     "op10_embedding_dedup": (op10_embedding_dedup, OP10_SQL),
+    "op11_sharding": (op11_sharding, None),
+    "op12_centroids": (op12_centroids, OP12_SQL),
+    "op13_spelling": (op13_spelling, OP13_SQL),
 }
