@@ -153,13 +153,88 @@ def test_custom_metric_and_benchmarks(spark):
         "SELECT * FROM text.`/etc/hostname`",
         "SELECT a FROM VALUES (1) t(a) WHERE EXISTS (SELECT 1 FROM csv.`/tmp/x`)",
         "SELECT * FROM parquet.`/tmp/y` JOIN nowhere.z",
+        "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.dir')",
+        "WITH x AS (SELECT IDENTIFIER('n') AS v FROM numbers) SELECT v FROM x",
+        "SELECT TRANSFORM(n) USING 'cat' AS (b) FROM numbers",
+        "SELECT b FROM (FROM numbers MAP n USING 'cat' AS b)",
+        "EXECUTE IMMEDIATE 'CREATE OR REPLACE TEMP VIEW numbers AS SELECT 1 AS n'",
+        "EXECUTE IMMEDIATE 'SELECT 1'",
+        "BEGIN DROP VIEW numbers; END",
+        "DECLARE VARIABLE x INT DEFAULT 1",
+        "SET VARIABLE x = 2",
+        "SET spark.sql.ansi.enabled = false",
+        "RESET",
+        "ADD JAR '/tmp/x.jar'",
+        "LIST FILES",
+        "ANALYZE TABLE numbers COMPUTE STATISTICS",
+        "DESCRIBE QUERY SELECT * FROM text.`/etc/hostname`",
+        "DESCRIBE QUERY SELECT java_method('java.lang.System', 'nanoTime')",
+        "SELECT * FROM STREAM numbers",
+        "SELECT * FROM numbers WHERE n IN (SELECT n FROM IDENTIFIER('numbers'))",
+        "SELECT * FROM numbers, LATERAL (SELECT reflect('java.lang.Math', 'abs', n))",
+        "SELECT transform(array(1), x -> java_method('java.lang.Math', 'abs', x))",
+        "FROM numbers |> EXTEND java_method('java.lang.System', 'nanoTime') AS t",
+        "SELECT from_protobuf(unhex('00'), 'M', '/etc/hostname')",
+        "SELECT * FROM python_worker_logs()",
     ],
 )
-def test_reflection_and_files_are_refused(spark, sql):
+def test_reflection_and_files_are_refused(spark, numbers, sql):
     with pytest.raises(adhoc.ReadOnlyQueryError):
         adhoc.run_query(spark, sql)
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT n, row_number() OVER w AS r FROM numbers WINDOW w AS (ORDER BY n DESC)",
+        "SELECT * FROM (SELECT n FROM numbers) PIVOT (count(*) FOR n IN (1, 2))",
+        "SELECT n, k, v FROM (SELECT n, n AS a FROM numbers) UNPIVOT (v FOR k IN (a))",
+        "SELECT n, x FROM numbers LATERAL VIEW explode(array(n, n + 1)) t AS x",
+        "SELECT a.n, b.m FROM numbers a JOIN LATERAL (SELECT a.n + 1 AS m) b",
+        "WITH RECURSIVE r(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM r WHERE x < 5) SELECT max(x) FROM r",
+        "SELECT n % 2 AS k, count(*) AS c FROM numbers GROUP BY ROLLUP (n % 2) HAVING count(*) > 1 ORDER BY k LIMIT 2 OFFSET 1",
+        "SELECT * FROM numbers TABLESAMPLE (5 ROWS)",
+        "SELECT * FROM range(3) r JOIN VALUES (1), (2) v(x) ON r.id = v.x",
+        "SELECT /*+ BROADCAST(b) */ a.n FROM numbers a LEFT ANTI JOIN numbers b ON a.n = b.n",
+        "FROM numbers |> WHERE n > 3 |> AGGREGATE sum(n) AS s",
+        "SELECT filter(array(n, 2), x -> x > 1) AS f, (SELECT min(n) FROM numbers) AS m FROM numbers",
+        "SELECT n FROM numbers INTERSECT SELECT 1 EXCEPT SELECT 2",
+        "DESCRIBE QUERY SELECT n FROM numbers",
+        "SHOW COLUMNS IN numbers",
+        "EXPLAIN SELECT n FROM numbers",
+    ],
+)
+def test_queries_of_many_kinds_run(spark, numbers, sql):
+    adhoc.run_query(spark, sql).collect()
+
+
+def test_a_view_may_read_what_it_likes(spark, tmp_path):
+    """Whoever registers a view decides what it reads, files and Python included."""
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    lines = spark.read.text(str(tmp_path)).mapInPandas(lambda batches: batches, "value string")
+    lines.createOrReplaceTempView("lines_of_file")
+    assert adhoc.run_query(spark, "SELECT count(*) AS n FROM lines_of_file").first().n == 2
+
+
+@pytest.mark.parametrize(
+    "expression",
+    [
+        "java_method('java.lang.System', 'getProperty', 'user.dir')",
+        "count(reflect('java.util.UUID', 'randomUUID'))",
+        "max((SELECT count(*) FROM text.`/etc/hostname`))",
+        "sum(CASE WHEN cac IN (SELECT n FROM numbers) THEN 1 END)",
+        "IDENTIFIER('java_method')('java.lang.System', 'nanoTime')",
+        "sum(cac",
+        "sum(cac) FROM numbers",
+    ],
+)
+def test_metrics_reach_their_table_only(spark, numbers, expression):
+    spend = spark.createDataFrame([("a", 1.0)], "channel string, cac double")
+    with pytest.raises(adhoc.ReadOnlyQueryError):
+        adhoc.custom_metric(spend, adhoc.CustomMetric("m", "M", expression, "spend"))
+
+
 @pytest.mark.parametrize(
     ("metric", "value", "verdict"),
     [("mer", 3.0, "Good"), ("mer", 1.0, "Poor"), ("payback_months", 13.0, "Average"), ("payback_months", 30.0, "Poor"), ("retention_week", 61.0, "Good"), ("retention_month", 31.0, "Average")],
