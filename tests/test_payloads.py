@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 
@@ -152,3 +153,39 @@ def test_landing_takes_each_file_once(spark, tmp_path):
     (tmp_path / "landing" / "2.jsonl").write_text(json.dumps({**BILL, "id": "bill-78"}), encoding="utf-8")
     assert run() == 2
     assert run() == 2
+
+
+def test_odd_neighbours_in_ad_reports_lose_no_result(spark):
+    """A result counts by itself, whatever stands beside it or in one of its parts."""
+    one = {"campaign": {"id": "g-1", "name": "One", "status": "ENABLED"}, "segments": {"date": "2020-06-01"}, "metrics": {"clicks": "9", "costMicros": 2500000}}
+    odd = ["bad", 7, None, [], True, {"results": [one]}]
+    parts = [{**one, "campaign": "text"}, {**one, "metrics": []}, {**one, "segments": 5}, {**one, "metrics": {"clicks": {"n": 1}, "costMicros": "2500000"}}]
+    given = [
+        [{"results": [one, *odd]}, "batch", None, {"results": "none"}, {"results": {}}, {"results": parts}],
+        {"results": [one, "bad"]},
+        '[{"results": [{"campaign": {"id": "g-2", "id": "g-3"}}, {"campaign": {"id": "g-4"}}]}]',
+        "broken",
+        "[]",
+    ]
+    rows = payloads.normalize_google_spend(raw(spark, *given)).collect()
+    found = sorted((r.campaign_id, str(r.date), float(r.spend), r.clicks) for r in rows)
+    full = ("g-1", "2020-06-01", 2.5, 9)
+    # The object that is no campaign (a batch in place of a result) counts as a result without fields.
+    assert found == sorted([full, full, ("", "None", 0.0, 0), ("", *full[1:]), (*full[:2], 0.0, 0), ("g-1", "None", 2.5, 9), ("g-1", "2020-06-01", 2.5, 0), ("g-4", "None", 0.0, 0)])
+    campaigns = payloads.normalize_google_campaigns(raw(spark, *given)).collect()
+    assert sorted((r.campaign_id, r.name) for r in campaigns if r.name) == [("g-1", "One")] * 5 and len(campaigns) == 8
+    skipped = sorted(r.value for r in payloads.rejected_google_results(raw(spark, *given)).collect())
+    assert {'"bad"', "7", "[]", "true", "broken"} <= set(skipped)
+
+
+def test_lenient_texts_are_read_field_by_field(spark):
+    texts = ['{"id": "a", "id": "b", "customer": "c", "lines": {"data": [{"period": {"start": 1600000000}}]}}', "{'id': 'q', 'customer_details': {'email': 'e@x'}}", '{"id": "n", "amount_paid": NaN}', "{broken"]
+    rows = payloads.normalize_stripe_invoices(raw(spark, *texts)).orderBy("invoice_id").collect()
+    assert [(r.invoice_id, r.customer_id, r.customer_email, str(r.period_start)) for r in rows] == [("b", "c", "", "2020-09-13"), ("n", "", "", "None"), ("q", "", "e@x", "None")]
+
+
+def test_each_text_is_parsed_once(spark):
+    """The strict parser appears once on the scanned text; the rest stands behind explodes."""
+    for normalize, field in ((payloads.normalize_stripe_invoices, "RLIKE(value"), (payloads.stripe_invoices_to_events, "RLIKE(value"), (payloads.normalize_google_spend, "value")):
+        plan = normalize(raw(spark, BILL))._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(rf"parseJson\((CASE WHEN )?{re.escape(field)}", plan)) == 1, plan

@@ -4,8 +4,9 @@ Every normalizer takes a frame with the payloads as JSON text in one column
 (one object per row, as ``spark.read.text`` gives it) and returns the table.
 They are projections without shuffles or state, so they run on a batch and on
 a stream alike. Text that is no JSON object is skipped, and ``rejected`` lists
-it. A field of another type than usual never loses its record: every field is
-read as text first, sub-objects and lists are read from their text, and what
+it (``rejected_google_results`` those of ad reports). A field of another type than
+usual never loses its record: nested payloads are parsed once to a variant, from
+which each field is taken by its own path, flat ones as text by field, and what
 cannot be read counts as missing. Missing text becomes '', missing amounts 0 and
 missing dates null.
 """
@@ -67,29 +68,68 @@ def rejected(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     return _read(raw, "_any", column).filter("p IS NULL").select(F.col("_value").alias(PAYLOAD))
 
 
+def _variants(raw: DataFrame, fields: str, column: str) -> DataFrame:
+    """The payload as variant ``v``; rows that are no JSON object are dropped.
+
+    Texts that are no strict JSON (repeated keys, single quotes) give a variant of
+    the named fields. Parsed values pass through (outer) explodes for the reason
+    given in ``_read``.
+    """
+    text = F.when(F.col(column).rlike(r"^\s*\{"), F.col(column))
+    strict = raw.select(text.alias("_text"), F.explode_outer(F.array(F.try_parse_json(text))).alias("s"))
+    schema = ", ".join(f"`{name}` string" for name in fields.split())
+    again = F.from_json("_text", f"{schema}, `_bad` string", {"columnNameOfCorruptRecord": "_bad"})
+    read = strict.select("s", F.explode_outer(F.array(F.when(F.col("s").isNull(), again))).alias("f"))
+    values = [_as_variant(F.col(f"f.{name}")).alias(name) for name in fields.split()]
+    known = read.filter("s IS NOT NULL OR (f IS NOT NULL AND f._bad IS NULL)")
+    return known.select(F.coalesce("s", F.to_variant_object(F.struct(*values))).alias("v"))
+
+
+def _as_variant(text: Column) -> Column:
+    """A field's text as the JSON it is, or as a string."""
+    return F.coalesce(F.try_parse_json(text), F.to_variant_object(F.array(text)).cast("array<variant>")[0])
+
+
+def _at(path: str, variant: str = "v") -> Column:
+    """The value at a path as text, null where any part of the path is missing or of another kind."""
+    return F.nullif(F.try_variant_get(variant, f"$.{path}", "string"), F.lit(""))
+
+
+def _text_at(path: str, default: str = "") -> Column:
+    return F.coalesce(_at(path), F.lit(default))
+
+
+def _is_true(text: Column) -> Column:
+    return ~F.coalesce(F.trim(text), F.lit("")).isin(*FALSE)
+
+
 def _truth(name: str) -> Column:
-    return ~F.coalesce(F.trim(F.col(name)), F.lit("")).isin(*FALSE)
+    return _is_true(F.col(name))
 
 
 def _text(name: str) -> Column:
     return filled(F.col(name))
 
 
-def _minor(name: str) -> Column:
+def _column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def _minor(value: Column | str) -> Column:
     """Minor units (cents) as an amount."""
-    units = F.coalesce(F.nullif(F.col(name), F.lit("")).try_cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))
+    units = F.coalesce(F.nullif(_column(value), F.lit("")).try_cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))
     return (units / 100).cast("decimal(18,2)")
 
 
-def _number(name: str, digits: int = 2) -> Column:
+def _number(value: Column | str, digits: int = 2) -> Column:
     """A number that may come as text; blank or unreadable as 0."""
-    value = F.round(F.col(name).try_cast("decimal(30,10)"), digits)
-    return F.coalesce(value.try_cast(f"decimal(20,{digits})"), F.lit(0).cast(f"decimal(20,{digits})"))
+    rounded = F.round(_column(value).try_cast("decimal(30,10)"), digits)
+    return F.coalesce(rounded.try_cast(f"decimal(20,{digits})"), F.lit(0).cast(f"decimal(20,{digits})"))
 
 
-def _whole(name: str) -> Column:
+def _whole(value: Column | str) -> Column:
     """The whole part of a number that may come as text; blank or unreadable as 0."""
-    return F.coalesce(F.col(name).try_cast("decimal(38,10)").try_cast("bigint"), F.lit(0))
+    return F.coalesce(_column(value).try_cast("decimal(38,10)").try_cast("bigint"), F.lit(0))
 
 
 def _day(value: Column) -> Column:
@@ -118,65 +158,51 @@ _INVOICE = (
 )
 
 
-def _first(name: str, field: str) -> Column:
-    """The first element of the list ``field`` of the object ``name``, as text."""
-    return F.get(_as_list(_as_object(field, F.col(name))[field]), F.lit(0))
-
-
 def normalize_stripe_invoices(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Invoices; the period is that of the first line. Customer details that are text are the address."""
-    details = F.col("p.customer_details")
-    address = F.when(details.rlike(r"^\s*\{"), _as_object("email", details)["email"]).otherwise(details)
-    period = _as_object("start end", _as_object("period", _first("p.lines", "data"))["period"])
-    return _parse(raw, _INVOICE, column).withColumn("period", period).select(
-        _text("p.id").alias("invoice_id"),
-        _text("p.customer").alias("customer_id"),
-        F.coalesce(F.nullif("p.customer_email", F.lit("")), address, F.lit("")).alias("customer_email"),
-        _text("p.status").alias("status"),
-        _text("p.currency").alias("currency"),
-        *[_minor(f"p.{name}").alias(name) for name in ("amount_paid", "amount_due", "amount_remaining")],
-        date_from_epoch(F.col("p.created")).alias("created"),
-        date_from_epoch(F.col("period.start")).alias("period_start"),
-        date_from_epoch(F.col("period.end")).alias("period_end"),
-        _text("p.subscription").alias("subscription_id"),
+    details = F.when(~F.coalesce(_at("customer_details"), F.lit("")).rlike(r"^\s*[\[{]"), _at("customer_details"))
+    return _variants(raw, _INVOICE, column).select(
+        _text_at("id").alias("invoice_id"),
+        _text_at("customer").alias("customer_id"),
+        F.coalesce(_at("customer_email"), _at("customer_details.email"), details, F.lit("")).alias("customer_email"),
+        _text_at("status").alias("status"),
+        _text_at("currency").alias("currency"),
+        *[_minor(_at(name)).alias(name) for name in ("amount_paid", "amount_due", "amount_remaining")],
+        date_from_epoch(_at("created")).alias("created"),
+        date_from_epoch(_at("lines.data[0].period.start")).alias("period_start"),
+        date_from_epoch(_at("lines.data[0].period.end")).alias("period_end"),
+        _text_at("subscription").alias("subscription_id"),
     )
 
 
 def normalize_stripe_subscriptions(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Subscriptions with the price of their first item."""
     fields = "id customer status created current_period_start current_period_end cancel_at_period_end items"
-    price = _as_object("id currency unit_amount recurring", _as_object("price", _first("p.items", "data"))["price"])
-    parsed = _parse(raw, fields, column).withColumn("price", price)
-    parsed = parsed.withColumn("recurring", _as_object("interval", F.col("price.recurring")))
-    return parsed.select(
-        _text("p.id").alias("subscription_id"),
-        _text("p.customer").alias("customer_id"),
-        _text("p.status").alias("status"),
-        *[
-            date_from_epoch(F.col(f"p.{name}")).alias(name)
-            for name in ("created", "current_period_start", "current_period_end")
-        ],
-        _truth("p.cancel_at_period_end").alias("cancel_at_period_end"),
-        _text("price.currency").alias("currency"),
-        _text("price.id").alias("price_id"),
-        _minor("price.unit_amount").alias("unit_amount"),
-        _text("recurring.interval").alias("interval"),
+    price = "items.data[0].price"
+    return _variants(raw, fields, column).select(
+        _text_at("id").alias("subscription_id"),
+        _text_at("customer").alias("customer_id"),
+        _text_at("status").alias("status"),
+        *[date_from_epoch(_at(name)).alias(name) for name in ("created", "current_period_start", "current_period_end")],
+        _is_true(_at("cancel_at_period_end")).alias("cancel_at_period_end"),
+        _text_at(f"{price}.currency").alias("currency"),
+        _text_at(f"{price}.id").alias("price_id"),
+        _minor(_at(f"{price}.unit_amount")).alias("unit_amount"),
+        _text_at(f"{price}.recurring.interval").alias("interval"),
     )
 
 
 def stripe_invoices_to_events(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Paid invoices as purchase events of their customer."""
-    user = F.coalesce(*[F.nullif(f"p.{name}", F.lit("")) for name in ("customer", "customer_email", "id")], F.lit(""))
-    paid_at = date_from_epoch(_as_object("paid_at", F.col("p.status_transitions"))["paid_at"])
     return (
-        _parse(raw, _INVOICE, column)
-        .filter(F.col("p.status") == "paid")
+        _variants(raw, _INVOICE, column)
+        .filter(_at("status") == "paid")
         .select(
-            user.alias("user_id"),
+            F.coalesce(_at("customer"), _at("customer_email"), _at("id"), F.lit("")).alias("user_id"),
             F.lit("purchase").alias("event_type"),
-            F.coalesce(paid_at, date_from_epoch(F.col("p.created"))).alias("event_date"),
+            F.coalesce(date_from_epoch(_at("status_transitions.paid_at")), date_from_epoch(_at("created"))).alias("event_date"),
             F.lit("stripe").alias("utm_source"),
-            _minor("p.amount_paid").alias("revenue"),
+            _minor(_at("amount_paid")).alias("revenue"),
             F.lit("stripe").alias("source_system"),
         )
     )
@@ -225,50 +251,57 @@ def normalize_meta_spend(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     )
 
 
-def _google_results(raw: DataFrame, result: str, column: str) -> DataFrame:
-    """The results of report batches; a single batch counts as a list of one."""
-    batches = F.from_json(F.col(column), f"array<struct<results:array<struct<{result}>>>>")
-    none = F.array().cast(f"array<struct<{result}>>")
-    results = F.flatten(F.transform(batches, lambda batch: F.coalesce(batch["results"], none)))
-    # Outer for the same reason as in _parse: an inner explode would test, and parse, its input twice.
-    return raw.select(F.explode_outer(results).alias("p")).filter("p IS NOT NULL")
+def _google_results(raw: DataFrame, column: str) -> DataFrame:
+    """The results of report batches as variant ``v``, whatever their kind; a single batch counts as a list of one.
+
+    A text that is no strict JSON gives those of its results that are.
+    """
+    parsed = raw.select(F.col(column).alias("_value"), F.explode_outer(F.array(F.try_parse_json(column))).alias("b"))
+    none = F.array().cast("array<variant>")
+    batches = F.coalesce(F.try_variant_get("b", "$", "array<variant>"), F.array("b"))
+    results = F.flatten(F.transform(batches, lambda batch: F.coalesce(F.try_variant_get(batch, "$.results", "array<variant>"), none)))
+    texts = F.flatten(F.from_json("_value", "array<struct<results:array<string>>>")["results"])
+    lenient = F.transform(F.filter(texts, lambda text: text.isNotNull()), F.try_parse_json)
+    return parsed.select("_value", F.explode_outer(F.when(F.col("b").isNotNull(), results).otherwise(lenient)).alias("v"))
+
+
+def _is_object(variant: str) -> Column:
+    return F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
+
+
+def rejected_google_results(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
+    """What the normalizers of ad reports skip: texts without any result, and results that are no object."""
+    read = _google_results(raw, column).filter(~_is_object("v"))
+    return read.select(F.coalesce(F.to_json("v"), F.col("_value")).alias(PAYLOAD))
 
 
 def normalize_google_campaigns(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Campaigns of the second ads platform."""
-    result = (
-        "campaign:struct<id:string,name:string,status:string,advertisingChannelType:string,"
-        "advertisingChannelSubType:string,startDate:string,endDate:string>"
-    )
-    return _google_results(raw, result, column).select(
-        _text("p.campaign.id").alias("campaign_id"),
-        _text("p.campaign.name").alias("name"),
+    return _google_results(raw, column).filter(_is_object("v")).select(
+        _text_at("campaign.id").alias("campaign_id"),
+        _text_at("campaign.name").alias("name"),
         F.lit("google_ads").alias("channel"),
-        _text("p.campaign.advertisingChannelType").alias("campaign_type"),
-        _text("p.campaign.advertisingChannelSubType").alias("campaign_sub_type"),
-        _text("p.campaign.status").alias("status"),
-        F.col("p.campaign.startDate").try_cast("date").alias("start_date"),
-        F.col("p.campaign.endDate").try_cast("date").alias("end_date"),
+        _text_at("campaign.advertisingChannelType").alias("campaign_type"),
+        _text_at("campaign.advertisingChannelSubType").alias("campaign_sub_type"),
+        _text_at("campaign.status").alias("status"),
+        _at("campaign.startDate").try_cast("date").alias("start_date"),
+        _at("campaign.endDate").try_cast("date").alias("end_date"),
         F.lit("google_ads").alias("source_system"),
     )
 
 
 def normalize_google_spend(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Daily campaign performance as spend rows; costs come in millionths."""
-    result = (
-        "campaign:struct<id:string,name:string>,segments:struct<date:string>,"
-        "metrics:struct<costMicros:string,impressions:string,clicks:string,conversions:string>"
-    )
-    cost = F.coalesce(F.col("p.metrics.costMicros").try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-    return _google_results(raw, result, column).select(
-        F.col("p.segments.date").try_cast("date").alias("date"),
+    cost = F.coalesce(_at("metrics.costMicros").try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    return _google_results(raw, column).filter(_is_object("v")).select(
+        _at("segments.date").try_cast("date").alias("date"),
         F.lit("google_ads").alias("channel"),
-        _text("p.campaign.id").alias("campaign_id"),
-        _text("p.campaign.name").alias("campaign"),
+        _text_at("campaign.id").alias("campaign_id"),
+        _text_at("campaign.name").alias("campaign"),
         F.round(cost / 1_000_000, 2).cast("decimal(20,2)").alias("spend"),
-        _whole("p.metrics.impressions").alias("impressions"),
-        _whole("p.metrics.clicks").alias("clicks"),
-        _number("p.metrics.conversions").cast("double").alias("conversions"),
+        _whole(_at("metrics.impressions")).alias("impressions"),
+        _whole(_at("metrics.clicks")).alias("clicks"),
+        _number(_at("metrics.conversions")).cast("double").alias("conversions"),
         F.lit("google_ads").alias("source_system"),
     )
 
@@ -278,31 +311,29 @@ def normalize_google_spend(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
 
 def normalize_hubspot_contacts(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Contacts; a missing stage or source is 'unknown'."""
-    properties = _as_object("email firstname lastname createdate lifecyclestage hs_analytics_source", F.col("p.properties"))
-    return _parse(raw, "id properties", column).withColumn("q", properties).select(
-        _text("p.id").alias("id"),
-        _text("q.email").alias("email"),
-        _text("q.firstname").alias("firstname"),
-        _text("q.lastname").alias("lastname"),
-        _day(F.col("q.createdate")).alias("created_date"),
-        filled(F.col("q.lifecyclestage"), "unknown").alias("lifecycle_stage"),
-        filled(F.col("q.hs_analytics_source"), "unknown").alias("lead_source"),
+    return _variants(raw, "id properties", column).select(
+        _text_at("id").alias("id"),
+        _text_at("properties.email").alias("email"),
+        _text_at("properties.firstname").alias("firstname"),
+        _text_at("properties.lastname").alias("lastname"),
+        _day(_at("properties.createdate")).alias("created_date"),
+        _text_at("properties.lifecyclestage", "unknown").alias("lifecycle_stage"),
+        _text_at("properties.hs_analytics_source", "unknown").alias("lead_source"),
         F.lit(0).alias("num_associated_deals"),
     )
 
 
 def normalize_hubspot_deals(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Deals; an unreadable amount is 0 and a missing source 'direct'."""
-    properties = _as_object("dealname amount dealstage createdate closedate pipeline hs_analytics_source", F.col("p.properties"))
-    return _parse(raw, "id properties", column).withColumn("q", properties).select(
-        _text("p.id").alias("id"),
-        _text("q.dealname").alias("dealname"),
-        F.coalesce(F.col("q.amount").try_cast("double"), F.lit(0.0)).alias("amount"),
-        _text("q.dealstage").alias("stage"),
-        _day(F.col("q.createdate")).alias("created_date"),
-        _day(F.col("q.closedate")).alias("close_date"),
-        _text("q.pipeline").alias("pipeline"),
-        filled(F.col("q.hs_analytics_source"), "direct").alias("utm_source"),
+    return _variants(raw, "id properties", column).select(
+        _text_at("id").alias("id"),
+        _text_at("properties.dealname").alias("dealname"),
+        F.coalesce(_at("properties.amount").try_cast("double"), F.lit(0.0)).alias("amount"),
+        _text_at("properties.dealstage").alias("stage"),
+        _day(_at("properties.createdate")).alias("created_date"),
+        _day(_at("properties.closedate")).alias("close_date"),
+        _text_at("properties.pipeline").alias("pipeline"),
+        _text_at("properties.hs_analytics_source", "direct").alias("utm_source"),
     )
 
 
@@ -359,21 +390,16 @@ def normalize_amplitude_events(raw: DataFrame, column: str = PAYLOAD) -> DataFra
     ``timestamp`` is ISO text; a time in another format is kept as it came.
     """
     fields = "event_type user_id session_id device_type country event_time revenue user_properties event_properties"
-    time = F.col("p.event_time")
+    time = _at("event_time")
 
     def tag(name: str) -> Column:
-        return F.coalesce(F.nullif(f"user.{name}", F.lit("")), F.nullif(f"own.{name}", F.lit("")), F.lit(""))
+        return F.coalesce(_at(f"user_properties.{name}"), _at(f"event_properties.{name}"), F.lit(""))
 
-    events = _parse(raw, fields, column).select(
-        "p",
-        _as_object("utm_source utm_campaign", F.col("p.user_properties")).alias("user"),
-        _as_object("utm_source utm_campaign", F.col("p.event_properties")).alias("own"),
-    )
-    return events.select(
-        *[_text(f"p.{name}").alias(name) for name in ("event_type", "user_id", "session_id", "device_type", "country")],
+    return _variants(raw, fields, column).select(
+        *[_text_at(name).alias(name) for name in ("event_type", "user_id", "session_id", "device_type", "country")],
         tag("utm_source").alias("utm_source"),
         tag("utm_campaign").alias("utm_campaign"),
-        F.coalesce(F.col("p.revenue").try_cast("double"), F.lit(0.0)).alias("revenue"),
+        F.coalesce(_at("revenue").try_cast("double"), F.lit(0.0)).alias("revenue"),
         F.coalesce(F.date_format(F.try_to_timestamp(time, F.lit(_EXPORT_TIME)), _ISO_TIME), time, F.lit("")).alias(
             "timestamp"
         ),
