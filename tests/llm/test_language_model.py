@@ -79,7 +79,7 @@ def words(text):
 
 @pytest.fixture
 def tiny(monkeypatch):
-    for name, value in {"VOCABULARY": 24, "GROUPS": 4, "DICTIONARY": 30, "CLASSES": 5, "WIDTH": 6, "GROUP_WORDS": 500, "HELD_WORDS": 10, "SHARD_WORDS": 900, "BLOCK": 64}.items():
+    for name, value in {"VOCABULARY": 24, "GROUPS": 4, "DICTIONARY": 30, "CLASSES": 5, "WIDTH": 6, "GROUP_WORDS": 500, "HELD_WORDS": 10, "SHARD_WORDS": 900, "BLOCK": 64, "LANES": 4, "STEPS": 6}.items():
         monkeypatch.setattr(language_model, name, value)
 
 
@@ -101,6 +101,51 @@ def test_scores_of_whole_documents(documents, tiny):
         assert r.score < 0
 
 
+def test_scores_equal_a_plain_walk(documents, tiny, monkeypatch):
+    """Word by word through the trained network, with each word's share of its symbol."""
+    random.seed(4)
+    texts = [None, "", "A b\tc", "never seen before words", "x " * 300]
+    texts += [" ".join(random.choices([f"w{k % 17}" for k in range(40)] + [f"rare{k}" for k in range(60)], k=random.randint(1, 50))) for _ in range(120)]
+    held = {k for k in range(len(texts)) if k % 7 == 3}
+    kept = {}
+    for name in ("build_lexicon", "train_model"):
+        monkeypatch.setattr(language_model, name, lambda *a, run=getattr(language_model, name), name=name: kept.setdefault(name, run(*a)))
+    rows = {r.doc_id: r.score for r in language_model.score_documents(documents(*texts), F.col("doc_id").isin(*held)).collect()}
+    lexicon, weights = kept["build_lexicon"], kept["train_model"]
+    counts = Counter(w for k, t in enumerate(texts) if k not in held for w in [*words(t), ""])
+    shape = lexicon.shape
+    p, class_of = shape.split(weights.astype(np.float64)), shape.class_of()
+    own = {w: s for w, number in lexicon.known.items() if (s := int(lexicon.symbol[number])) not in set(lexicon.groups.tolist())}
+    for k, text in enumerate(texts):
+        state, last, total = np.zeros((1, shape.width)), np.array([shape.words]), 0.0
+        for word in [*words(text), ""]:
+            group = language_model.spelling_group(word.encode())
+            symbol = own.get(word.encode(), int(lexicon.groups[group]))
+            state = gru.step(p, last, state)[0]
+            classes = state @ p["class_w"] + p["class_b"]
+            a, b = shape.first[class_of[symbol]], shape.first[class_of[symbol] + 1]
+            inside = state @ p["word_w"][:, a:b] + p["word_b"][a:b]
+            chance = np.exp(classes[0, class_of[symbol]]) / np.exp(classes).sum() * np.exp(inside[0, symbol - a]) / np.exp(inside).sum()
+            share = 1.0 if word.encode() in own else (counts[word] + 0.1) / lexicon.masses[group]
+            total += math.log10(chance) + math.log10(share)
+            last = np.array([symbol])
+        assert rows[k] == pytest.approx(total, rel=1e-3)
+
+
+@pytest.mark.parametrize("lengths, lanes", [([], 4), ([1], 4), ([1, 1], 8), ([5, 1, 30, 2], 4), ([3] * 50, 16), ([700], 3)])
+def test_every_word_is_a_target_once(lengths, lanes):
+    shape = gru.Shape(np.array([0, 1000]), 2)
+    numbers = iter(range(1000))
+    texts = [np.array([next(numbers) for _ in range(n)], np.uint16) for n in lengths]
+    rows = gru.lanes_of(shape, texts, lanes)
+    targets = sorted(t for t in rows[1:].ravel().tolist() if t != 1000)
+    assert targets == list(range(sum(lengths)))
+    # What precedes a target is the word before it in its text, or the start.
+    before = {int(t): int(i) for i, t in zip(rows[:-1].ravel(), rows[1:].ravel(), strict=True)}
+    firsts = {int(t[0]) for t in texts}
+    assert all(before[t] == (1000 if t in firsts else t - 1) for t in targets)
+
+
 def test_held_out_documents_are_likelier_than_by_word_counts(spark):
     from tidemark.llm.queries import op3_language_model
 
@@ -137,7 +182,6 @@ def test_degenerate_tables(documents, tiny):
 
 
 def test_every_training_document_is_trained_on_once(spark, documents, tiny, monkeypatch):
-    monkeypatch.setattr(language_model, "ROUND_WORDS", 100, raising=False)
     random.seed(8)
     trained, kind = [], type(spark.range(0))
 
@@ -149,4 +193,5 @@ def test_every_training_document_is_trained_on_once(spark, documents, tiny, monk
     monkeypatch.setattr(kind, "mapInArrow", recorded)
     docs = documents(*(" ".join(random.choices(["a", "b", "c"], k=20)) for _ in range(200)))
     language_model.score_documents(docs, F.col("doc_id") % 10 == 0)
-    assert sorted(trained) == [k for k in range(200) if k % 10]
+    keys = language_model.with_row_key(docs).filter("doc_id % 10 <> 0").collect()
+    assert sorted(trained) == sorted(r[language_model.ROW] for r in keys) and len(trained) == 180

@@ -8,6 +8,7 @@ float32 vector, which makes averaging models simple.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,25 +83,49 @@ def step(p: dict[str, np.ndarray], words: np.ndarray, h: np.ndarray) -> tuple[np
     return new + update * (h - new), update, reset, new, inner[:, 2 * n :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _normalized(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(scores) by row up to a factor, in place, and its logarithmic sum with the row's maximum left in."""
+    top = scores.max(axis=1)
+    raw = np.exp(np.subtract(scores, top[:, None], out=scores), out=scores)
+    total = raw.sum(axis=1)
+    return total, top + np.log(total)
+
+
+def _by_class(shape: Shape, classes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(rows, first word, end) of each class of several words that occurs."""
+    order = np.argsort(classes.astype(np.uint16), kind="stable")
+    ends = np.searchsorted(classes[order], np.arange(shape.classes + 1))
+    for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(shape.first) > 1)):
+        yield order[ends[c] : ends[c + 1]], int(shape.first[c]), int(shape.first[c + 1])
 
 
 def log_probability(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     """Natural log P(target | state) of many states; rows of a class are scored together."""
     classes = class_of[targets]
-    out = _log_softmax(states @ p["class_w"] + p["class_b"])[np.arange(len(targets)), classes]
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(shape.classes + 1))
-    for c in np.flatnonzero(np.diff(ends)):
-        rows, s, e = order[ends[c] : ends[c + 1]], shape.first[c], shape.first[c + 1]
-        if e - s > 1:
-            scores = _log_softmax(states[rows] @ p["word_w"][:, s:e] + p["word_b"][s:e])
-            out[rows] += scores[np.arange(len(rows)), targets[rows] - s]
+    scores = states @ p["class_w"]
+    scores += p["class_b"]
+    out = scores[np.arange(len(targets)), classes]
+    out -= _normalized(scores)[1]
+    for rows, a, b in _by_class(shape, classes):
+        scores = states[rows] @ p["word_w"][:, a:b]
+        scores += p["word_b"][a:b]
+        chosen = scores[np.arange(len(rows)), targets[rows] - a]
+        out[rows] += chosen - _normalized(scores)[1]
     return out
 
 
+def _softmax_gradient(s: np.ndarray, place: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed negative log-likelihood of the places under softmax(s @ weight + bias), and its gradient by the scores."""
+    scores = s @ weight
+    scores += bias
+    at = np.arange(len(place))
+    chosen = scores[at, place]
+    total, logs = _normalized(scores)
+    scores /= total[:, None]
+    scores[at, place] -= 1
+    return float((logs - chosen).sum()), scores
+
+
 def window_gradient(
     shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, class_of: np.ndarray
 ) -> tuple[np.ndarray, float, np.ndarray]:
@@ -111,97 +136,141 @@ def window_gradient(
     clears the state when it is read and is no target.
     """
     steps, rows = inputs.shape
+    n = shape.width
     flat = np.zeros(shape.size(), np.float32)
     g = shape.split(flat)
-    trace, states = [], np.empty((steps + 1, rows, shape.width), np.float32)
-    states[0] = h
-    going = (inputs != shape.words)[:, :, None]
+    before, states = np.empty((steps, rows, n), np.float32), np.empty((steps, rows, n), np.float32)
+    gates, new, inner_new = np.empty((steps, rows, 2 * n), np.float32), np.empty((steps, rows, n), np.float32), np.empty((steps, rows, n), np.float32)
+    going = (inputs != shape.words)[:, :, None].astype(np.float32)
+    x = p["embed"][inputs]
     for t in range(steps):
-        before = states[t] * going[t]
-        states[t + 1], *rest = step(p, inputs[t], before)
-        trace.append((before, *rest))
+        np.multiply(h, going[t], out=before[t])
+        inner = before[t] @ p["recur"]
+        z = gates[t]
+        np.add(x[t, :, : 2 * n], inner[:, : 2 * n], out=z)
+        z *= 0.5
+        np.tanh(z, out=z)
+        z *= 0.5
+        z += 0.5
+        inner_new[t] = inner[:, 2 * n :]
+        np.multiply(z[:, n:], inner_new[t], out=new[t])
+        new[t] += x[t, :, 2 * n :]
+        np.tanh(new[t], out=new[t])
+        h = states[t]
+        np.subtract(before[t], new[t], out=h)
+        h *= z[:, :n]
+        h += new[t]
     counted = np.flatnonzero(targets.ravel() != shape.words)
-    s, y = states[1:].reshape(-1, shape.width)[counted], targets.ravel()[counted]
+    s, y = states.reshape(-1, n)[counted], targets.ravel()[counted]
     classes = class_of[y]
-    logs = _log_softmax(s @ p["class_w"] + p["class_b"])
-    at = np.arange(len(y))
-    loss = -float(logs[at, classes].sum())
-    d = np.exp(logs)
-    d[at, classes] -= 1
+    loss, d = _softmax_gradient(s, classes, p["class_w"], p["class_b"])
     g["class_w"][:], g["class_b"][:] = s.T @ d, d.sum(axis=0)
     ds = d @ p["class_w"].T
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(shape.classes + 1))
-    for c in np.flatnonzero(np.diff(ends)):
-        k, a, b = order[ends[c] : ends[c + 1]], shape.first[c], shape.first[c + 1]
-        if b - a > 1:
-            logs = _log_softmax(s[k] @ p["word_w"][:, a:b] + p["word_b"][a:b])
-            loss -= float(logs[np.arange(len(k)), y[k] - a].sum())
-            d = np.exp(logs)
-            d[np.arange(len(k)), y[k] - a] -= 1
-            g["word_w"][:, a:b], g["word_b"][a:b] = s[k].T @ d, d.sum(axis=0)
-            ds[k] += d @ p["word_w"][:, a:b].T
-    spread = np.zeros((steps * rows, shape.width), np.float32)
+    for k, a, b in _by_class(shape, classes):
+        of_class = s[k]
+        more, d = _softmax_gradient(of_class, y[k] - a, p["word_w"][:, a:b], p["word_b"][a:b])
+        loss += more
+        g["word_w"][:, a:b], g["word_b"][a:b] = of_class.T @ d, d.sum(axis=0)
+        ds[k] += d @ p["word_w"][:, a:b].T
+    spread = np.zeros((steps * rows, n), np.float32)
     spread[counted] = ds
-    ds = spread.reshape(steps, rows, shape.width)
-    n, dh = shape.width, np.zeros((rows, shape.width), np.float32)
-    dx = np.empty((steps, rows, 3 * n), np.float32)
+    ds = spread.reshape(steps, rows, n)
+    # What does not depend on the gradient of the next step, for all steps at once.
+    update, reset = gates[:, :, :n], gates[:, :, n:]
+    slope_new = (1 - update) * (1 - new * new)
+    slope_update = (before - new) * update * (1 - update)
+    slope_reset = inner_new * reset * (1 - reset)
+    dh = np.zeros((rows, n), np.float32)
+    dx, d_inner = np.empty((steps, rows, 3 * n), np.float32), np.empty((steps, rows, 3 * n), np.float32)
+    back = np.ascontiguousarray(p["recur"].T)
     for t in range(steps - 1, -1, -1):
-        before, update, reset, new, inner_new = trace[t]
-        dh = dh + ds[t]
-        d_new = dh * (1 - update) * (1 - new * new)
-        d_update = dh * (before - new) * update * (1 - update)
-        d_reset = d_new * inner_new * reset * (1 - reset)
-        dx[t] = np.concatenate([d_update, d_reset, d_new], axis=1)
-        d_inner = np.concatenate([d_update, d_reset, d_new * reset], axis=1)
-        g["recur"] += before.T @ d_inner
-        dh = (dh * update + d_inner @ p["recur"].T) * going[t]
-    words, place = np.unique(inputs.ravel(), return_inverse=True)
-    summed = np.zeros((len(words), 3 * n), np.float32)
-    np.add.at(summed, place, dx.reshape(-1, 3 * n))
-    g["embed"][words] = summed
+        dh += ds[t]
+        d_new = dh * slope_new[t]
+        np.multiply(dh, slope_update[t], out=dx[t, :, :n])
+        np.multiply(d_new, slope_reset[t], out=dx[t, :, n : 2 * n])
+        dx[t, :, 2 * n :] = d_new
+        d_inner[t, :, : 2 * n] = dx[t, :, : 2 * n]
+        np.multiply(d_new, reset[t], out=d_inner[t, :, 2 * n :])
+        dh = dh * update[t]
+        dh += d_inner[t] @ back
+        dh *= going[t]
+    g["recur"][:] = before.reshape(-1, n).T @ d_inner.reshape(-1, 3 * n)
+    order = np.argsort(inputs.ravel().astype(np.uint16) if shape.words < 2**16 else inputs.ravel(), kind="stable")
+    words = inputs.ravel()[order]
+    cuts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    g["embed"][words[cuts]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], cuts, axis=0)
     return flat, loss, states[-1]
 
 
-def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], *, lanes: int = 32, steps: int = 24, rate: float = 0.01) -> tuple[np.ndarray, int]:
-    """The weights after one pass over texts, and the number of words seen.
+def lanes_of(shape: Shape, texts: list[np.ndarray], lanes: int) -> np.ndarray:
+    """The texts end to end, each behind a start symbol, in rows of equal length; (steps, lanes).
 
-    Texts are laid end to end in ``lanes`` rows; windows of ``steps`` words follow
-    each other with the state carried over, and a start symbol resets it at each
-    text. Adam with the gradient of each window.
+    A row that begins inside a text begins without its state. The last row is
+    filled up with start symbols, which are no targets. Fewer lanes than asked for
+    are used when rows would be shorter than two words.
+    """
+    if not texts:
+        return np.zeros((0, 1), np.int32)
+    stream = np.empty(sum(map(len, texts)) + len(texts) + 1, np.int32)
+    at = 0
+    for text in texts:
+        stream[at], stream[at + 1 : at + 1 + len(text)] = shape.words, text
+        at += len(text) + 1
+    stream[at] = shape.words
+    lanes = max(1, min(lanes, at // 2))
+    length = -(-at // lanes)
+    # Each row ends with the word that the next one begins with: it is its last target.
+    filled = np.full(lanes * length + 1, shape.words, np.int32)
+    filled[: at + 1] = stream
+    places = np.arange(length + 1)[:, None] + np.arange(lanes) * length
+    return filled[places]
+
+
+def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], *, lanes: int = 256, steps: int = 24, rate: float = 0.01) -> tuple[np.ndarray, int]:
+    """The weights after one pass over all words of the texts, and the number of words seen.
+
+    Windows of ``steps`` words follow each other in every lane with the state
+    carried over, and a start symbol resets it at each text. Adam with the gradient
+    of each window.
     """
     class_of = shape.class_of()
     flat = flat.copy()
     p = shape.split(flat)
-    stream = np.concatenate([np.r_[shape.words, t] for t in texts]) if texts else np.zeros(0, np.int64)
-    length = len(stream) // lanes
-    if length < 2:
-        lanes, length = 1, len(stream)
-    if length < 2:
-        return flat, 0
-    lanes_of = stream[: lanes * length].reshape(lanes, length).T
-    first, second = np.zeros_like(flat), np.zeros_like(flat)
-    h = np.zeros((lanes, shape.width), np.float32)
+    rows = lanes_of(shape, texts, lanes)
+    first, second, moved = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+    h = np.zeros((rows.shape[1], shape.width), np.float32)
     beta1, beta2 = 0.9, 0.99
-    for number, at in enumerate(range(0, length - 1, steps), 1):
-        inputs, targets = lanes_of[at : at + steps], lanes_of[at + 1 : at + steps + 1]
-        gradient, _, h = window_gradient(shape, p, inputs[: len(targets)], targets, h, class_of)
+    for number, at in enumerate(range(0, len(rows) - 1, steps), 1):
+        targets = rows[at + 1 : at + steps + 1]
+        gradient, _, h = window_gradient(shape, p, rows[at : at + len(targets)], targets, h, class_of)
         gradient /= targets.size
-        norm = float(np.sqrt((gradient * gradient).sum()))
+        norm = float(np.sqrt(gradient @ gradient))
         if norm > 1:
             gradient /= norm
-        first += (1 - beta1) * (gradient - first)
-        second += (1 - beta2) * (gradient * gradient - second)
-        flat -= rate * (first / (1 - beta1**number)) / (np.sqrt(second / (1 - beta2**number)) + 1e-8)
-    return flat, int(lanes * length)
+        first *= beta1
+        first += np.multiply(gradient, 1 - beta1, out=moved)
+        second *= beta2
+        gradient *= gradient
+        second += np.multiply(gradient, 1 - beta2, out=moved)
+        np.sqrt(second, out=moved)
+        moved *= 1 / np.sqrt(1 - beta2**number)
+        moved += 1e-8
+        np.divide(first, moved, out=moved)
+        moved *= rate / (1 - beta1**number)
+        flat -= moved
+    return flat, sum(map(len, texts))
+
+
+#: States that are scored together.
+SCORED_STATES = 16_384
 
 
-def score_texts(shape: Shape, p: dict[str, np.ndarray], texts: list[np.ndarray], *, steps: int = 12) -> np.ndarray:
+def score_texts(shape: Shape, p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each whole text.
 
     All texts advance together, longest first, so those that still run are a prefix.
-    After each window of ``steps`` words its states are scored at once and the last
-    states go on into the next window; memory follows the window, not the texts.
+    States are scored some thousands at a time and the last ones go on, so memory
+    follows the number of texts and not their lengths.
     """
     total = np.zeros(len(texts))
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -209,25 +278,26 @@ def score_texts(shape: Shape, p: dict[str, np.ndarray], texts: list[np.ndarray],
     lengths = lengths[order]
     stream = np.concatenate([texts[k] for k in order]) if len(texts) else np.zeros(0, np.int64)
     start = np.cumsum(lengths) - lengths
-    running = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
+    running = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left").tolist()
     class_of = shape.class_of()
     h = np.zeros((len(texts), shape.width), np.float32)
     word = np.full(len(texts), shape.words)
     scores = np.zeros(len(texts))
-    for at in range(0, len(running), steps):
-        states, targets, rows = [], [], []
-        for t in range(at, min(at + steps, len(running))):
-            n = running[t]
-            h, word = h[:n], word[:n]
-            h = step(p, word, h)[0]
-            word = stream[start[:n] + t]
-            states.append(h)
-            targets.append(word)
-            rows.append(n)
-        logs = log_probability(shape, p, np.concatenate(states), np.concatenate(targets), class_of)
-        cut = 0
-        for n in rows:
-            scores[:n] += logs[cut : cut + n]
-            cut += n
+    states, targets, rows, held = [], [], [], 0
+    for t, n in enumerate(running):
+        h, word = h[:n], word[:n]
+        h = step(p, word, h)[0]
+        word = stream[start[:n] + t]
+        states.append(h)
+        targets.append(word)
+        rows.append(n)
+        held += n
+        if held >= SCORED_STATES or t + 1 == len(running):
+            logs = log_probability(shape, p, np.concatenate(states), np.concatenate(targets), class_of)
+            cut = 0
+            for n in rows:
+                scores[:n] += logs[cut : cut + n]
+                cut += n
+            states, targets, rows, held = [], [], [], 0
     total[order] = scores
     return total

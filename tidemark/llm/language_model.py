@@ -3,10 +3,11 @@
 Word counts of all training documents fix the vocabulary: the most frequent words
 have a symbol of their own, all others share one symbol per spelling group, inside
 which a word has its smoothed frequency. The model therefore gives every word a
-probability, and starts as the unigram model. It is trained in rounds: every task
-trains a copy on its part of the round's documents, then the copies are averaged;
-the rounds together are one pass over all training documents. Scoring runs over
-all texts in tasks; only words outside a bounded dictionary are looked up by a join.
+probability, and starts as the unigram model. Texts become arrays of symbols once.
+The model is trained on them in rounds: every task trains a copy on its part of the
+round's documents, then the copies are averaged; the rounds together are one pass
+over all words of all training documents. Scoring runs over all symbols in tasks;
+only words outside a bounded dictionary are looked up by a join.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = ""
 SMOOTHING = 0.1
 #: Words with a symbol of their own, spelling groups of all others, words that tasks know without a join.
-VOCABULARY, GROUPS, DICTIONARY = 8_192, 256, 65_536
-WIDTH, CLASSES = 24, 96
+VOCABULARY, GROUPS, DICTIONARY = 1_024, 128, 262_144
+WIDTH, CLASSES = 16, 32
 #: Rounds of training, over which the training documents are dealt.
 ROUNDS = 3
-#: Words that one task trains on; numbers of a block when models are averaged.
-SHARD_WORDS, BLOCK = 300_000, 8_192
+#: Words that a task trains on at least; numbers of a block when models are averaged.
+SHARD_WORDS, BLOCK = 2_000_000, 8_192
+#: Rows of a window, and its steps.
+LANES, STEPS = 512, 16
 #: Counted words that a task holds, and words that it scores together.
 HELD_WORDS, GROUP_WORDS = 200_000, 2_000_000
 
@@ -142,38 +145,66 @@ def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(((r.word.encode(), r.n) for r in rows), key=lambda row: (-row[1], row[0]))
 
 
-def _numbered(lexicon: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Numbers of the words and the end (-1 for others), their symbols, and the other words."""
-    get = lexicon.known.get
-    numbers = np.array([*[get(w, -1) for w in words], lexicon.known[END.encode()]], np.int64)
-    other = np.flatnonzero(numbers < 0)
-    rare = [words[k] for k in other.tolist()]
-    symbols = lexicon.symbol[numbers]
-    symbols[other] = lexicon.groups[[spelling_group(w) for w in rare]] if rare else 0
-    return numbers, symbols, rare
+ROWS = f"{ROW} long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, share double"
+NUMBERED = f"{ROWS}, rare array<string>, times array<long>, symbols binary"
 
 
-def train_model(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """Weights after ``ROUNDS`` rounds of training and averaging; each (``key``, ``text``) is trained on in one of them."""
-    spark = docs.sparkSession
-    shape = lexicon.shape
-    weights = gru.initial(shape, lexicon.frequency)
-    shards = max(1, math.ceil(lexicon.total / ROUNDS / SHARD_WORDS))
+def number_words(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Per row the symbols of its text, the sums over the words that tasks know, and the other words with their numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.known, lexicon.symbol.astype("<u2"), lexicon.groups.astype("<u2"), lexicon.base_log, lexicon.share_log))
+    end = lexicon.known[END.encode()]
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, symbol, groups, base_log, share_log = shared.value
+        get = known.get
+        for batch in batches:
+            rows = []
+            for text in batch.column(3):
+                words = words_of(text.as_py())
+                numbers = np.array([*[get(w, -1) for w in words], end], np.int64)
+                symbols, other = symbol[numbers], np.flatnonzero(numbers < 0)
+                rare = [words[k] for k in other.tolist()]
+                if rare:
+                    symbols[other] = groups[[spelling_group(w) for w in rare]]
+                hits = numbers[numbers >= 0]
+                counted = Counter(rare)
+                sums = float(base_log[hits].sum()), float(share_log[hits].sum())
+                rows.append((len(numbers), len(hits), *sums, [w.decode() for w in counted], list(counted.values()), symbols.tobytes()))
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+            names = [ROW, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "share", "rare", "times", "symbols"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+
+    return docs.select(ROW, "doc_id", "held_out", "text").mapInArrow(tasks, NUMBERED)
+
+
+def _symbols(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(value.as_buffer(), "<u2") for value in column]
+
+
+def train_model(numbered: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Weights after ``ROUNDS`` rounds of training and averaging; each (``key``, ``symbols``) is trained on in one of them."""
+    spark = numbered.sparkSession
+    first, width = lexicon.shape.first, lexicon.shape.width
+    weights = gru.initial(lexicon.shape, lexicon.frequency)
+    shards = max(1, lexicon.total // (ROUNDS * SHARD_WORDS))
+    # Models are averaged in two steps, so that no group holds more than about the root of their number.
+    parts = math.isqrt(shards) + 1
     for number in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((lexicon, weights))
+        shared = spark.sparkContext.broadcast(weights)
         rate = 0.01 / 2**number
-        chosen = docs.filter(F.pmod(F.xxhash64("key", "text"), F.lit(ROUNDS)) == number)
+        chosen = numbered.filter(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == number)
 
         def tasks(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
-            words, flat = shared.value
-            texts = [_numbered(words, words_of(text.as_py()))[1] for batch in batches for text in batch.column(1)]
-            trained, seen = gru.train(words.shape, flat, texts, rate=rate)
+            texts = [text for batch in batches for text in _symbols(batch.column(1))]
+            trained, seen = gru.train(gru.Shape(first, width), shared.value, texts, lanes=LANES, steps=STEPS, rate=rate)
             blocks = [trained[at : at + BLOCK] for at in range(0, len(trained), BLOCK)]
             n = len(blocks) if seen else 0
-            columns = [pa.array(range(n), pa.int32()), pa.array([seen] * n, pa.int64()), pa.array([np.random.default_rng(seen).integers(32)] * n, pa.int32())]
+            columns = [pa.array(range(n), pa.int32()), pa.array([seen] * n, pa.int64()), pa.array([np.random.default_rng(seen).integers(parts)] * n, pa.int32())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([b.tolist() for b in blocks[:n]], pa.list_(pa.float32()))], names=["block", "seen", "part", "values"])
 
-        copies = chosen.repartition(shards).sortWithinPartitions("key").mapInArrow(tasks, "block int, seen long, part int, values array<float>")
+        # Parts of the table are trained on where they lie; only the models move.
+        copies = chosen.select("key", "symbols").coalesce(shards).mapInArrow(tasks, "block int, seen long, part int, values array<float>")
         halfway = copies.groupBy("block", "part").applyInArrow(_averaged, "block int, seen long, part int, values array<float>")
         merged = halfway.groupBy("block").applyInArrow(_averaged, "block int, seen long, part int, values array<float>").toArrow()
         if merged.num_rows:
@@ -193,43 +224,35 @@ def _averaged(rows: pa.Table) -> pa.Table:
     )
 
 
-def _scored(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
-    """Per row the sums over the words that tasks know, and the other words with their numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, weights))
+def _scored(numbered: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
+    """Per row the score without its rare words."""
+    shared = numbered.sparkSession.sparkContext.broadcast(weights)
+    first, width = lexicon.shape.first, lexicon.shape.width
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
-        p = words.shape.split(flat)
-        rows: list[tuple] = []
-        texts: list[np.ndarray] = []
+        shape = gru.Shape(first, width)
+        p = shape.split(shared.value)
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def emit() -> pa.RecordBatch:
-            scores = gru.score_texts(words.shape, p, texts) / math.log(10)
-            row, doc_id, held_out, n, known, base, share, rare = zip(*rows, strict=True)
-            columns = [
-                pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(scores + np.array(share)),
-                pa.array([[w.decode() for w in r] for r in rare], pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=[ROW, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+            rows = pa.Table.from_batches(held).combine_chunks()
+            scores = gru.score_texts(shape, p, _symbols(rows.column("symbols"))) / math.log(10)
+            total = pa.array(scores + rows.column("share").to_numpy())
+            return pa.RecordBatch.from_arrays([*[rows.column(k).combine_chunks() for k in range(6)], total], names=[*names, "score"])
 
+        names = [ROW, "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
         for batch in batches:
-            for row, doc_id, held_out, text in zip(*(batch.column(k) for k in range(4)), strict=True):
-                numbers, symbols, rare = _numbered(words, words_of(text.as_py()))
-                hits = numbers[numbers >= 0]
-                base, share = words.base_log[hits].sum(), words.share_log[hits].sum()
-                rows.append((row.as_py(), doc_id.as_py(), held_out.as_py(), len(numbers), len(hits), base, share, Counter(rare)))
-                texts.append(symbols)
-                size += len(numbers)
-                if size >= GROUP_WORDS:
-                    yield emit()
-                    rows, texts, size = [], [], 0
-        if rows:
+            held.append(batch)
+            size += sum(len(value.as_buffer()) for value in batch.column("symbols")) // 2
+            if size >= GROUP_WORDS:
+                yield emit()
+                held, size = [], 0
+        if held:
             yield emit()
 
-    schema = f"{ROW} long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>, times array<long>"
-    return docs.select(ROW, "doc_id", "held_out", "text").mapInArrow(tasks, schema)
+    columns = [ROW, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "share", "symbols"]
+    return numbered.select(*columns).mapInArrow(tasks, ROWS.replace("share", "score"))
 
 
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,9 +267,10 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     rows = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")))
     counts = snapshot(word_counts(rows.filter(~F.col("held_out"))))
     lexicon = build_lexicon(counts)
-    weights = train_model(rows.filter(~F.col("held_out")).select(F.col("doc_id").alias("key"), "text"), lexicon)
-    scored = snapshot(_scored(rows, lexicon, weights))
-    rare = scored.select(ROW, F.explode(F.arrays_zip("rare", "times")).alias("r")).select(ROW, F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    numbered = snapshot(number_words(rows, lexicon))
+    weights = train_model(numbered.filter(~F.col("held_out")).select(F.col(ROW).alias("key"), "symbols"), lexicon)
+    scored = _scored(numbered, lexicon, weights)
+    rare = numbered.select(ROW, F.explode(F.arrays_zip("rare", "times")).alias("r")).select(ROW, F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     found = rare.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)) + F.lit(SMOOTHING))
     mass = F.array(*map(F.lit, lexicon.masses.tolist()))[_spelling_group(F.col("word")).cast("int")]
     sums = found.groupBy(ROW).agg(
