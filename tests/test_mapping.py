@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from tidemark.operators.mapping import coverage, rollups, rules, store, suggest
+from tidemark.operators.mapping import coverage, names, rollups, rules, similar, store, suggest
 from tidemark.operators.mapping.profile import build_profile, read_profile
 from tidemark.session import scratch_dir, snapshot
 
@@ -230,3 +232,123 @@ def test_rules_by_channel_without_campaigns(spark, spend_rows, event_rows):
     assert [(r.channel, r.campaign) for r in profile["unmatched_spend"].collect()] == [("linkedin", "linkedin")]
     preview = suggest.preview_mappings(spend, events, rules.all_rules(spark), profile["suggestions"], AS_OF)
     assert {r.metric: r.preview for r in preview.collect()}["Matched keys"] == 1.0
+
+
+def raw_tables(spark, spend_rows, event_rows):
+    """Spend and events as tables by day, some rows old, with their folders."""
+    folders = scratch_dir(spark), scratch_dir(spark)
+    spend = spend_rows(GOOGLE, META, ("2025-01-01", "tv", "9", "Old", 70.0, 1, 1, 1.0), ("2025-02-01", "google_ads", "111", "Brand Search - US", 5.0, 1, 1, 1.0))
+    spend.write.partitionBy("date").parquet(folders[0])
+    event_rows(BRAND, FACEBOOK, LINKEDIN, ("u9", "signup", "2026-03-01", "meta_ads", "Prospecting", 0.0)).write.partitionBy("event_date").parquet(folders[1])
+    return [spark.read.parquet(f) for f in folders], folders
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().toString()
+
+
+def physical(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_raw_tables_are_scanned_once_per_report(spark, spend_rows, event_rows, monkeypatch):
+    """Each report reads every raw table in one scan of what it writes, and nowhere else."""
+    (spend, events), folders = raw_tables(spark, spend_rows, event_rows)
+    written = []
+
+    def recorded(frame, path=None, run=names.snapshot):
+        written.append(physical(frame))
+        return run(frame, path)
+
+    monkeypatch.setattr(names, "snapshot", recorded)
+    current = given(spark)
+    selected = spark.createDataFrame([("campaign", "Prospecting", "enterprise_push", "", 0.9, "r", 1.0, 1.0)], "scope string, canonical_value string, alias string, channel string, confidence double, reason string, estimated_revenue_30d double, estimated_spend_30d double")
+    reports = {
+        "diagnostics": lambda: list(coverage.mapping_diagnostics(spend, events, current, AS_OF).values()),
+        "preview": lambda: [suggest.preview_mappings(spend, events, current, selected, AS_OF)],
+        "pack": lambda: list(suggest.mapping_review_pack(spend, events, current, selected, AS_OF).values()),
+        "profile": lambda: list(build_profile(spend, events, current, AS_OF).values()),
+    }
+    for report, run in reports.items():
+        written.clear()
+        frames = run()
+        for folder in folders:
+            name = folder.rsplit("/", 1)[1]
+            assert sum(plan.count(name) for plan in written) == 1, report
+            assert not any(name in plan_of(f).split("== Physical Plan ==")[1] for f in frames), report
+
+
+def test_single_reports_scan_each_table_once(spark, spend_rows, event_rows):
+    (spend, events), folders = raw_tables(spark, spend_rows, event_rows)
+    current = given(spark)
+    for report in (rollups.attribution_bridge, rollups.attribution_bridge_coverage, coverage.mapping_coverage, coverage.unmatched_event_keys, coverage.unmatched_spend_keys, coverage.applied_alias_rules):
+        plan = physical(report(spend, events, current, AS_OF))
+        assert [plan.count(folder.rsplit("/", 1)[1]) for folder in folders] == [1, 1], report.__name__
+
+
+def test_no_sort_over_raw_rows_of_applied_rules(spark, spend_rows, event_rows):
+    """Raw rows are counted per spelling by hash; only the counted spellings are sorted for their minima."""
+    (spend, events), _ = raw_tables(spark, spend_rows, event_rows)
+    for spelled in (names.spend_names(spend, AS_OF), names.event_names(events, AS_OF), names.event_users(events, AS_OF)):
+        assert "SortAggregate" not in physical(spelled) and "HashAggregate" in physical(spelled)
+
+
+def test_known_names_prune_the_scan(spark, spend_rows, event_rows):
+    (spend, _), folders = raw_tables(spark, spend_rows, event_rows)
+    path, compact = scratch_dir(spark), scratch_dir(spark)
+    for load in ("date < '2025-01-15'", "date >= '2025-01-15'"):
+        names.add_spend_names(spend.filter(load), path)
+    names.compact_spend_names(spark, path, compact)
+    names.add_spend_names(spend_rows(META), compact)
+    whole = {tuple(r) for r in rollups.spend_rollup(spend, given(spark), AS_OF).collect()}
+    for known in (path, compact):
+        found = rollups.spend_rollup(spend, given(spark), AS_OF, known=names.read_spend_names(spark, known))
+        assert {tuple(r) for r in found.collect()} == whole and len(whole) == 3
+        scan = next(line for line in physical(found).splitlines() if folders[0].rsplit("/", 1)[1] in line)
+        assert "PartitionFilters: [isnotnull(date" in scan and ">= 2026-02-10" in scan
+    assert ("old", 0.0) in {(r.campaign_key, r.spend_30d) for r in rollups.spend_rollup(spend, given(spark), AS_OF, known=names.read_spend_names(spark, path)).collect()}
+    by_channel = rollups.spend_rollup(spend, given(spark), AS_OF, by_campaign=False, known=names.read_spend_names(spark, path)).collect()
+    assert {r.channel_key: r.spend_30d for r in by_channel} == {"google_ads": 185.0, "meta_ads": 150.0, "tv": 0.0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_similar_names_equal_all_pairs(spark, seed):
+    """Random names of up to 500 characters, parts of one another and reorderings of words."""
+    rng = random.Random(seed)
+    words = ["a", "spring", "sale", "us", "brand", "x" * 30, "été", "q1", "2024"]
+
+    def name():
+        text = rng.choice([" ", "_", "-", ""]).join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 5, 8, 40])))[:500]
+        return text
+
+    base = [name() for _ in range(40)]
+
+    def related():
+        text = rng.choice(base)
+        kind = rng.randint(0, 4)
+        cut = rng.randint(0, max(1, len(text) // 3))
+        if kind == 0:
+            return text[cut:]
+        if kind == 1:
+            return text[: len(text) - cut]
+        if kind == 2:
+            return text[cut // 2 : len(text) - cut // 2].upper()
+        if kind == 3:
+            return " ".join(rng.sample(text.split(" "), len(text.split(" "))))
+        return text + "z" * cut
+
+    left, right = [related() for _ in range(60)] + ["", None], base + ["", " _", None]
+    frames = [spark.createDataFrame([(n,) for n in side], "n string") for side in (left, right)]
+    for threshold in (0.72, 0.78, 1.0):
+        found = {(r.left_name, r.right_name, r.score) for r in similar.similar_names(*frames, threshold).collect()}
+        pairs = frames[0].distinct().withColumnRenamed("n", "l").crossJoin(frames[1].distinct().withColumnRenamed("n", "r"))
+        scored = pairs.withColumn("score", similar.name_similarity(similar.F.col("l"), similar.F.col("r"))).filter(f"score >= {threshold} AND l IS NOT NULL AND r IS NOT NULL")
+        assert found == {tuple(r) for r in scored.collect()} and len(found) > 5
+
+
+def test_suggestions_scan_little(spark, spend_rows, event_rows):
+    spend, events = spend_rows(GOOGLE, META), event_rows(BRAND, FACEBOOK, LINKEDIN)
+    current = rules.all_rules(spark)
+    unmatched = snapshot(coverage.unmatched_event_keys(spend, events, current, AS_OF))
+    catalog = snapshot(rollups.spend_rollup(spend, current, AS_OF))
+    assert physical(suggest.suggest_mappings(unmatched, catalog, current)).count("FileScan") < 20

@@ -16,7 +16,7 @@ def normalize_key(value: Column) -> Column:
 
 def normalize_text(value: str | None) -> str:
     """:func:`normalize_key` for a single parameter value."""
-    return (value or "").strip().lower().translate({ord(c): None for c in SEPARATORS})
+    return (value or "").lower().translate({ord(c): None for c in SEPARATORS})
 
 
 def tokens(value: Column) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.dates import DateLike, since
+from tidemark.functions.dates import DateLike
 from tidemark.functions.numeric import count_if, percent, rounded
 from tidemark.functions.text import normalize_key
-from tidemark.operators.mapping.rollups import DAYS, event_revenue, has_campaigns, key_columns, spend_rollup
-from tidemark.operators.mapping.rules import CHANNEL, canonicalize
+from tidemark.operators.mapping.names import Names, source_columns, spelled_names
+from tidemark.operators.mapping.rollups import key_columns, revenue_keys, spend_keys
+from tidemark.operators.mapping.rules import CAMPAIGN, CHANNEL, canonicalize
 
 
 def mapping_coverage(
@@ -19,10 +20,14 @@ def mapping_coverage(
     A full join of the two key tables holds the totals as well, so neither
     table is scanned a second time for them.
     """
-    by_campaign = has_campaigns(events)
-    keys = key_columns(by_campaign)
-    spent = spend_rollup(spend, rules, as_of, by_campaign).select(*keys, "spend_30d", F.lit(True).alias("has_spend"))
-    earned = event_revenue(events, rules, as_of, revenue_event, by_campaign).withColumn("has_events", F.lit(True))
+    return coverage_of(spelled_names(spend, events, as_of, revenue_event), rules)
+
+
+def coverage_of(names: Names, rules: DataFrame) -> DataFrame:
+    """``mapping_coverage`` from tables of spelled names."""
+    keys = key_columns(names.by_campaign)
+    spent = spend_keys(names.spend, rules, names.by_campaign).select(*keys, "spend_30d", F.lit(True).alias("has_spend"))
+    earned = revenue_keys(names.events, rules, names.by_campaign).withColumn("has_events", F.lit(True))
     has_spend, matched = F.col("has_spend").isNotNull(), F.col("has_spend") & F.col("has_events")
 
     def total(value: Column) -> Column:
@@ -61,25 +66,25 @@ def unmatched_event_keys(
     limit: int | None = None,
 ) -> DataFrame:
     """Spelled event names with revenue whose key has no spend; the ``limit`` largest, or all."""
-    by_campaign = has_campaigns(events)
-    names = ["utm_source", "utm_campaign"] if by_campaign else ["utm_source"]
     # Only the revenue event can lift a name above zero revenue.
+    names = spelled_names(spend, events.filter(F.col("event_type") == revenue_event), as_of, revenue_event)
+    return unmatched_events_of(names, rules, limit)
+
+
+def unmatched_events_of(names: Names, rules: DataFrame, limit: int | None = None) -> DataFrame:
+    """``unmatched_event_keys`` from tables of spelled names."""
+    sources, keys = source_columns(names.by_campaign), key_columns(names.by_campaign)
     spelled = (
-        events.filter(since(F.col("event_date"), as_of, DAYS) & (F.col("event_type") == revenue_event))
-        .groupBy(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names], "user_id")
-        .agg(F.sum("revenue").alias("revenue"))
-        .groupBy(*names)
-        .agg(F.count("user_id").alias("purchasers_30d"), F.sum("revenue").alias("revenue"))
+        names.users.groupBy(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in sources], "user_id")
+        .agg(F.sum("revenue").alias("revenue"), F.max("purchased").alias("purchased"))
+        .groupBy(*sources)
+        .agg(F.sum("purchased").cast("long").alias("purchasers_30d"), F.sum("revenue").alias("revenue"))
         .filter(F.col("revenue") > 0)
     )
-    spend_keys = spend_rollup(spend, rules, as_of, by_campaign).select(*key_columns(by_campaign))
-    missing = canonicalize(spelled, rules, *names).join(spend_keys, key_columns(by_campaign), "left_anti")
-    result = missing.select(
-        *names, *key_columns(by_campaign), "purchasers_30d", rounded(F.col("revenue"), 2).alias("revenue_30d")
-    )
-    return _top(
-        result, limit, F.desc("revenue_30d"), F.desc("purchasers_30d"), *[F.asc(name) for name in names]
-    )
+    known = spend_keys(names.spend, rules, names.by_campaign).select(*keys)
+    missing = canonicalize(spelled, rules, *sources).join(known, keys, "left_anti")
+    result = missing.select(*sources, *keys, "purchasers_30d", rounded(F.col("revenue"), 2).alias("revenue_30d"))
+    return _top(result, limit, F.desc("revenue_30d"), F.desc("purchasers_30d"), *[F.asc(name) for name in sources])
 
 
 def unmatched_spend_keys(
@@ -91,46 +96,37 @@ def unmatched_spend_keys(
     limit: int | None = None,
 ) -> DataFrame:
     """Spend keys without any recent event; the ``limit`` largest, or all."""
-    by_campaign = has_campaigns(events)
-    keys = key_columns(by_campaign)
-    seen = event_revenue(events, rules, as_of, revenue_event, by_campaign).select(*keys)
-    missing = spend_rollup(spend, rules, as_of, by_campaign).join(seen, keys, "left_anti")
+    return unmatched_spend_of(spelled_names(spend, events, as_of, revenue_event), rules, limit)
+
+
+def unmatched_spend_of(names: Names, rules: DataFrame, limit: int | None = None) -> DataFrame:
+    """``unmatched_spend_keys`` from tables of spelled names."""
+    keys = key_columns(names.by_campaign)
+    seen = revenue_keys(names.events, rules, names.by_campaign).select(*keys)
+    missing = spend_keys(names.spend, rules, names.by_campaign).join(seen, keys, "left_anti")
     result = missing.select("channel", "campaign", rounded(F.col("spend_30d"), 2).alias("spend_30d"))
     return _top(result, limit, F.desc("spend_30d"), F.asc("channel"), F.asc("campaign"))
 
 
-def _names(table: DataFrame, date_col: str, channel_col: str, campaign_col: str | None, as_of: DateLike) -> DataFrame:
-    """Recent rows per normalized name: their number and first spellings."""
+def _counted(spelled: DataFrame, channel_col: str, campaign_col: str | None) -> DataFrame:
+    """Recent rows per normalized name with their first spellings, from rows that are counted per spelling."""
     campaign = F.col(campaign_col) if campaign_col else F.lit(None).cast("string")
     return (
-        table.filter(since(F.col(date_col), as_of, DAYS))
-        .groupBy(
-            normalize_key(F.col(channel_col)).alias("channel_name"), normalize_key(campaign).alias("campaign_name")
-        )
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min(channel_col).alias("channel_sample"),
-            F.min(campaign).alias("campaign_sample"),
-        )
+        spelled.filter("rows > 0")
+        .groupBy(normalize_key(F.col(channel_col)).alias("channel_name"), normalize_key(campaign).alias("campaign_name"))
+        .agg(F.sum("rows").alias("rows"), F.min(channel_col).alias("channel_sample"), F.min(campaign).alias("campaign_sample"))
     )
 
 
 def _hits(names: DataFrame, distinct_rules: DataFrame, prefix: str) -> DataFrame:
-    """Rows and a sample spelling per rule, from names that are already counted."""
-    is_channel = F.col("scope") == CHANNEL
-    of_channels = names.groupBy(F.col("channel_name").alias("alias_name")).agg(
-        F.sum("rows").alias("rows"), F.min("channel_sample").alias("sample")
-    )
-    by_channel = distinct_rules.filter(is_channel).join(of_channels, "alias_name")
-    by_campaign = (
-        distinct_rules.filter(~is_channel)
-        .join(names.withColumnRenamed("campaign_name", "alias_name"), "alias_name")
-        .filter((F.col("rule_channel") == "") | (F.col("rule_channel") == F.col("channel_name")))
-        .withColumn("sample", F.col("campaign_sample"))
-    )
-    matched = by_channel.select("rule_key", "rows", "sample").unionByName(
-        by_campaign.select("rule_key", "rows", "sample")
-    )
+    """Rows and a sample spelling per rule, from names that are already counted; each name stands for both scopes."""
+    sides = [
+        F.struct(F.lit(scope).alias("scope"), F.col(f"{scope}_name").alias("alias_name"), F.col(f"{scope}_sample").alias("sample"))
+        for scope in (CHANNEL, CAMPAIGN)
+    ]
+    seen = names.select("rows", F.col("channel_name").alias("own_channel"), F.inline(F.array(*sides)))
+    in_scope = (F.col("scope") == CHANNEL) | (F.col("rule_channel") == "") | (F.col("rule_channel") == F.col("own_channel"))
+    matched = distinct_rules.join(seen, ["scope", "alias_name"]).filter(in_scope)
     return matched.groupBy("rule_key").agg(
         F.sum("rows").alias(f"{prefix}_rows"), F.min("sample").alias(f"{prefix}_sample")
     )
@@ -142,9 +138,14 @@ def applied_alias_rules(
     """Rules that matched recent rows, with hit counts and a spelling from each side.
 
     Rules that only restate their canonical value are left out. Each table is
-    scanned once, for all rules together.
+    scanned once, for all rules together; its rows are counted per spelling first.
     """
-    with_campaign = has_campaigns(events)
+    return applied_rules_of(spelled_names(spend, events, as_of), rules, limit)
+
+
+def applied_rules_of(names: Names, rules: DataFrame, limit: int | None = None) -> DataFrame:
+    """``applied_alias_rules`` from tables of spelled names."""
+    with_campaign = names.by_campaign
     alias, canonical = normalize_key(F.col("alias")), normalize_key(F.col("canonical_value"))
     order = F.struct("batch", "position")
     usable = rules.filter(alias != canonical)
@@ -156,12 +157,8 @@ def applied_alias_rules(
         .withColumn("rule_channel", normalize_key(F.col("channel")))
         .withColumn("rule_key", F.struct("scope", "canonical_value", "channel", "alias_name"))
     )
-    spent = _hits(_names(spend, "date", "channel", "campaign", as_of), distinct_rules, "spend")
-    seen = _hits(
-        _names(events, "event_date", "utm_source", "utm_campaign" if with_campaign else None, as_of),
-        distinct_rules,
-        "event",
-    )
+    spent = _hits(_counted(names.spend, "channel", "campaign" if with_campaign else None), distinct_rules, "spend")
+    seen = _hits(_counted(names.events, "utm_source", "utm_campaign" if with_campaign else None), distinct_rules, "event")
     hits = spent.join(seen, "rule_key", "full").select(
         "rule_key",
         F.coalesce("spend_rows", F.lit(0)).alias("spend_rows"),
@@ -185,10 +182,15 @@ def mapping_diagnostics(
     revenue_event: str = "purchase",
     limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Coverage, unmatched names of both sides and the rules in use."""
+    """Coverage, unmatched names of both sides and the rules in use.
+
+    The tables of spelled names are written once (see ``Names.kept``), so each raw
+    table is scanned once for all four.
+    """
+    names = spelled_names(spend, events, as_of, revenue_event).kept()
     return {
-        "coverage": mapping_coverage(spend, events, rules, as_of, revenue_event),
-        "unmatched_events": unmatched_event_keys(spend, events, rules, as_of, revenue_event, limit),
-        "unmatched_spend": unmatched_spend_keys(spend, events, rules, as_of, revenue_event, limit),
-        "applied_rules": applied_alias_rules(spend, events, rules, as_of, limit),
+        "coverage": coverage_of(names, rules),
+        "unmatched_events": unmatched_events_of(names, rules, limit),
+        "unmatched_spend": unmatched_spend_of(names, rules, limit),
+        "applied_rules": applied_rules_of(names, rules, limit),
     }

@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.dates import DateLike
-from tidemark.operators.mapping.coverage import (
-    applied_alias_rules,
-    mapping_coverage,
-    unmatched_event_keys,
-    unmatched_spend_keys,
-)
-from tidemark.operators.mapping.rollups import has_campaigns, spend_rollup
+from tidemark.operators.mapping.coverage import applied_rules_of, coverage_of, unmatched_events_of, unmatched_spend_of
+from tidemark.operators.mapping.names import spelled_names
+from tidemark.operators.mapping.rollups import spend_keys
 from tidemark.operators.mapping.suggest import suggest_mappings
 from tidemark.session import scratch_dir, snapshot
 
@@ -29,23 +25,22 @@ def build_profile(
 ) -> dict[str, DataFrame]:
     """Write coverage, unmatched keys, rules in use and suggestions below ``path`` and return them.
 
-    The raw tables are scanned for this only; review, preview and apply start
-    from the written parts, in this session or another one.
+    Each raw table is scanned once for this, and no more: all parts start from
+    written tables of spelled names, and review, preview and apply from the
+    written parts, in this session or another one.
     """
     path = path or scratch_dir(spend.sparkSession)
-    by_campaign = has_campaigns(events)
+    names = spelled_names(spend, events, as_of, revenue_event).kept()
 
     def keep(name: str, frame: DataFrame) -> DataFrame:
         return snapshot(frame, f"{path}/{name}")
 
     profile = {
-        "coverage": keep("coverage", mapping_coverage(spend, events, rules, as_of, revenue_event)),
-        "unmatched_events": keep(
-            "unmatched_events", unmatched_event_keys(spend, events, rules, as_of, revenue_event)
-        ),
-        "unmatched_spend": keep("unmatched_spend", unmatched_spend_keys(spend, events, rules, as_of, revenue_event)),
-        "applied_rules": keep("applied_rules", applied_alias_rules(spend, events, rules, as_of)),
-        "spend_keys": keep("spend_keys", spend_rollup(spend, rules, as_of, by_campaign)),
+        "coverage": keep("coverage", coverage_of(names, rules)),
+        "unmatched_events": keep("unmatched_events", unmatched_events_of(names, rules)),
+        "unmatched_spend": keep("unmatched_spend", unmatched_spend_of(names, rules)),
+        "applied_rules": keep("applied_rules", applied_rules_of(names, rules)),
+        "spend_keys": keep("spend_keys", spend_keys(names.spend, rules, names.by_campaign)),
     }
     found = suggest_mappings(profile["unmatched_events"], profile["spend_keys"], rules, limit)
     profile["suggestions"] = keep("suggestions", found)

@@ -36,11 +36,17 @@ def user_rules(spark: SparkSession, rows: list[tuple[str, str, str, str]], batch
 
 
 def read_rules_csv(spark: SparkSession, path: str, batch: str = "1") -> DataFrame:
-    """Rules from a CSV file; incomplete rows and unknown scopes are skipped, file order is kept."""
+    """Rules from a CSV file; incomplete rows and unknown scopes are skipped, file order is kept.
+
+    In a folder the files count by name. A file may be read in several parts and
+    in any order, so the rows are sorted by file and place before they are numbered.
+    """
     raw = spark.read.csv(path, header=True, schema=RULE_SCHEMA)
-    return clean_rules(
-        raw.select(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("position"), *RULE_COLUMNS)
+    place = raw.select(
+        *RULE_COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
     )
+    ordered = place.orderBy("file", "block", "row")
+    return clean_rules(ordered.select(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("position"), *RULE_COLUMNS))
 
 
 def clean_rules(rules: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.dates import DateLike
 from tidemark.functions.numeric import rounded
 from tidemark.functions.text import normalize_key, normalize_text, token_overlap, tokens
-from tidemark.operators.mapping.coverage import mapping_coverage
+from tidemark.operators.mapping.coverage import coverage_of
+from tidemark.operators.mapping.names import Names, spelled_names
 from tidemark.operators.mapping.rules import CAMPAIGN, CHANNEL, RULE_COLUMNS, with_self_aliases
 from tidemark.operators.mapping.similar import similar_names
+from tidemark.session import snapshot
 
 # Confidence of a channel that is already known, and the least
 # similarity at which a channel or a campaign is suggested.
@@ -255,9 +257,22 @@ def preview_mappings(
     as_of: DateLike,
     revenue_event: str = "purchase",
 ) -> DataFrame:
-    """Coverage now and with the selected suggestions: ``metric, current, preview, delta``."""
-    now = mapping_coverage(spend, events, rules, as_of, revenue_event)
-    then = mapping_coverage(spend, events, with_suggestions(rules, selected), as_of, revenue_event)
+    """Coverage now and with the selected suggestions: ``metric, current, preview, delta``.
+
+    Spend and events are summed by name and written once, so each raw table is
+    scanned once; both rule sets are applied to the sums.
+    """
+    return preview_of(spelled_names(spend, events, as_of, revenue_event).kept(users=False), rules, selected)
+
+
+def preview_of(names: Names, rules: DataFrame, selected: DataFrame) -> DataFrame:
+    """``preview_mappings`` from tables of spelled names.
+
+    The previewed rules are written as well: as a table they have a size, by which
+    Spark decides how to join them.
+    """
+    now = coverage_of(names, rules)
+    then = coverage_of(names, snapshot(with_suggestions(rules, selected)))
     # Metric labels.
     metrics = {
         "matched_spend_30d": "Mapped spend (30d)",
@@ -290,11 +305,12 @@ def mapping_review_pack(
     min_confidence: float = 0.8,
     limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Coverage preview, risks and the mix of risk levels of the selected suggestions."""
-    selected = select_suggestions(suggestions, aliases, min_confidence, limit)
-    risks = assess_mapping_risk(selected, rules, mapping_coverage(spend, events, rules, as_of, revenue_event))
+    """Coverage preview, risks and the mix of risk levels of the selected suggestions; each raw table is scanned once."""
+    names = spelled_names(spend, events, as_of, revenue_event).kept(users=False)
+    selected = snapshot(select_suggestions(suggestions, aliases, min_confidence, limit))
+    risks = assess_mapping_risk(selected, rules, coverage_of(names, rules))
     return {
-        "coverage_preview": preview_mappings(spend, events, rules, selected, as_of, revenue_event),
+        "coverage_preview": preview_of(names, rules, selected),
         "risk_review": risks,
         "risk_mix": risks.groupBy("risk_level").agg(F.count(F.lit(1)).alias("suggestions")),
         "selected": selected,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.export import report_types
 from tidemark.functions.numeric import rounded
 from tidemark.functions.text import name_similarity, normalize_key
-from tidemark.operators.mapping import coverage, rollups, rules, store, suggest
+from tidemark.operators.mapping import coverage, names, rollups, rules, store, suggest
 from tidemark.plans import canonical as tables
 from tidemark.plans.canonical import AS_OF, CAMPAIGN_SPELLINGS, sql_ratio, sql_round, with_tables
 from tidemark.session import scratch_dir, snapshot
@@ -47,9 +47,9 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _events(spark, sf_dir).select("utm_source", "utm_campaign")
+    spelled = _events(spark, sf_dir).select("utm_source", "utm_campaign")
     return report_types(
-        names.groupBy("utm_source", "utm_campaign").agg(
+        spelled.groupBy("utm_source", "utm_campaign").agg(
             F.first(normalize_key(F.col("utm_source"))).alias("channel_name"),
             F.first(normalize_key(F.col("utm_campaign"))).alias("campaign_name"),
             F.count(F.lit(1)).alias("events"),
@@ -74,6 +74,15 @@ def _spend_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_types(rollups.spend_rollup(_spend(spark, sf_dir), _rules(spark), AS_OF))
 
 
+def _spend_rollup_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup from the names that two loads left behind, with a scan of the recent days alone."""
+    spend, path = _spend(spark, sf_dir), scratch_dir(spark)
+    first = F.col("date") < F.date_sub(F.lit(AS_OF).cast("date"), 20)
+    for load in (first, ~first):
+        names.add_spend_names(spend.filter(load), path)
+    return report_types(rollups.spend_rollup(spend, _rules(spark), AS_OF, known=names.read_spend_names(spark, path)))
+
+
 def _event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_types(rollups.event_rollup(_events(spark, sf_dir), _rules(spark), AS_OF))
 
@@ -114,7 +123,7 @@ def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four parts under one another: section, item, value."""
-    parts = coverage.mapping_diagnostics(*_both(spark, sf_dir), _rules(spark), AS_OF, limit=5)
+    parts = coverage.mapping_diagnostics(*_both(spark, sf_dir), _rules(spark), AS_OF)
 
     def rows(section: str, name: str, item, value: str) -> DataFrame:
         return parts[name].select(F.lit(section).alias("section"), item.alias("item"), F.col(value).cast("double").alias("value"))
@@ -130,10 +139,10 @@ def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions from nothing but the built-in rules, on snapshots of the two key tables."""
-    spend, events = _both(spark, sf_dir)
+    spelled = names.spelled_names(*_both(spark, sf_dir), AS_OF).kept()
     current = rules.all_rules(spark)
-    unmatched = snapshot(coverage.unmatched_event_keys(spend, events, current, AS_OF))
-    catalog = snapshot(rollups.spend_rollup(spend, current, AS_OF))
+    unmatched = snapshot(coverage.unmatched_events_of(spelled, current))
+    catalog = snapshot(rollups.spend_keys(spelled.spend, current))
     return suggest.suggest_mappings(unmatched, catalog, current)
 
 
@@ -389,6 +398,7 @@ QUERIES = {
             (SELECT o_orderpriority AS campaign, {list(CAMPAIGN_SPELLINGS)}[o_orderkey % 5 + 1] AS spelling, count(*) AS orders FROM orders GROUP BY 1, 2)""",
     ),
     "spend_rollup": (_spend_rollup, _query("SELECT * REPLACE (CAST(spend_30d AS DOUBLE) AS spend_30d) FROM spend_rollup")),
+    "spend_rollup_known": (_spend_rollup_known, _query("SELECT * REPLACE (CAST(spend_30d AS DOUBLE) AS spend_30d) FROM spend_rollup")),
     "event_rollup": (_event_rollup, _query("SELECT * REPLACE (CAST(revenue_30d AS DOUBLE) AS revenue_30d) FROM event_rollup")),
     "attribution_bridge": (_bridge, _query(_BRIDGE.format())),
     "attribution_bridge_by_channel": (
@@ -432,10 +442,9 @@ QUERIES = {
         _diagnostics,
         _query(
             """SELECT 'coverage' AS section, 'matched_spend_30d' AS item, matched_spend_30d AS value FROM cov
-               UNION ALL (SELECT 'events', utm_source || '/' || utm_campaign, revenue_30d FROM un ORDER BY revenue_30d DESC, purchasers_30d DESC, utm_source, utm_campaign LIMIT 5)
-               UNION ALL (SELECT 'spend', channel || '/' || campaign, spend_30d FROM us ORDER BY spend_30d DESC, channel, campaign LIMIT 5)
-               UNION ALL (SELECT 'rules', scope || '/' || alias || '/' || channel, CAST(event_rows AS DOUBLE) FROM hits
-                          ORDER BY spend_rows + event_rows DESC, scope, alias, channel LIMIT 5)""",
+               UNION ALL SELECT 'events', utm_source || '/' || utm_campaign, revenue_30d FROM un
+               UNION ALL SELECT 'spend', channel || '/' || campaign, spend_30d FROM us
+               UNION ALL SELECT 'rules', scope || '/' || alias || '/' || channel, CAST(event_rows AS DOUBLE) FROM hits""",
             cov=_coverage_sql(),
             un=_UNMATCHED,
             us=_UNMATCHED_SPEND,
