@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 import math
 import random
@@ -108,6 +109,71 @@ def plain_smoothing(values, alpha=0.3):
     return level, max(level - spread, 0.0), level + spread
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    ("columns", "order_cols"),
+    [("ts timestamp", ("ts",)), ("ts timestamp_ntz, event_id long", ("ts", "event_id")), ("ts date", ("ts",)), ("ts timestamp, event_id int", ("ts", "event_id")), ("ts string", ("ts",)), ("ts date, event_id double", ("ts", "event_id"))],
+)
+def test_touches_of_many_users_by_hash(spark, columns, order_cols):
+    """Against plain picking, with missing times first and names as text; by a hash aggregate where the order fits a number."""
+    rng = random.Random(11)
+    kinds = {"timestamp": lambda: dt.datetime(1950 + rng.randint(0, 200), 1, 1, rng.randint(0, 23), 0, 0, rng.randint(0, 9)), "date": lambda: dt.date(2024, 1, rng.randint(1, 28)), "string": lambda: f"2024-01-{rng.randint(10, 28)}"}
+    kinds |= {"timestamp_ntz": kinds["timestamp"], "long": lambda: rng.randint(-(2**62), 2**62), "int": lambda: rng.randint(-9, 9), "double": rng.random}
+    makers = [kinds[part.split()[1]] for part in columns.split(", ")]
+    rows, seen = [], set()
+    for _ in range(400):
+        order = tuple(None if i == 0 and rng.random() < 0.05 else make() for i, make in enumerate(makers))
+        user = f"u{rng.randint(0, 40)}"
+        if (user, order) not in seen:
+            seen.add((user, order))
+            rows.append((user, rng.choice(["a", "b", "été", None]), *order, float(rng.randint(-2, 5))))
+    touches = spark.createDataFrame(rows, f"user_id string, channel string, {columns}, revenue double")
+    key = lambda r: tuple((v is not None, v) if v is not None else (False,) for v in r[2:-1])
+    for pick, model in ((min, channels.first_touch), (max, channels.last_touch)):
+        expected = {}
+        for user in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == user]
+            if (revenue := sum(r[-1] for r in own)) > 0:
+                n, total = expected.get(pick(own, key=key)[1], (0, 0.0))
+                expected[pick(own, key=key)[1]] = (n + 1, total + revenue)
+        found = model(touches, order_cols)
+        assert {r.channel: (r.converters, r.attributed_revenue) for r in found.collect()} == expected
+        if "string" not in columns and "double" not in columns:
+            by_user = plan_of(found).split("touches")[0]
+            assert "SortAggregate(key=[user_id" not in by_user and "HashAggregate(keys=[user_id" in by_user
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1e-7, 0.001, 0.3, 0.999, 1.0])
+def test_smoothing_of_any_length(spark, alpha):
+    """Several series of thousands of days, some of them empty of values, against a loop."""
+    rng = random.Random(12)
+    lengths = {"long": 5_000, "one": 1, "two": 2, "middle": 900}
+    rows = [(k, dt.date(2000, 1, 1) + dt.timedelta(days=2 * i), None if rng.random() < 0.02 else rng.uniform(0, 1e4)) for k, n in lengths.items() for i in range(n)]
+    rng.shuffle(rows)
+    daily = spark.createDataFrame(rows, "k string, date date, value double")
+    found = {r.k: (r.value, r.upper) for r in forecast.forecast_exponential(daily, 1, ["k"], alpha=alpha).collect()}
+    for k in lengths:
+        values = [v or 0.0 for _, _, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])]
+        level, error = values[0], 0.0
+        for v in values[1:]:
+            level = alpha * v + (1 - alpha) * level
+            error += abs(level - v)
+        spread = error / (len(values) - 1) if len(values) > 1 else 0.0
+        assert found[k] == pytest.approx((level, level + spread), abs=0.011)
+    with pytest.raises(ValueError):
+        forecast.forecast_exponential(daily, 1, ["k"], alpha=1.5)
+
+
+def test_forecasts_gather_no_series(spark):
+    daily = spark.createDataFrame([("a", dt.date(2024, 1, 1), 1.0)], "k string, date date, value double")
+    for fit in (forecast.forecast_linear, forecast.forecast_exponential):
+        plan = plan_of(fit(daily, 3, ["k"]))
+        assert "collect_list" not in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
 @pytest.mark.parametrize("values", [[3.0, 5.0, 4.0, 8.0, 9.5], [50.0, 30.0, 12.0], [7.0, 7.0], [1e9, 1.1e9, 1.2e9]])
 def test_forecasts_match_loops(spark, values):
     line = forecast.forecast_linear(series(spark, values), 6).orderBy("day_offset").collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.numeric import percent, ratio, rounded, zero_if_null
 
@@ -85,23 +85,73 @@ def shapley_attribution(
     )
 
 
+# Least and largest of a timestamp in microseconds and of a long, with digits that hold them.
+_LOWEST_TIME, _TIME_DIGITS = -(10**17) * 6, 18
+_LOWEST_LONG, _LONG_DIGITS = -(2**63), 20
+_TIMES = (T.TimestampType, T.TimestampNTZType)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)
+
+
+def _decimal(number: int) -> Column:
+    return F.lit(str(number)).cast("decimal(38,0)")
+
+
+def _order_key(touches: DataFrame, order_cols: tuple[str, ...]) -> Column:
+    """One number that sorts like the order columns, missing values first; a struct where they fit into none.
+
+    A number has a fixed width, so the first or last touch of a user is found by a
+    hash aggregate; a struct or text would sort all touches.
+    """
+    parts, digits = [], 0
+    for name in order_cols:
+        kind = touches.schema[name].dataType
+        if isinstance(kind, _TIMES):
+            value = F.unix_micros(F.col(name).cast("timestamp")) if isinstance(kind, T.TimestampType) else F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), name)
+            lowest, width = _LOWEST_TIME, _TIME_DIGITS
+        elif isinstance(kind, _WHOLE):
+            value = F.unix_date(name) if isinstance(kind, T.DateType) else F.col(name)
+            lowest, width = _LOWEST_LONG, _LONG_DIGITS
+        else:
+            return F.struct(*order_cols)
+        if len(order_cols) == 1:
+            return F.coalesce(value.cast("long"), F.lit(_LOWEST_LONG))
+        # Above zero, so that a missing value can be zero.
+        whole = value.cast("decimal(38,0)") + _decimal(1 - lowest)
+        parts.append((F.coalesce(whole.cast("decimal(38,0)"), _decimal(0)), width))
+        digits += width
+    if digits > 38:
+        return F.struct(*order_cols)
+    key = parts[0][0]
+    for value, width in parts[1:]:
+        key = (key * _decimal(10**width) + value).cast("decimal(38,0)")
+    return key
+
+
 def _touch(touches: DataFrame, pick, order_cols: tuple[str, ...]) -> DataFrame:
-    """Revenue and converting users per channel of one touch of each journey."""
+    """Revenue and converting users per channel of one touch of each journey.
+
+    The aggregate by user carries a 64-bit number of the channel instead of its
+    name, so its buffer has a fixed width; the names come back on the result, which
+    has a row per channel. Two channels of one number are refused.
+    """
+    number = F.xxhash64("channel")
     users = (
-        touches.groupBy("user_id")
-        .agg(pick(F.col("channel"), F.struct(*order_cols)).alias("channel"), F.sum("revenue").alias("revenue"))
+        touches.select("user_id", "revenue", number.alias("number"), _order_key(touches, order_cols).alias("key"))
+        .groupBy("user_id")
+        .agg(pick("number", "key").alias("number"), F.sum("revenue").alias("revenue"))
         .filter(F.col("revenue") > 0)
     )
-    return users.groupBy("channel").agg(
-        F.count("user_id").alias("converters"), rounded(F.sum("revenue"), 2).alias("attributed_revenue")
-    )
+    found = users.groupBy("number").agg(F.count("user_id").alias("converters"), rounded(F.sum("revenue"), 2).alias("attributed_revenue"))
+    names = touches.groupBy("channel").agg(F.count(F.lit(1)).alias("touches")).groupBy(F.xxhash64("channel").alias("number"))
+    single = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two channels share a number")).cast("string")).otherwise(F.min("channel"))
+    return found.join(names.agg(single.alias("channel")), "number", "left").select("channel", "converters", "attributed_revenue")
 
 
 def first_touch(touches: DataFrame, order_cols: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """All revenue of a user to the channel of their first touch."""
+    """All revenue of a user to the channel of their first touch; a missing time comes before all others."""
     return _touch(touches, F.min_by, order_cols)
 
 
 def last_touch(touches: DataFrame, order_cols: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """All revenue of a user to the channel of their last touch."""
+    """All revenue of a user to the channel of their last touch; a missing time comes before all others."""
     return _touch(touches, F.max_by, order_cols)

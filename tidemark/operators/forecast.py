@@ -1,39 +1,42 @@
 """Forecasts of daily series.
 
-A series is at most one value per day of the lookback, so it is gathered into
-one small array per series key and fitted with array expressions. Any number
-of series is fitted in parallel; the raw rows are only ever pre-aggregated.
-Days without rows are not filled: the index counts the days that are present.
+A day's place in its series is a rank, and a fit follows from sums over ranks and
+values, so a series of any length is fitted without gathering it. Any number of
+series is fitted in parallel; the raw rows are only ever pre-aggregated. Days
+without rows are not filled: the rank counts the days that are present.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.dates import DateLike, since
 from tidemark.functions.numeric import rounded, sum_if
 
 HISTORY_DAYS = 90
 ALPHA = 0.3
+#: The logarithm of the largest weight in a smoothing block; its inverse is far below what a double can tell.
+_BLOCK_WEIGHT = 300.0
 _SERIES_KEY = "series"
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+#: Number of a day in its series, from 0.
+_RANK = "rank"
 
 
-def _gather(daily: DataFrame, keys: Sequence[str], date_col: str, value_col: str) -> DataFrame:
-    """One row per series with its values in date order and their number ``n``."""
-    point = F.struct(F.col(date_col).alias("day"), F.coalesce(F.col(value_col).cast("double"), F.lit(0.0)).alias("value"))
-    grouped = daily.groupBy(*keys) if keys else daily.groupBy()
-    return (
-        grouped.agg(F.array_sort(F.collect_list(point)).alias("points"))
-        .withColumn("y", F.transform("points", lambda p: p["value"]))
-        .withColumn("n", F.size("y"))
-        .drop("points")
-    )
+def _ranked(daily: DataFrame, keys: Sequence[str], date_col: str, value_col: str) -> DataFrame:
+    """``keys``, ``rank`` and ``y``: the values in date order (equal dates by value), missing ones as 0."""
+    value = F.coalesce(F.col(value_col).cast("double"), F.lit(0.0)).alias("y")
+    in_order = Window.partitionBy(*keys).orderBy("day", "y")
+    return daily.select(*keys, F.col(date_col).alias("day"), value).select(*keys, (F.row_number().over(in_order) - 1).alias(_RANK), "y")
+
+
+def _per_series(days: DataFrame, keys: Sequence[str]):
+    """Grouped by series; without keys the one series has a row even when there are no days."""
+    return days.groupBy(*keys) if keys else days.groupBy()
 
 
 def _project(fitted: DataFrame, keys: Sequence[str], horizon: int, point: Column, lower: Column) -> DataFrame:
@@ -63,22 +66,25 @@ def forecast_linear(
     The band is one standard deviation of the residuals. A series with fewer
     than two days continues flat.
     """
-    n = F.col("n").cast("double")
-    series = (
-        _gather(daily, keys, date_col, value_col)
-        .withColumn("x_mean", (n - 1) / 2)
-        .withColumn("y_mean", F.when(F.col("n") > 0, _total(F.col("y")) / n).otherwise(F.lit(0.0)))
-        .withColumn("xx", n * (n * n - 1) / 12)
+    whole = Window.partitionBy(*keys)
+    n, x = F.col("n").cast("double"), F.col(_RANK).cast("double")
+    days = (
+        _ranked(daily, keys, date_col, value_col)
+        .withColumn("n", F.count(F.lit(1)).over(whole))
+        .withColumn("y_mean", F.sum("y").over(whole) / n)
+        .withColumn("slope", F.when(n >= 2, F.sum((x - (n - 1) / 2) * (F.col("y") - F.col("y_mean"))).over(whole) / (n * (n * n - 1) / 12)).otherwise(F.lit(0.0)))
+        .withColumn("start", F.col("y_mean") - F.col("slope") * (n - 1) / 2)
     )
-    centered = F.transform("y", lambda v, i: (i.cast("double") - F.col("x_mean")) * (v - F.col("y_mean")))
-    line = series.withColumn(
-        "slope", F.when(F.col("n") >= 2, _total(centered) / F.col("xx")).otherwise(F.lit(0.0))
-    ).withColumn("start", F.col("y_mean") - F.col("slope") * F.col("x_mean"))
-    squares = F.transform("y", lambda v, i: F.pow(v - F.col("start") - F.col("slope") * i.cast("double"), 2.0))
-    fitted = line.withColumn(
-        "spread",
-        F.when(F.col("n") >= 2, F.sqrt(_total(squares) / F.greatest(n - 2, F.lit(1.0)))).otherwise(F.lit(0.0)),
+    residual = F.col("y") - F.col("start") - F.col("slope") * x
+    zero = F.lit(0.0)
+    # The fit is the same on all days of a series; the residuals are summed.
+    fitted = _per_series(days, keys).agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"),
+        *[F.coalesce(F.max(name), zero).alias(name) for name in ("y_mean", "slope", "start")],
+        F.coalesce(F.sum(residual * residual), zero).alias("squares"),
     )
+    spread = F.when(n >= 2, F.sqrt(F.col("squares") / F.greatest(n - 2, F.lit(1.0)))).otherwise(zero)
+    fitted = fitted.withColumn("spread", spread)
     trend = F.greatest(F.col("start") + F.col("slope") * (n + F.col("day_offset") - 1), F.lit(0.0))
     is_line = F.col("n") >= 2
     return _project(
@@ -102,23 +108,41 @@ def forecast_exponential(
 
     The band is the mean distance of level and value from the second day on.
     """
-    first = F.coalesce(F.get("y", F.lit(0)), F.lit(0.0))
-    smooth = F.aggregate(
-        F.slice("y", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0))),
-        F.struct(first.alias("level"), F.lit(0.0).alias("error")),
-        lambda acc, v: F.struct(
-            (v * alpha + acc["level"] * (1 - alpha)).alias("level"),
-            (acc["error"] + F.abs(v * alpha + acc["level"] * (1 - alpha) - v)).alias("error"),
-        ),
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha is between 0 and 1")
+    zero = F.lit(0.0)
+    levels = _levels(_ranked(daily, keys, date_col, value_col), keys, float(alpha))
+    error = F.when(F.col(_RANK) > 0, F.abs(F.col("level") - F.col("y")))
+    fitted = _per_series(levels, keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.max_by("level", _RANK), zero).alias("level"),
+        F.coalesce(F.sum(error), zero).alias("error"),
     )
-    fitted = (
-        _gather(daily, keys, date_col, value_col)
-        .withColumn("fit", smooth)
-        .withColumn(
-            "spread", F.when(F.col("n") >= 2, F.col("fit.error") / (F.col("n") - 1)).otherwise(F.lit(0.0))
-        )
+    fitted = fitted.withColumn("spread", F.when(F.col("n") >= 2, F.col("error") / (F.col("n") - 1)).otherwise(zero))
+    return _project(fitted, keys, horizon, F.col("level"), _floored())
+
+
+def _levels(days: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
+    """``days`` with the smoothed ``level`` of each: alpha * y + (1 - alpha) * the level before; the first is its value.
+
+    With q = 1 - alpha a level is the sum of alpha * y_i * q^(t - i). It is taken as
+    q^t times a running sum of y_i / q^i, in blocks so short that q^-i stays a
+    number; a block starts from the last level of the one before, in which what
+    came before that block weighs less than any double can tell.
+    """
+    if alpha == 1:
+        return days.withColumn("level", F.col("y"))
+    q = 1 - alpha
+    length = 2**62 if q == 1 else max(1, int(_BLOCK_WEIGHT / -math.log(q)))
+    series, blocks = Window.partitionBy(*keys).orderBy(_RANK), Window.partitionBy(*keys, "block").orderBy(_RANK)
+    inside, power = F.col(_RANK) % length, lambda x: F.pow(F.lit(q), x.cast("double"))
+    weight = F.when(F.col(_RANK) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    summed = days.withColumn("block", F.floor(F.col(_RANK) / length)).withColumn(
+        "own", power(inside) * F.sum(weight * F.col("y") * power(-inside)).over(blocks.rowsBetween(Window.unboundedPreceding, 0))
     )
-    return _project(fitted, keys, horizon, F.col("fit.level"), _floored())
+    # The first day of a block sees the last one of the block before.
+    carried = summed.withColumn("last", F.lag("own", 1, 0.0).over(series)).withColumn("before", F.first("last").over(blocks))
+    return carried.withColumn("level", F.col("own") + power(inside + 1) * F.col("before"))
 
 
 def trend_label(first: Column, last: Column) -> Column:
