@@ -89,12 +89,83 @@ def test_scratch_folder_is_below_the_shared_one(spark):
     assert snapshot(spark.range(5)).count() == 5
 
 
-def test_values_that_do_not_fit_the_contract_stay(spark, tmp_path):
+def test_rows_that_do_not_fit_the_contract_are_handed_out(spark, tmp_path):
     path = tmp_path / "marketing_spend.csv"
-    path.write_text('date,channel,spend,conversions,clicks\n2024-01-02,a,"1,200.50",1.5,7\n2024-01-03,b,3.25,2,8.5\n')
-    rows = files.load_csv(spark, str(path)).orderBy("date").collect()
-    assert [(r.spend, r.conversions, r.clicks) for r in rows] == [("1,200.50", 1.5, 7.0), ("3.25", 2.0, 8.5)]
-    path.write_text("date,channel,spend,conversions,clicks\n2024-01-02,a,1200.50,1.5,7\n,b,,,\n")
+    path.write_text('date,channel,spend,conversions,clicks\n2024-01-02,a,"1,200.50",1.5,7\n2024-01-03,b,3.25,2,8.5\nsoon,c,1,1,1\n2024-01-05,d,4,,9\n')
     table = files.load_csv(spark, str(path))
     assert dict(table.dtypes) == {"date": "date", "channel": "string", "spend": "double", "conversions": "double", "clicks": "bigint"}
-    assert [(r.conversions, r.clicks) for r in table.orderBy("channel").collect()] == [(1.5, 7), (None, None)]
+    rows = {r.channel: (str(r.date), r.spend, r.conversions, r.clicks) for r in table.collect()}
+    assert rows == {"a": ("2024-01-02", None, 1.5, 7), "b": ("2024-01-03", 3.25, 2.0, None), "c": ("None", 1.0, 1.0, 1), "d": ("2024-01-05", 4.0, None, 9)}
+    unfit = {r.channel: r._unfit for r in files.unfit_rows(spark, str(path)).collect()}
+    assert unfit == {"a": '2024-01-02,a,"1,200.50",1.5,7', "b": "2024-01-03,b,3.25,2,8.5", "c": "soon,c,1,1,1"}
+    # Also when not all columns are asked for.
+    assert files.unfit_rows(spark, str(path)).select("channel").count() == 3
+    assert files.unfit_rows(spark, str(path), "other").count() == 0
+    path.write_text("date,channel,spend,conversions,clicks\n2024-01-02,a,1200.50,1.5,7\n,b,,,\n")
+    assert [(r.conversions, r.clicks) for r in files.load_csv(spark, str(path)).orderBy("channel").collect()] == [(1.5, 7), (None, None)]
+    assert files.unfit_rows(spark, str(path)).count() == 0
+
+
+def test_unknown_columns_do_not_cost_the_contract(spark, tmp_path):
+    path = tmp_path / "marketing_spend.csv"
+    path.write_text("date,campaign_id,channel,cost,note\n2024-01-02,7,a,5,x\n")
+    assert dict(files.load_csv(spark, str(path)).dtypes) == {"date": "date", "campaign_id": "int", "channel": "string", "cost": "double", "note": "string"}
+
+
+def test_a_contract_load_reads_the_file_once(spark, tmp_path):
+    """Nothing but the header is read before the table is."""
+    path = tmp_path / "marketing_spend.csv"
+    path.write_text("date,channel,spend\n" + "2024-01-02,a,1\n" * 1_000)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("load", "load")
+    files.load_csv(spark, str(path))
+    stages = [spark.sparkContext.statusTracker().getJobInfo(j) for j in tracker.getJobIdsForGroup("load")]
+    spark.sparkContext.setJobGroup("", "")
+    assert len(stages) <= 1
+
+
+def test_an_extract_runs_its_plan_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches, runs=runs):
+        runs.add(1)
+        yield from batches
+
+    table = spark.range(10, numPartitions=1).selectExpr("id AS v", "id % 2 AS k").mapInPandas(counted, "v long, k long")
+    path = str(tmp_path / "out")
+    assert files.write_extract(table, path, "parquet") == path and runs.value == 1
+    assert files.write_extract(table.filter("v < 4"), path, "parquet") == path and spark.read.parquet(path).count() == 4
+    # Without rows the earlier extract stays, whatever the mode.
+    for mode in ("overwrite", "append"):
+        assert files.write_extract(table.filter("v < 0"), path, "parquet", mode=mode) == "" and spark.read.parquet(path).count() == 4
+    assert files.write_extract(table, path, "parquet", mode="append") == path and spark.read.parquet(path).count() == 14
+    assert files.write_extract(table, path, "parquet", mode="ignore") == path and spark.read.parquet(path).count() == 14
+    assert files.write_extract(table.filter("v < 0"), str(tmp_path / "none"), "csv", ["k"]) == ""
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    # An extract may be made from what it replaces.
+    own = spark.read.parquet(path).filter("v = 3")
+    assert files.write_extract(own, path, "parquet") == path and [r.v for r in spark.read.parquet(path).collect()] == [3, 3]
+
+
+def test_registered_tables_carry_their_ranges(spark, monkeypatch):
+    """Options only: no database runs here."""
+    asked = []
+
+    def load(session, url, table, *ranges, **options):
+        asked.append((table, *ranges))
+        if table == "information_schema.tables":
+            names = [("public", "orders", "BASE TABLE"), ("public", "big", "BASE TABLE"), ("public", "recent", "VIEW"), ("audit", "log", "BASE TABLE"), ("public", "far", "FOREIGN")]
+            return session.createDataFrame(names, "table_schema string, table_name string, table_type string")
+        return session.range(1)
+
+    monkeypatch.setattr(database, "load_jdbc", load)
+    registry = SourceRegistry()
+    registry.register_jdbc("postgresql://h/db", "big", database.JdbcTable("", "orders", "id", 1, 1_000, 8))
+    registry.register_jdbc("postgresql://h/db", database.JdbcTable("", "big", "day", "2024-01-01", "2025-01-01", 12), "orders")
+    for schema in ("public", "audit", "public"):
+        registry.register_jdbc_schema("postgresql://h/db", schema)
+    loaded = registry.load_sources(spark)
+    assert set(loaded) == {"pg_big", "pg_orders", "pg_recent", "pg_audit_log"}
+    tables = [a for a in asked if a[0] != "information_schema.tables"]
+    nothing = (None,) * 4
+    assert tables == [("big", "day", "2024-01-01", "2025-01-01", 12), ("orders", "id", 1, 1_000, 8), ("public.recent", *nothing), ("audit.log", *nothing)]

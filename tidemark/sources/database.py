@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +63,27 @@ def load_jdbc(
             partitionColumn=partition_column, lowerBound=lower_bound, upperBound=upper_bound, numPartitions=num_partitions
         )
     return spark.read.format("jdbc").options(**settings).load()
+
+
+@dataclass(frozen=True)
+class JdbcTable:
+    """A table of a database and the ranges in which it is read."""
+
+    url: str
+    table: str
+    partition_column: str | None = None
+    lower_bound: object = None
+    upper_bound: object = None
+    num_partitions: int | None = None
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        """The table, in parallel ranges where a partition column is given."""
+        ranges = (self.partition_column, self.lower_bound, self.upper_bound, self.num_partitions)
+        return load_jdbc(spark, self.url, self.table, *ranges)
+
+
+def list_jdbc_tables(spark: SparkSession, url: str, schema: str = "public") -> list[str]:
+    """Names of the tables and views of a database schema, in order."""
+    listed = load_jdbc(spark, url, "information_schema.tables")
+    names = listed.filter((listed["table_schema"] == schema) & listed["table_type"].isin("BASE TABLE", "VIEW")).select("table_name")
+    return sorted(row.table_name for row in names.collect())

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import logging
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, Observation, SparkSession, functions as F, types as T
 
 from tidemark.contracts import CONTRACTS
 
@@ -21,28 +22,40 @@ def table_name(stem: str) -> str:
     return f"t_{name}" if name[:1].isdigit() else name
 
 
-def _default_schema(name: str, header: Sequence[str]) -> T.StructType | None:
-    """The contract's types in the file's own column order, when the contract knows every column."""
+def _contract_types(name: str) -> dict[str, T.DataType]:
+    """Types of the columns of a contract table, also under their other names; none for other tables."""
     contract = CONTRACTS.get(name)
-    if contract is None or not header:
-        return None
+    if contract is None:
+        return {}
     known = {f.name: f.dataType for f in contract.schema.fields}
     for canonical, aliases in contract.aliases.items():
         known.update({alias: known[canonical] for alias in aliases if alias not in known})
-    if not all(column in known for column in header):
+    return known
+
+
+def _default_schema(spark: SparkSession, path: str, name: str) -> T.StructType | None:
+    """The contract's types in the file's own column order; columns that the contract does not know have inferred types."""
+    known = _contract_types(name)
+    header = _reader(spark).csv(path).columns if known else []
+    if not header:
         return None
-    return T.StructType([T.StructField(column, known[column]) for column in header])
+    if all(column in known for column in header):
+        return T.StructType([T.StructField(column, known[column]) for column in header])
+    inferred = _reader(spark).option("inferSchema", True).csv(path).schema
+    return T.StructType([T.StructField(f.name, known.get(f.name, f.dataType)) for f in inferred.fields])
 
 
 def _reader(spark: SparkSession) -> DataFrameReader:
     return spark.read.option("header", True)
 
 
-def _unfit_rows(reader: DataFrameReader, schema: T.StructType, path: str) -> int:
-    """Rows with a value that cannot be read as its column's type."""
-    checked = reader.schema(T.StructType([*schema.fields, T.StructField("_unfit", T.StringType())])).option("columnNameOfCorruptRecord", "_unfit").csv(path)
-    # Spark reads no column but this one unless another is asked for as well, and then calls no row unfit.
-    return checked.select(F.count_if(F.col("_unfit").isNotNull()), *[F.count(f"`{f.name}`") for f in schema.fields]).first()[0]
+#: Column that holds the text of a row with a value that does not fit.
+UNFIT = "_unfit"
+
+
+def _name_of(path: str) -> str:
+    stem = path.rstrip("/").rsplit("/", 1)[-1]
+    return table_name(re.sub(r"\.csv$", "", stem, flags=re.IGNORECASE))
 
 
 def load_csv(
@@ -50,18 +63,15 @@ def load_csv(
 ) -> DataFrame:
     """One CSV file (or folder of parts) with a header, registered as a view.
 
-    Without a schema the contract of that table name gives the types. A contract
-    type that does not fit some value would turn it into null; such files are
-    reported and their types inferred, like those of other tables, which reads
-    the file twice.
+    Without a schema the contract of that table name gives the types, and nothing
+    but the header is read before the table is, unless the file has columns that the
+    contract does not know: theirs are inferred. A value that does not fit its
+    column's type is null and its row stays; :func:`unfit_rows` hands such rows out
+    as text. Types of tables without a contract are inferred.
     """
-    stem = path.rstrip("/").rsplit("/", 1)[-1]
-    name = name or table_name(re.sub(r"\.csv$", "", stem, flags=re.IGNORECASE))
+    name = name or _name_of(path)
     if schema is None:
-        schema = _default_schema(name, _reader(spark).csv(path).columns)
-        if schema is not None and (unfit := _unfit_rows(_reader(spark), schema, path)):
-            log.warning("%s: %s rows do not fit the contract of %s; its types are inferred", path, unfit, name)
-            schema = None
+        schema = _default_schema(spark, path, name)
     reader = _reader(spark)
     table = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     if not table.columns:
@@ -70,6 +80,25 @@ def load_csv(
     return table
 
 
+def unfit_rows(spark: SparkSession, path: str, name: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """The rows of a CSV table with a value that does not fit its column's type: the columns as read, and the row's text as ``_unfit``.
+
+    Arguments are those of :func:`load_csv`; tables whose types are inferred have none.
+    """
+    if schema is None:
+        schema = _default_schema(spark, path, name or _name_of(path))
+    if schema is None:
+        table = _reader(spark).option("inferSchema", True).csv(path)
+        return table.withColumn(UNFIT, F.lit(None).cast("string")).filter("false")
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    checked = T.StructType([*schema.fields, T.StructField(UNFIT, T.StringType())])
+    read = _reader(spark).schema(checked).option("columnNameOfCorruptRecord", UNFIT).csv(path)
+    # Spark parses the columns that are asked for. This asks for all, so a row that is unfit in any of them shows.
+    everything = F.length(F.concat_ws("", *[F.col(f"`{f.name}`").cast("string") for f in schema.fields])) >= 0
+    return read.filter(F.col(UNFIT).isNotNull() & everything)
+
+
 def list_csv(spark: SparkSession, directory: str) -> list[str]:
     """Paths of the ``*.csv`` entries of a folder on any file system Spark can read."""
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -102,21 +131,39 @@ def write_extract(
     partition_by: Sequence[str] = (),
     mode: str = "overwrite",
 ) -> str:
-    """Write a normalized table; returns its path, or '' without writing when it has no rows.
-
-    Partition spend and events by their date column: the date windows of the
-    operators then prune whole folders. Rows of one partition value are brought
-    together before writing, so that tasks do not leave one small file each per
-    value; the rebalance splits a value that holds too many rows for one task.
+    """Write a normalized table; returns its path, or '' when it has no rows, and then leaves ``path`` as it was.
+
+    The rows are counted by the write itself, so the plan runs once. Where ``path``
+    holds something that is to be overwritten, the new extract is written beside it
+    and takes its place afterwards. Partition spend and events by their date column:
+    the date windows of the operators then prune whole folders. Rows of one
+    partition value are brought together before writing, so that tasks do not leave
+    one small file each per value; the rebalance splits a value that holds too many
+    rows for one task.
     """
-    if table.isEmpty():
-        return ""
+    spark = table.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    present = files.exists(target)
+    if present and mode == "ignore":
+        return path
+    beside = hadoop.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}") if present and mode == "overwrite" else target
     if partition_by:
         table = table.hint("rebalance", *partition_by)
-    writer = table.write.mode(mode).format(file_format)
+    written = Observation()
+    writer = table.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append" if mode == "append" else "error").format(file_format)
     if file_format == "csv":
         writer = writer.option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    writer.save(beside.toString())
+    if not written.get["rows"]:
+        if not (present and mode == "append"):
+            files.delete(beside, True)
+        return ""
+    if present and mode == "overwrite":
+        files.delete(target, True)
+        if not files.rename(beside, target):
+            raise OSError(f"could not move {beside.toString()} to {path}")
     return path

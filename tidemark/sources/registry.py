@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.database import load_jdbc
+from tidemark.sources.database import JdbcTable, list_jdbc_tables
 from tidemark.sources.files import load_csv_dir, table_name
 
 log = logging.getLogger(__name__)
@@ -17,37 +17,67 @@ log = logging.getLogger(__name__)
 
 @dataclass
 class SourceRegistry:
-    """CSV folders and database tables; each is registered once."""
+    """CSV folders, database tables and whole database schemas; each is registered once."""
 
     csv_dirs: list[str] = field(default_factory=list)
-    jdbc_tables: list[tuple[str, str]] = field(default_factory=list)
+    jdbc_tables: list[JdbcTable] = field(default_factory=list)
+    jdbc_schemas: list[tuple[str, str]] = field(default_factory=list)
 
     def register_csv(self, path: str) -> None:
         """Add a folder of CSV files."""
         if path and path not in self.csv_dirs:
             self.csv_dirs.append(path)
 
-    def register_jdbc(self, url: str, *tables: str) -> None:
-        """Add tables of a database."""
+    def register_jdbc(self, url: str, *tables: str | JdbcTable) -> None:
+        """Add tables of a database: names, or ``JdbcTable`` with the ranges to read them in parallel.
+
+        A table that is registered again takes the new ranges.
+        """
         for table in tables:
-            if url and (url, table) not in self.jdbc_tables:
-                self.jdbc_tables.append((url, table))
+            given = JdbcTable(url, table) if isinstance(table, str) else replace(table, url=url)
+            if not url:
+                continue
+            known = [i for i, t in enumerate(self.jdbc_tables) if (t.url, t.table) == (url, given.table)]
+            if not known:
+                self.jdbc_tables.append(given)
+            elif given.partition_column is not None:
+                self.jdbc_tables[known[0]] = given
+
+    def register_jdbc_schema(self, url: str, schema: str = "public") -> None:
+        """Add all tables of a database schema; those registered by name keep their ranges."""
+        if url and (url, schema) not in self.jdbc_schemas:
+            self.jdbc_schemas.append((url, schema))
+
+    def _listed(self, spark: SparkSession) -> list[JdbcTable]:
+        """The registered tables, then those of the schemas that are not among them."""
+        found = list(self.jdbc_tables)
+        for url, schema in self.jdbc_schemas:
+            try:
+                names = list_jdbc_tables(spark, url, schema)
+            except (PySparkException, Py4JError) as error:
+                log.error("skipped schema %s: %s", schema, error)
+                continue
+            # A name of the default schema may have been registered without it.
+            known = {t.table for t in found if t.url == url}
+            found += [JdbcTable(url, f"{schema}.{n}") for n in names if not {f"{schema}.{n}", *([n] if schema == "public" else [])} & known]
+        return found
 
     def load_sources(self, spark: SparkSession) -> dict[str, DataFrame]:
         """Every source as a view and by name; of equal names the later source counts.
 
-        Database tables come last, under their own name below ``pg_``.
+        Database tables come last, under their own name below ``pg_`` (without the
+        name of the default schema).
         """
         catalog: dict[str, DataFrame] = {}
         for directory in self.csv_dirs:
             catalog.update(load_csv_dir(spark, directory))
-        for url, table in self.jdbc_tables:
+        for table in self._listed(spark):
             try:
-                frame = load_jdbc(spark, url, table)
+                frame = table.load(spark)
             except (PySparkException, Py4JError) as error:
-                log.error("skipped table %s: %s", table, error)
+                log.error("skipped table %s: %s", table.table, error)
                 continue
-            name = f"pg_{table_name(table)}"
+            name = f"pg_{table_name(table.table.removeprefix('public.'))}"
             frame.createOrReplaceTempView(name)
             catalog[name] = frame
         return catalog
