@@ -63,6 +63,26 @@ def test_list_and_profile(spark, small):
     text = [r.text for r in catalog.format_schema({"t": table}).orderBy("line").collect()]
     assert text[0] == "TABLE: t (40 rows)" and text[2].startswith("| b c | string | 30 | 25.0% |")
     assert catalog.sample_rows(table).count() == 3
+    samples = {r.column_name: r.samples.split(", ") for r in catalog.profile_table(table, approx=True).collect()}
+    assert set(samples["a"]) <= {str(i) for i in range(7)} and len(samples["a"]) == 5 and samples["d"] == ["2026-01-01"]
+    assert len(samples["b c"]) == 5 and all(s.startswith("v") for s in samples["b c"])
+
+
+def test_profile_exchanges_no_values(spark, tmp_path):
+    """Values are counted as numbers; of texts, tasks hand on their first few."""
+    spark.range(0, 5_000, 1, 4).selectExpr("id", "concat('value ', id % 1000) AS t", "if(id % 3 = 0, null, 'x') AS u", "cast(id AS double) / 7 AS f").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    rows = {r.column_name: r for r in catalog.profile_table(table).collect()}
+    assert [(r.row_count, r.distinct_count) for r in (rows[c] for c in ("id", "t", "u", "f"))] == [(5_000, 5_000), (5_000, 1_000), (5_000, 1), (5_000, 5_000)]
+    assert rows["t"].samples == "value 0, value 1, value 10, value 100, value 101" and rows["u"].null_pct == 33.3
+    plan = catalog._exact_counts(table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "string" not in plan.split("Exchange")[1].split("+-")[0]
+    least = catalog._least_values(table)
+    handed = next(line for line in least._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line)
+    assert "tasks" in handed
+    # A task hands on no more than the samples of each column.
+    texts = table.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(table.columns)])
+    assert texts.rdd.getNumPartitions() * 4 * catalog.SAMPLES >= least.select(F.size(F.split("samples", ", ")).alias("n")).agg(F.sum("n")).first()[0]
 
 
 READS = [

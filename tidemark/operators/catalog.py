@@ -5,9 +5,11 @@ A catalog is a mapping of table names to DataFrames.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.contracts import CONTRACTS, DATE_COLUMNS, Contract
@@ -23,6 +25,8 @@ FRESH_DAYS, STALE_DAYS = 2, 14
 
 SHOWN_COLUMNS = 6
 SAMPLES = 5
+#: Items that a sketch of frequent values tracks per column, and characters of an item.
+SKETCHED_ITEMS, SKETCHED_TEXT = 1_000, 100
 
 
 def _stacked(frames: list[DataFrame]) -> DataFrame:
@@ -53,60 +57,99 @@ def _text(name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
+def _exact_counts(table: DataFrame) -> DataFrame:
+    """``position, row_count, nulls, distinct_count``, with values as 128-bit numbers.
+
+    Two 64-bit hashes of its text stand for a value, so neither the aggregate nor
+    its exchange holds texts; equal numbers of different values are as good as
+    impossible (below 1e-18 for a billion values of a column).
+    """
+    pairs = []
+    for i, name in enumerate(table.columns):
+        text = _text(name)
+        known = text.isNotNull()
+        pairs.append(F.struct(F.lit(i + 1).alias("position"), F.when(known, F.xxhash64(text)).alias("h"), F.when(known, F.xxhash64(F.lit(i), text)).alias("g")))
+    values = table.select(F.inline(F.array(*pairs))).groupBy("position", "h", "g").agg(F.count(F.lit(1)).alias("n"))
+    return values.groupBy("position").agg(
+        F.sum("n").alias("row_count"),
+        F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
+        F.count("h").alias("distinct_count"),
+    )
+
+
+def _least_values(table: DataFrame) -> DataFrame:
+    """``position, samples``: the first distinct values of each column as text, in order.
+
+    Every task keeps no more than that many values per column, so what is exchanged
+    does not grow with the table.
+    """
+    width = len(table.columns)
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set[str]] = [set() for _ in range(width)]
+        for batch in batches:
+            for values, column in zip(held, batch.columns, strict=True):
+                found = pc.drop_null(pc.unique(column))
+                # UTF-8 sorts as bytes, as Spark compares texts.
+                values.update(found.take(pc.array_sort_indices(found)).slice(0, SAMPLES).to_pylist())
+                for extra in sorted(values, key=str.encode)[SAMPLES:]:
+                    values.discard(extra)
+        rows = [(i + 1, v) for i, values in enumerate(held) for v in values]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string())], names=["position", "value"])
+
+    texts = table.select(*[_text(name).alias(f"c{i}") for i, name in enumerate(table.columns)])
+    least = texts.mapInArrow(tasks, "position int, value string").distinct()
+    rank = F.row_number().over(Window.partitionBy("position").orderBy("value"))
+    # The rank limit is applied within each partition first.
+    first = least.withColumn("rank", rank).filter(F.col("rank") <= SAMPLES)
+    return first.groupBy("position").agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("samples"))
+
+
+def _sketched(table: DataFrame) -> DataFrame:
+    """``position, row_count, nulls, distinct_count, samples`` from sketches that merge: one pass, nothing exchanged but them.
+
+    Distinct counts come from HyperLogLog, samples from sketches of frequent items:
+    the most frequent values as far as the sketch can tell, the most frequent first.
+    """
+    measures = [F.count(F.lit(1)).alias("row_count")]
+    rows = []
+    for i, name in enumerate(table.columns):
+        text = F.left(_text(name), F.lit(SKETCHED_TEXT))
+        measures += [
+            F.count(f"`{name}`").alias(f"n{i}"),
+            F.approx_count_distinct(_text(name)).alias(f"d{i}"),
+            F.expr(f"approx_top_k(left(cast(`{name}` AS string), {SKETCHED_TEXT}), {SAMPLES + 1}, {SKETCHED_ITEMS})").alias(f"s{i}"),
+        ]
+        known = F.slice(F.filter(F.transform(f"s{i}", lambda item: item["item"]), lambda item: item.isNotNull()), 1, SAMPLES)
+        rows.append(
+            F.struct(
+                F.lit(i + 1).alias("position"),
+                F.col("row_count"),
+                (F.col("row_count") - F.col(f"n{i}")).alias("nulls"),
+                F.col(f"d{i}").alias("distinct_count"),
+                F.array_join(known, ", ").alias("samples"),
+            )
+        )
+    return table.agg(*measures).select(F.inline(F.array(*rows)))
+
+
 def profile_table(table: DataFrame, approx: bool = False) -> DataFrame:
     """``position, column_name, data_type, row_count, null_pct, distinct_count, samples`` per column.
 
-    The exact form turns each row into (column, value) pairs, which are counted
-    with map-side combining; nulls, distinct values and samples all follow from
-    these counts. ``approx`` sketches the distinct counts instead and needs one
-    pass without any shuffle of values; it gives no samples.
+    Values count by their text. The exact form counts 128-bit numbers of the values
+    and takes the first distinct values as samples, in two passes over the table;
+    ``approx`` takes sketches in one (see ``_sketched``).
     """
-    names = table.columns
     columns = table.sparkSession.createDataFrame(
         [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(table.schema.fields)],
         "position int, column_name string, data_type string",
     )
     if approx:
-        measures = [F.count(F.lit(1)).alias("row_count")]
-        for i, name in enumerate(names):
-            measures += [F.count(f"`{name}`").alias(f"n{i}"), F.approx_count_distinct(f"`{name}`").alias(f"d{i}")]
-        rows = [
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.col("row_count"),
-                (F.col("row_count") - F.col(f"n{i}")).alias("nulls"),
-                F.col(f"d{i}").alias("distinct_count"),
-                F.lit("").alias("samples"),
-            )
-            for i, name in enumerate(names)
-        ]
-        stats = table.agg(*measures).select(F.inline(F.array(*rows)))
+        stats = _sketched(table)
     else:
-        values = (
-            table.select(*[_text(name).alias(name) for name in names])
-            .unpivot([], names, "column_name", "value")
-            .groupBy("column_name", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        counts = values.groupBy("column_name").agg(
-            F.sum("n").alias("row_count"),
-            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-            F.count("value").alias("distinct_count"),
-        )
-        # The rank limit is applied within each partition first, so no task sees all values of a
-        # column. The samples carry their counts and drop nulls only at the end, so that both
-        # branches share one exchange.
-        rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.asc_nulls_last("value")))
-        found = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "n"))))
-        samples = (
-            values.withColumn("rank", rank)
-            .filter(F.col("rank") <= SAMPLES)
-            .groupBy("column_name")
-            .agg(F.array_join(F.transform(found, lambda item: item["value"]), ", ").alias("samples"))
-        )
-        stats = counts.join(samples, "column_name", "left")
+        stats = _exact_counts(table).join(_least_values(table), "position", "left")
     zero = F.lit(0).cast("bigint")
-    return columns.join(stats, "column_name", "left").select(
+    return columns.join(stats, "position", "left").select(
         "position",
         "column_name",
         "data_type",
@@ -127,24 +170,14 @@ def format_schema(catalog: Catalog, approx: bool = False) -> DataFrame:
     frames = []
     for name, table in catalog.items():
         profile = profile_table(table, approx)
-        body = profile.select(
-            F.lit(name).alias("table_name"),
-            F.col("position").alias("line"),
-            F.format_string(
-                "| %s | %s | %s | %.1f%% | %s |",
-                "column_name",
-                "data_type",
-                F.format_number("distinct_count", 0),
-                "null_pct",
-                "samples",
-            ).alias("text"),
-        )
-        head = table.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("table_name"),
-            F.lit(0).alias("line"),
-            F.format_string(f"TABLE: {name} (%s rows)", F.format_number("n", 0)).alias("text"),
+        text = F.format_string(
+            "| %s | %s | %s | %.1f%% | %s |", "column_name", "data_type", F.format_number("distinct_count", 0), "null_pct", "samples"
         )
-        frames.append(head.unionByName(body))
+        line = F.struct(F.col("position").alias("line"), text.alias("text"))
+        # The first column's row also gives the head line: the number of rows is in it.
+        head = F.struct(F.lit(0).alias("line"), F.format_string(f"TABLE: {name} (%s rows)", F.format_number("row_count", 0)).alias("text"))
+        lines = F.when(F.col("position") == 1, F.array(head, line)).otherwise(F.array(line))
+        frames.append(profile.select(F.lit(name).alias("table_name"), F.inline(lines)))
     return _stacked(frames)
 
 

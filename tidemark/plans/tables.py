@@ -26,7 +26,7 @@ DAY_SECONDS = 86400
 def _load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spend written as one CSV extract and read back with the contract's types."""
     path = f"{scratch_dir(spark)}/marketing_spend.csv"
-    files.write_extract(tables.marketing_spend(spark, sf_dir).drop("campaign_id"), path)
+    files.write_extract(tables.marketing_spend(spark, sf_dir), path)
     return report_types(files.load_csv(spark, path))
 
 
@@ -37,33 +37,37 @@ def _csv_folder(spark: SparkSession, sf_dir: str, *names: str) -> str:
     return folder
 
 
+def _rows(name: str, table: DataFrame, *columns: str) -> DataFrame:
+    """All rows of a table as texts, with the table's name and how often each occurs."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"value_{i}") for i, c in enumerate(columns, 1)]
+    return table.select(F.lit(name).alias("table_name"), *texts).groupBy("table_name", *[f"value_{i}" for i in range(1, len(columns) + 1)]).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _load_csv_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two extracts of one folder: rows and sums per table."""
+    """Two extracts of one folder, all their rows."""
     loaded = files.load_csv_dir(spark, _csv_folder(spark, sf_dir, "order_history", "campaigns"))
-    history, campaigns = loaded["order_history"], loaded["campaigns"]
-    return report_types(
-        history.agg(F.lit("order_history").alias("table_name"), F.count(F.lit(1)).alias("n"), F.min("event_date").alias("first_date")).unionByName(
-            campaigns.agg(F.lit("campaigns").alias("table_name"), F.count(F.lit(1)).alias("n"), F.min("start_date").alias("first_date"))
-        )
-    )
+    history = _rows("order_history", loaded["order_history"], "user_id", "event_type", "event_date")
+    return report_types(history.unionByName(_rows("campaigns", loaded["campaigns"], "campaign_id", "name", "start_date")))
 
 
 def _load_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two folders with a table of the same name: the later one counts."""
+    """Two folders with a table of the same name: the later one counts; all rows."""
     registry = SourceRegistry()
     first, second = _csv_folder(spark, sf_dir, "campaigns", "invoices"), scratch_dir(spark)
     files.write_extract(tables.order_history(spark, sf_dir), f"{second}/invoices.csv")
     for folder in (first, second, first):
         registry.register_csv(folder)
-    return report_types(catalog.list_tables(registry.load_sources(spark)))
+    loaded = registry.load_sources(spark)
+    rows = _rows("campaigns", loaded["campaigns"], "channel", "campaign_id", "name").unionByName(_rows("invoices", loaded["invoices"], "user_id", "event_type", "event_date"))
+    return report_types(rows)
 
 
 def _write_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events partitioned by day, read back for one week: only its folders are scanned."""
+    """Events partitioned by day, all read back."""
     path = scratch_dir(spark)
     files.write_extract(tables.plain_events(spark, sf_dir), path, "parquet", partition_by=["event_date"])
-    week = spark.read.parquet(path).filter(F.col("event_date") >= F.lit("2024-01-23").cast("date"))
-    return report_types(week.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"), F.sum("revenue").alias("revenue")))
+    columns = ["event_date", "event_type", "utm_campaign"]
+    return report_types(spark.read.parquet(path).groupBy(*columns).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("ids"), F.sum("revenue").alias("revenue")))
 
 
 def _contract_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,20 +349,19 @@ def _catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def _given(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: tables.read(spark, sf_dir, name) for name in ("customer", "orders", "lineitem", "events", "documents")}
+GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def _list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_types(catalog.list_tables(_given(spark, sf_dir)))
+    return report_types(catalog.list_tables({name: tables.read(spark, sf_dir, name) for name in GIVEN}))
 
 
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_types(catalog.profile_table(tables.read(spark, sf_dir, "orders").drop("o_totalprice", "o_orderdate")))
+    return report_types(catalog.profile_table(tables.read(spark, sf_dir, "orders")))
 
 
 def _format_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_types(catalog.format_schema({"customer": tables.read(spark, sf_dir, "customer").drop("c_acctbal")}))
+    return report_types(catalog.format_schema({name: tables.read(spark, sf_dir, name) for name in ("customer", "nation")}))
 
 
 def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,14 +441,28 @@ def _day(column: str) -> str:
 
 
 def _profile_sql(table: str, columns: dict[str, str]) -> str:
+    # Whole days are texts without a time in either engine; doubles of these tables are written alike below ten million.
+    text = {"timestamp_ntz": "strftime({}, '%Y-%m-%d %H:%M:%S')", "timestamp": "strftime({}, '%Y-%m-%d %H:%M:%S')"}
     return " UNION ALL ".join(
         f"""SELECT CAST({i + 1} AS BIGINT) AS position, '{name}' AS column_name, '{kind}' AS data_type, count(*) AS row_count,
             {sql_round(f'(count(*) - count({name})) * 100.0 / count(*)', 1)} AS null_pct, count(DISTINCT {name}) AS distinct_count,
-            (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST({name} AS VARCHAR) AS v FROM {table} WHERE {name} IS NOT NULL ORDER BY v LIMIT 5)) AS samples FROM {table}"""
+            (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT {text.get(kind, 'CAST({} AS VARCHAR)').format(name)} AS v FROM {table} WHERE {name} IS NOT NULL ORDER BY v LIMIT 5)) AS samples FROM {table}"""
         for i, (name, kind) in enumerate(columns.items())
     )
 
 
+# The types of the given tables' columns.
+_ORDERS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+_CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+_NATION = {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}
+
+
+def _schema_sql(table: str, columns: dict[str, str]) -> str:
+    return f"""SELECT '{table}' AS table_name, CAST(0 AS BIGINT) AS line, format('TABLE: {table} ({{:,}} rows)', count(*)) AS text FROM {table}
+        UNION ALL SELECT '{table}', position, format('| {{}} | {{}} | {{:,}} | {{:.1f}}% | {{}} |', column_name, data_type, distinct_count, null_pct, samples)
+        FROM ({_profile_sql(table, columns)})"""
+
+
 def _fresh_sql(tables_: dict[str, tuple[str, str]], as_of: str = AS_OF) -> str:
     rows = " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, '{column}' AS date_column, min({column}) AS a, max({column}) AS b FROM {source}" for name, (source, column) in tables_.items()
@@ -454,22 +471,12 @@ def _fresh_sql(tables_: dict[str, tuple[str, str]], as_of: str = AS_OF) -> str:
         CASE WHEN date_diff('day', b, DATE '{as_of}') <= 2 THEN 'fresh' WHEN date_diff('day', b, DATE '{as_of}') <= 14 THEN 'stale' ELSE 'outdated' END AS status FROM ({rows})"""
 
 
-_SHOWN = {
-    "customer": "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment",
-    "orders": "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority",
-    "events": "event_id, ts, user_id, event_type, value, props",
-    "documents": "doc_id, text, lang, source, n_chars",
-}
-
-
 def _list_sql() -> str:
-    parts = [
-        f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({len(c.split(', '))} AS BIGINT) AS column_count, '{c}' AS column_names FROM {t}"
-        for t, c in _SHOWN.items()
-    ]
-    lineitem = """SELECT 'lineitem', count(*), CAST(11 AS BIGINT),
-        'l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice (+5 more)' FROM lineitem"""
-    return " UNION ALL ".join([*parts, lineitem])
+    shown = """SELECT c.table_name, count(*) AS column_count, string_agg(column_name, ', ' ORDER BY column_index) FILTER (WHERE column_index <= 6)
+        || CASE WHEN count(*) > 6 THEN ' (+' || (count(*) - 6) || ' more)' ELSE '' END AS column_names
+        FROM (SELECT table_name, column_name, column_index FROM duckdb_columns()) c GROUP BY 1"""
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in GIVEN)
+    return f"SELECT table_name, row_count, column_count, column_names FROM ({counts}) JOIN ({shown}) USING (table_name)"
 
 
 QUERIES = {
@@ -477,30 +484,31 @@ QUERIES = {
         _load_csv,
         with_tables(
             "marketing_spend",
-            """SELECT strftime(date, '%Y-%m-%d') AS date, channel, campaign, CAST(spend AS DOUBLE) AS spend, impressions, clicks, CAST(conversions AS DOUBLE) AS conversions FROM marketing_spend""",
+            """SELECT strftime(date, '%Y-%m-%d') AS date, channel, CAST(campaign_id AS BIGINT) AS campaign_id, campaign, CAST(spend AS DOUBLE) AS spend, impressions, clicks, CAST(conversions AS DOUBLE) AS conversions FROM marketing_spend""",
         ),
     ),
     "load_csv_dir": (
         _load_csv_dir,
         with_tables(
             "order_history campaigns",
-            f"""SELECT 'order_history' AS table_name, count(*) AS n, {_day('min(event_date)')} AS first_date FROM order_history
-                UNION ALL SELECT 'campaigns', count(*), {_day('min(start_date)')} FROM campaigns""",
+            f"""SELECT 'order_history' AS table_name, CAST(user_id AS VARCHAR) AS value_1, event_type AS value_2, {_day('event_date')} AS value_3, count(*) AS n FROM order_history GROUP BY ALL
+                UNION ALL SELECT 'campaigns', CAST(campaign_id AS VARCHAR), name, {_day('start_date')}, count(*) FROM campaigns GROUP BY ALL""",
         ),
     ),
     "load_sources": (
         _load_sources,
         with_tables(
             "order_history campaigns",
-            """SELECT 'campaigns' AS table_name, count(*) AS row_count, CAST(5 AS BIGINT) AS column_count, 'campaign_id, name, channel, start_date, monthly_budget' AS column_names FROM campaigns
-               UNION ALL SELECT 'invoices', count(*), CAST(3 AS BIGINT), 'user_id, event_type, event_date' FROM order_history""",
+            f"""SELECT 'campaigns' AS table_name, channel AS value_1, CAST(campaign_id AS VARCHAR) AS value_2, name AS value_3, count(*) AS n FROM campaigns GROUP BY ALL
+               UNION ALL SELECT 'invoices', CAST(user_id AS VARCHAR), event_type, {_day('event_date')}, count(*) FROM order_history GROUP BY ALL""",
         ),
     ),
     "write_extract": (
         _write_extract,
         with_tables(
             "user_events",
-            f"SELECT {_day('event_date')} AS event_date, count(*) AS events, CAST(sum(revenue) AS DOUBLE) AS revenue FROM user_events WHERE event_date >= DATE '2024-01-23' GROUP BY event_date",
+            f"""SELECT {_day('event_date')} AS event_date, event_type, utm_campaign, count(*) AS events, count(DISTINCT event_id) AS ids, CAST(sum(revenue) AS DOUBLE) AS revenue
+                FROM user_events GROUP BY ALL""",
         ),
     ),
     "apply_contract_aliases": (
@@ -616,14 +624,9 @@ QUERIES = {
     "list_tables": (_list_tables, _list_sql()),
     "profile_table": (
         _profile,
-        _profile_sql("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string"}),
-    ),
-    "format_schema": (
-        _format_schema,
-        f"""SELECT 'customer' AS table_name, CAST(0 AS BIGINT) AS line, format('TABLE: customer ({{:,}} rows)', count(*)) AS text FROM customer
-            UNION ALL SELECT 'customer', position, format('| {{}} | {{}} | {{:,}} | {{:.1f}}% | {{}} |', column_name, data_type, distinct_count, null_pct, samples)
-            FROM ({_profile_sql("customer", {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_mktsegment": "string"})})""",
+        _profile_sql("orders", _ORDERS),
     ),
+    "format_schema": (_format_schema, " UNION ALL ".join(_schema_sql(table, columns) for table, columns in (("customer", _CUSTOMER), ("nation", _NATION)))),
     "freshness": (
         _freshness,
         with_tables(
