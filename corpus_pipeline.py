@@ -29,7 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by SimHash: five-word shingles, a similarity of 0.8."""
+    """One document of each group of near copies by SimHash: fingerprints of three-word shingles within two bits."""
     return without_rows(docs, snapshot(simhash.near_copies(docs)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: A word: a run of anything else (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
-#: Name of the row key; input columns of this name are not supported.
+#: Name of the row key; input columns of this name are refused.
 ROW = "__row"
 #: Setting of the least number of partitions of a file scan.
 SPLITS = "spark.sql.files.minPartitionNum"
@@ -31,8 +31,11 @@ def with_row_key(df: DataFrame) -> DataFrame:
     The key is the row's place in the scan, so ``df`` has to be a table (or
     anything else that yields the same rows in the same order when read again).
     Small tables are split by the number of cores; that number is pinned in the
-    session, so that a scan after the loss of executors gives the same keys.
+    session, so that a scan after the loss of executors gives the same keys. A
+    column of the key's name is refused.
     """
+    if ROW in (c.lower() for c in df.columns):
+        raise ValueError(f"the column name {ROW} is kept for row keys")
     spark = df.sparkSession
     if spark.conf.get(SPLITS, None) is None:
         spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROW, with_row_key
 from tidemark.llm.components import components
-from tidemark.llm.trie_join import trie_links, whole_units
+from tidemark.llm.trie_join import trie_links
 from tidemark.session import snapshot
 
 SEED = 42
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-#: Odd multipliers that turn one hash into further independent words; the first word is the hash itself.
-MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Words of a shingle, and bits in which linked fingerprints differ at most.
+SHINGLE_WORDS, MOST_BITS = 3, 2
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -51,47 +51,37 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(octets), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: str | None, size: int, words: int = 1) -> list[int]:
-    """The fingerprint as ``words`` signed 64-bit words; all zero for a text without words."""
-    hashes = shingle_hashes(text, size)
-    found = []
-    for k in range(words):
-        mixed = hashes
-        if k:
-            mixed = hashes * np.uint64(MULTIPLIERS[k])
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            mixed ^= mixed >> np.uint64(29)
-        word = majority(mixed)
-        found.append(word - (1 << 64) if word >> 63 else word)
-    return found
+def fingerprint(text: str | None, size: int) -> int:
+    """The fingerprint as a signed 64-bit number; zero for a text without words."""
+    found = majority(shingle_hashes(text, size))
+    return found - (1 << 64) if found >> 63 else found
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str = "text", *, size: int = 3, words: int = 1) -> DataFrame:
-    """(``id``, ``words``: array of long) of each row; null texts are empty."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str = "text", *, size: int = SHINGLE_WORDS) -> DataFrame:
+    """(``id``, ``print``) of each row; null texts are empty."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text.as_py(), size, words) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "words"])
+            found = [fingerprint(text.as_py(), size) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "print"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tasks, "id long, words array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tasks, "id long, print long")
 
 
-def linked(prints: DataFrame, patterns, bits: int, budget: int, verify_bits: int | None = None) -> DataFrame:
+def linked(prints: DataFrame, budget: int) -> DataFrame:
     """``prints`` with ``component``: the smallest id that links lead to.
 
-    Equal fingerprints are one node with their smallest id; ``patterns`` gives an
-    array of (family, pattern) of a fingerprint. Rows whose fingerprint has no id
-    at all get a null component.
+    Equal fingerprints are one node with their smallest id. Rows whose fingerprint
+    has no id at all get a null component.
     """
-    nodes = snapshot(prints.groupBy("words").agg(F.min("id").alias("id")).filter("id is not null"))
-    rows = nodes.select("id", "words", F.explode(patterns).alias("p")).select("id", "words", "p.family", "p.pattern")
-    found = components(snapshot(trie_links(rows, bits, budget, verify_bits=verify_bits)))
-    labels = nodes.join(found, nodes["id"] == found["node"], "left").select("words", F.coalesce("component", "id").alias("component"))
-    return prints.join(snapshot(labels), "words", "left")
+    nodes = snapshot(prints.groupBy("print").agg(F.min("id").alias("id")).filter("id is not null"))
+    rows = nodes.select("id", F.lit(0).alias("family"), F.col("print").alias("pattern"))
+    found = components(snapshot(trie_links(rows, 64, budget)))
+    labels = nodes.join(found, nodes["id"] == found["node"], "left").select("print", F.coalesce("component", "id").alias("component"))
+    return prints.join(snapshot(labels), "print", "left")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 3, budget: int = 2) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE_WORDS, budget: int = MOST_BITS) -> DataFrame:
     """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
     64-bit fingerprints of ``size``-word shingles link at ``budget`` or fewer
@@ -101,151 +91,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null if there is none. Other columns are not read. An empty table gives an empty
     result.
     """
-    prints = snapshot(fingerprints(docs, id_col, text_col, size=size))
-    one = F.array(F.struct(F.lit(0).alias("family"), F.col("words")[0].alias("pattern")))
-    found = linked(prints, one, 64, budget)
-    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("words")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    found = linked(snapshot(fingerprints(docs, id_col, text_col, size=size)), budget)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Near copies of the pipeline: bands of least hashes; a pair at a similarity of 0.8 agrees in no band with a probability of 7e-5.
-BANDS, BAND_ROWS = 24, 5
-#: Rows of a part of a large bucket, whose parts are compared pair by pair; shingles hashed at a time.
-PART_ROWS, HASHED = 256, 4096
-FACTORS, TERMS = np.random.default_rng(SEED).integers(1 << 64, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
-FACTORS |= np.uint64(1)
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE_WORDS, budget: int = MOST_BITS) -> DataFrame:
+    """``__row`` of the rows of ``docs`` (see ``with_row_key``) that are not the one that stays of their component.
 
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of the least values of the set under ``BAND_ROWS`` affine maps; none for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), HASHED):
-        np.minimum(least, (FACTORS * hashes[at : at + HASHED] + TERMS).min(axis=1), out=least)
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
-
-
-def _signatures(rows: DataFrame, size: int) -> DataFrame:
-    """(``__row``, ``digest`` of the set of distinct shingles, ``bands``)."""
-
-    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(text.as_py(), size)) for text in batch.column(1)]
-            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=[ROW, "digest", "bands"])
-
-    return rows.select(ROW, "text").mapInArrow(tasks, f"{ROW} long, digest binary, bands array<long>")
-
-
-def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """(``id``, ``hashes``: the distinct shingles) of each row."""
-
-    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(text.as_py(), size)).view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
-
-    return rows.select(ROW, "text").mapInArrow(tasks, "id long, hashes array<long>")
-
-
-def _verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (``u``, ``v``) at a similarity of 0.8 or more: shared shingles by all, 9 s >= 4 (a + b)."""
-    first, second = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    return edges.join(first, "u").join(second, "v").filter(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
-
-
-def _bucket_edges(members: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified edges inside the buckets ``key``, between rows of different ``component``.
-
-    A bucket is cut into parts of about ``PART_ROWS`` rows; each pair of parts is a
-    unit, in which all pairs are compared on their sets. Each pair is compared in
-    the first band in which it agrees.
-    """
-    parts = F.ceil(F.col("n") / PART_ROWS)
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("id", "key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    unit = F.concat_ws("/", "key", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    rows = dealt.select(unit.alias("unit"), side.alias("side"), "band", "id", "component")
-    full = rows.join(signatures, "id").join(sets, "id")
-
-    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_units(batches, 2 * PART_ROWS):
-            names = table.column("unit").to_numpy(zero_copy_only=False)
-            cuts = np.r_[np.flatnonzero(np.r_[True, names[1:] != names[:-1]]), len(names)]
-            edges = [edge for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for edge in _unit_pairs(table.slice(s, e - s))]
-            u, v = zip(*edges, strict=True) if edges else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return full.repartition("unit").sortWithinPartitions("unit").mapInArrow(tasks, "u long, v long")
-
-
-def _unit_pairs(table: pa.Table) -> list[tuple[int, int]]:
-    """Edges that connect what the similar pairs of one unit connect, beyond the given components."""
-    ids, side, label, band = (table.column(name).to_numpy() for name in ("id", "side", "component", "band"))
-    label = label.copy()
-    keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-    lists = table.column("hashes").combine_chunks()
-    sizes = lists.value_lengths().to_numpy()
-    starts = np.cumsum(sizes) - sizes
-    distinct, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    edges = []
-    for i in range(len(ids)):
-        other = np.flatnonzero((side[i] == 0) | (side != side[i]))
-        other = other[(other > i) & (label[other] != label[i]) & (5 * np.minimum(sizes[other], sizes[i]) >= 4 * np.maximum(sizes[other], sizes[i]))]
-        other = other[(keys[other] == keys[i]).argmax(axis=1) == band[i]]
-        if not len(other):
-            continue
-        mark = np.zeros(len(distinct), np.int64)
-        mark[flat[starts[i] : starts[i] + sizes[i]]] = 1
-        shared = np.add.reduceat(mark[flat], starts)[other]
-        for j in other[9 * shared >= 4 * (sizes[other] + sizes[i])]:
-            if label[j] != label[i]:
-                edges.append((int(ids[i]), int(ids[j])))
-                label[label == label[j]] = label[i]
-    return edges
-
-
-def _near_components(rows: DataFrame, size: int) -> DataFrame:
-    """(``__row``, ``component``): rows connected by a shingle similarity of 0.8 or more.
-
-    Equal sets are one node. The rows of a bucket are first compared with its
-    smallest; what that leaves unconnected in a bucket is compared pair by pair.
-    """
-    found = snapshot(_signatures(rows, size))
-    nodes = snapshot(found.groupBy("digest").agg(F.min(ROW).alias("id")))
-    signatures = snapshot(found.join(nodes.select(F.col("id").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("id"), "bands"))
-    keyed = signatures.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = snapshot(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1"))
-    members = snapshot(keyed.join(buckets, "key"))
-    wanted = snapshot(members.select(F.col("id").alias(ROW)).distinct())
-    sets = snapshot(_shingle_sets(rows.join(wanted, ROW, "left_semi"), size))
-    edges = snapshot(_verified(members.filter("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct(), sets))
-    linked_ids = snapshot(components(edges))
-    labelled = snapshot(members.join(linked_ids, members["id"] == linked_ids["node"], "left").select("key", "band", "id", F.coalesce("component", "id").alias("component")))
-    several = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key", "n")
-    unsettled = snapshot(labelled.join(snapshot(several), "key"))
-    more = snapshot(_bucket_edges(unsettled, signatures, sets))
-    if more.limit(1).count():
-        linked_ids = snapshot(components(edges.unionByName(more)))
-    labels = nodes.join(linked_ids, nodes["id"] == linked_ids["node"], "left").select("digest", F.coalesce("component", "id").alias("component"))
-    return found.select(ROW, "digest").join(snapshot(labels), "digest").select(ROW, "component")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5) -> DataFrame:
-    """``__row`` of the rows that have a near copy with a smaller id that stays.
-
-    Near copies share at least 0.8 of their distinct ``size``-word shingles, which is
-    decided on the shingles themselves. Candidates agree in one of ``BANDS`` bands of
-    least hashes; at a similarity of 0.8 a pair is no candidate with a probability
-    of 7e-5, above it with less. Of each connected group the row with the smallest
-    id stays (null last, then the first). Empty and blank texts are copies of each
-    other. An empty table gives no rows.
+    Rows are grouped by ``simhash_components``, every row by itself. Of each group
+    the row with the smallest id stays (null last; of equal ids the first). Null,
+    empty and blank texts are one group. An empty table gives no rows.
     """
-    rows = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    found = _near_components(rows, size)
-    grouped = snapshot(found.join(with_row_key(docs.select(F.col(id_col).alias("doc_id"))), ROW).select(ROW, "doc_id", "component"))
+    found = simhash_components(with_row_key(docs), ROW, text_col, size=size, budget=budget)
+    ids = with_row_key(docs.select(F.col(id_col).alias("doc_id")))
+    grouped = snapshot(found.select(F.col("doc_id").alias(ROW), "component_id").join(ids, ROW))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(ROW).alias("row")))
-    keep = snapshot(grouped.groupBy("component").agg(F.count("*").alias("n"), least.alias("first")).filter("n > 1").select(F.col("component"), F.col("first.row").alias("first_row")))
-    return grouped.join(keep, "component").filter(F.col(ROW) != F.col("first_row")).select(ROW)
+    kept = grouped.groupBy("component_id").agg(F.count("*").alias("n"), least.alias("first")).filter("n > 1")
+    several = snapshot(kept.select("component_id", F.col("first.row").alias("first_row")))
+    return grouped.join(several, "component_id").filter(F.col(ROW) != F.col("first_row")).select(ROW)

@@ -76,19 +76,16 @@ def _cut(units: DataFrame, bits: int, width: int, budget: int) -> DataFrame:
         (F.col("depth") + step).cast("int").alias("depth"),
         "pattern",
         "id",
-        "words",
     )
 
 
-def trie_links(patterns: DataFrame, bits: int, budget: int, *, verify_bits: int | None = None) -> DataFrame:
+def trie_links(patterns: DataFrame, bits: int, budget: int) -> DataFrame:
     """Edges (``u``, ``v``) that connect all patterns linked by at most ``budget`` differing bits.
 
     ``patterns`` has ``id`` (long, one per different pattern), ``family`` (patterns
     of different families are not compared) and ``pattern`` (long, the lowest
-    ``bits`` count), and ``words`` (array of long): with ``verify_bits`` a link
-    also needs at most so many differing bits over all words. The edges are not all
-    links: each unit gives a spanning forest of its links, which has the same
-    components. No patterns give no edges.
+    ``bits`` count). The edges are not all links: each unit gives a spanning forest
+    of its links, which has the same components. No patterns give no edges.
     """
     blocks = [(k * bits // (budget + 1), (k + 1) * bits // (budget + 1)) for k in range(budget + 1)]
     turned = [
@@ -101,7 +98,7 @@ def trie_links(patterns: DataFrame, bits: int, budget: int, *, verify_bits: int
     path = F.concat_ws(".", F.col("family").cast("string"), F.col("t.turn").cast("string"), _right(F.col("t.pattern"), F.lit(bits) - F.col("t.depth")).cast("string"))
     units = snapshot(
         turns.select(
-            path.alias("unit"), F.lit(0).alias("side"), F.lit(0).alias("errors"), F.col("t.depth").alias("depth"), F.col("t.pattern").alias("pattern"), "id", "words"
+            path.alias("unit"), F.lit(0).alias("side"), F.lit(0).alias("errors"), F.col("t.depth").alias("depth"), F.col("t.pattern").alias("pattern"), "id"
         )
     )
     edges = None
@@ -113,7 +110,7 @@ def trie_links(patterns: DataFrame, bits: int, budget: int, *, verify_bits: int
         large = F.col("n") > 2 * UNIT_ROWS
         sizes = snapshot(useful.select("unit", large.alias("large")))
         known = units.join(sizes, "unit")
-        found = _walk(known.filter("not large").drop("large"), bits, budget, verify_bits)
+        found = _walk(known.filter("not large").drop("large"), bits, budget)
         edges = found if edges is None else edges.unionByName(found)
         if not sizes.filter("large").limit(1).count():
             return edges
@@ -122,10 +119,10 @@ def trie_links(patterns: DataFrame, bits: int, budget: int, *, verify_bits: int
         units = snapshot(_cut(hot, bits, min(STEP_BITS, left), budget))
 
 
-def _walk(units: DataFrame, bits: int, budget: int, verify_bits: int | None) -> DataFrame:
+def _walk(units: DataFrame, bits: int, budget: int) -> DataFrame:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_units(batches):
-            u, v = _unit_edges(part, bits, budget, verify_bits)
+            u, v = _unit_edges(part, bits, budget)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     ordered = units.repartition("unit").sortWithinPartitions("unit", "side", _unsigned("pattern"))
@@ -157,15 +154,11 @@ def whole_units(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterat
         yield pa.Table.from_batches(held)
 
 
-def _unit_edges(table: pa.Table, bits: int, budget: int, verify_bits: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _unit_edges(table: pa.Table, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     names = table.column("unit").to_numpy(zero_copy_only=False)
     side = table.column("side").to_numpy()
     ids = table.column("id").to_numpy()
     patterns = table.column("pattern").to_numpy().view(np.uint64)
-    words = None
-    if verify_bits is not None:
-        flat = table.column("words").combine_chunks().flatten().to_numpy().view(np.uint64)
-        words = flat.reshape(len(ids), -1)
     starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
     ends = np.r_[starts[1:], len(names)]
     # Rows of a unit are sorted by side: one node with itself, or side 1 with side 2.
@@ -175,9 +168,6 @@ def _unit_edges(table: pa.Table, bits: int, budget: int, verify_bits: int | None
     b0, b1 = np.where(pair, middle, starts), ends
     errors, depth = table.column("errors").to_numpy()[starts], table.column("depth").to_numpy()[starts]
     i, j = traverse(patterns, bits, budget, a0, a1, b0, b1, errors, depth)
-    if words is not None and len(i):
-        near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= verify_bits
-        i, j = i[near], j[near]
     return forest(ids, i, j)
 
 
