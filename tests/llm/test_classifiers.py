@@ -56,6 +56,16 @@ def test_disguises_are_restored():
     assert toxicity.tokens_of("a b") == ["a", "b"] and toxicity.tokens_of("") == []
 
 
+def test_disguised_edges_are_read_both_ways():
+    words = "mass shirt crap glass the and of park rap shir mas hello".split()
+    model = char_model.log_probabilities(np.bincount(char_model.trigrams(" ".join(words * 20)), minlength=char_model.SIZE**3))
+    read = toxicity.restored(model, ["ma$$", "shir+", "gla$$.", "(rap", "(rap)", "hello!", "hello!!", "$$", "(", "5$", "park+|"])
+    assert {"mass", "ma"} >= set(read["ma$$"]) >= {"mass"} and "shirt" in read["shir+"] and "glass" in read["gla$$."]
+    assert read["(rap"] == ["rap", "crap"] and read["(rap)"] == ["rap"]
+    assert read["hello!"] == read["hello!!"] == ["hello"] and read["park+|"][0] == "park"
+    assert read["$$"] == [""] and read["("] == [""] and read["5$"] == ["5"]
+
+
 def test_trigram_counts_equal_plain_ones(documents):
     texts = ["Ab cé", None, "", "ab\n\nab!", "x" * 3000]
     counts = char_model.count_trigrams(documents(*texts))
@@ -106,13 +116,13 @@ def test_held_out_accuracy(spark, query, label, divisor, rest):
 
 
 def test_odd_rows_and_labels(spark, documents):
-    docs = documents(*[f"fine idiot {k} here" if k % 3 == 0 else f"fine words {k} here" for k in range(60)], None, "", (None, "you 1d10t"), (3, "fine"), "i d i o t", "idiot " * 30_000)
+    docs = documents(*[f"fine idiot {k} here" if k % 3 == 0 else f"fine words {k} here" for k in range(60)], None, "", (None, "you 1d10t"), (3, "fine"), "i d i o t", "idiot " * 30_000, "y o u i d i o t", "i d i o t " * 3_000, "fine y o u i d i o t fine words " * 50, "h e r e w o r d s " * 40)
     labels = [(k, 1, int(k % 3 == 0)) for k in range(60)] + [(None, 1, 1), (5, 1, None), (6, 1, 7), (999, 0, 1), (9, 1, 1), (9, 1, 1)]
     given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(docs, given, F.lit(True))
     rows = toxicity.score_toxicity(docs, model).collect()
-    assert len(rows) == 66 and all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in rows if r.doc_id is not None and 5 < r.doc_id < 60)
-    assert [r.score >= 0.5 for r in rows if r.doc_id is None or r.doc_id in (60, 61, 64, 65)] == [False, False, True, True, True]
+    assert len(rows) == 70 and all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in rows if r.doc_id is not None and 5 < r.doc_id < 60)
+    assert [r.score >= 0.5 for r in rows if r.doc_id is None or r.doc_id in (60, 61, 64, 65, 66, 67, 68, 69)] == [False, False, True, True, True, True, True, True, False]
     assert labelled.labelled_texts(docs, given, "toxic", F.lit(True), sample_rows=7).select("doc_id").distinct().count() <= 7
     nothing = given.limit(0)
     for fit, score, unlearned in ((toxicity.fit_toxicity, toxicity.score_toxicity, 0.25), (quality.fit_quality, quality.score_quality, 0.5)):
@@ -120,6 +130,19 @@ def test_odd_rows_and_labels(spark, documents):
         assert score(documents(), fit(documents(), given, F.lit(True))).count() == 0
 
 
+def test_labels_bound_the_rows(spark, documents):
+    """Many documents of one id, ids with two labels, and ids of another type."""
+    docs = documents(*[(7, f"text {k}") for k in range(500)], (8, "eight"), (9, None), (None, "none"))
+    given = spark.createDataFrame([(7, 1), (7, 0), (7, 0), (8, 1), (9, 0), (10, 1), (None, 1)], "doc_id int, toxic int")
+    found = labelled.labelled_texts(docs, given, "toxic", F.lit(True)).collect()
+    assert sorted((r.doc_id, r.label) for r in found) == [(7, 0), (7, 0), (7, 1), (8, 1), (9, 0)]
+    assert {r.text for r in found if r.doc_id == 7} == {"text 0"}
+    assert labelled.labelled_texts(docs, given, "toxic", F.lit(True), sample_rows=2).count() == 2
+    narrow = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
+    model = quality.fit_quality(narrow, given.withColumnRenamed("toxic", "quality"), F.lit(True))
+    assert quality.score_quality(narrow, model).filter("score BETWEEN 0 AND 1").count() == 503
+
+
 def test_recent_results_are_bounded():
     recent = Recent(3)
     for group in ({"a", "b", "c", "d"}, {"a", "e"}, {"a", "b"}):

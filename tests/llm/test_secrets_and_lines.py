@@ -25,7 +25,7 @@ def plain_windows(string, window, least):
     spans = []
     for at in range(len(string) - window + 1):
         counts = Counter(string[at : at + window])
-        if -sum(c / window * math.log2(c / window) for c in counts.values()) >= least - 1e-9:
+        if -sum(c / window * math.log2(c / window) for c in counts.values()) >= least - 1e-9 and not re.search(secrets.PLACEHOLDER, string[at : at + window]):
             if spans and at <= spans[-1][1]:
                 spans[-1][1] = at + window
             else:
@@ -40,7 +40,7 @@ def plain_all(text):
         for m in re.finditer(pattern, text):
             for s, e in plain_windows(m[0], window, least):
                 part = m[0][s:e]
-                if re.search("[0-9]", part) and re.search("[A-Za-z]", part) and not re.search(secrets.ALLOWED, part) and not re.search(secrets.ALLOWED, m[0]):
+                if re.search("[0-9]", part) and re.search("[A-Za-z]", part) and not re.search(secrets.KNOWN_DIGEST, part) and not re.search(secrets.WHOLE_UUID, m[0]):
                     added.append((m.start() + s, rank, m.start() + e, kind))
     return sorted(base + [a for a in added if not any(b[0] <= a[0] and b[2] >= a[2] for b in base)])
 
@@ -80,6 +80,18 @@ def test_allowed_strings_are_not_added(documents):
     assert {k: len(found[k].secrets) for k in ids} == ids
 
 
+def test_a_placeholder_silences_what_it_is_part_of_alone(documents):
+    key = "q7Rk2vXz9LmB4tYw8NsD1fHg6JpC3"
+    given = [f"path/to/{key}", f"samples/data/{key}", f"{key}/dummy/{key[::-1]}", f"{key[:12]}EXAMPLE{key[12:24]}", "https_//h/" + "A" * 9 + f"/{key}", "x" * 8 + f"={key}"]
+    found = {r.doc_id: r.secrets for r in secrets.with_secrets(documents(*given)).collect()}
+    for k, text in enumerate(given):
+        assert [tuple(s) for s in found[k]] == plain_all(text)
+        covered = {at for s in found[k] for at in range(s.start, s.end)}
+        whole = [m.start() for part in (key, key[::-1]) for m in re.finditer(re.escape(part), text)]
+        assert all(sum(at in covered for at in range(start, start + len(key))) >= len(key) - 6 for start in whole), text
+        assert bool(covered) == bool(whole)
+
+
 def plain_kept(pages):
     lines = {p: [x for x in (" ".join(line.split(" ")).strip(" ") for line in (t or "").split("\n")) if x] for p, _, t in pages}
     lines = {p: [re.sub(" +", " ", x) for x in v] for p, v in lines.items()}

@@ -148,7 +148,7 @@ def _with_statistics(docs: DataFrame, extra: str, extra_type: str) -> DataFrame:
             found = [statistics(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", extra, "statistics"])
 
-    return docs.select("doc_id", "text", extra).mapInArrow(tasks, f"doc_id long, {extra} {extra_type}, statistics array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", extra).mapInArrow(tasks, f"doc_id long, {extra} {extra_type}, statistics array<double>")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, *, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> BoostedTrees:
@@ -174,4 +174,4 @@ def score_quality(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id",
             x = np.array([statistics(text.as_py()) for text in batch.column(1)], np.float64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.probability(x))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tasks, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tasks, "doc_id long, score double")

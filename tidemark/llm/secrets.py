@@ -29,12 +29,12 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_text")
 #: Character classes: kind, candidate pattern, window, least bits per character.
 CLASSES = (("entropy_hex", r"[0-9A-Fa-f]{20,}", 20, 3.0), ("entropy_text", r"[A-Za-z0-9+/_=-]{24,}", 24, 3.9))
 
-# Strings of high entropy that are no secrets (placeholders, runs, digests of the empty text, UUIDs).
-ALLOWED = (
-    r"(?i)example|placeholder|changeme|dummy|sample|your_|0123456789|abcdefghij|(.)\1{7}"
-    r"|d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb924"
-    r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-)
+# Marks of a made-up string; a window that holds one is no secret, those beside it may be.
+PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|sample|your_|0123456789|abcdefghij|(.)\1{7}"
+# Digests of the empty text, anywhere in a span.
+KNOWN_DIGEST = "d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb924"
+# A whole candidate string that is a UUID.
+WHOLE_UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 def _empty() -> Column:
@@ -73,7 +73,7 @@ def _cost(count: Column) -> Column:
 
 
 def entropy_spans(string: Column, window: int, least: float) -> Column:
-    """array<struct<start,end>>: the merged windows whose characters carry ``least`` bits each or more."""
+    """array<struct<start,end>>: the merged windows whose characters carry ``least`` bits each or more and hold no placeholder."""
     kind = "array<struct<start:int,end:int>>"
 
     def count(inside: Column, char: Column) -> Column:
@@ -91,7 +91,7 @@ def entropy_spans(string: Column, window: int, least: float) -> Column:
         left = F.when(full, _cost(leaving) - _cost(leaving - 1)).otherwise(F.lit(0.0))
         total = state["total"] - left + _cost(entering + 1) - _cost(entering)
         at = state["at"] + 1
-        hot = (at >= window) & (F.lit(math.log2(window)) - total / window >= least - 1e-9)
+        hot = (at >= window) & (F.lit(math.log2(window)) - total / window >= least - 1e-9) & ~F.concat(rest, char).rlike(PLACEHOLDER)
         joins = (state["to"] >= 0) & (at - window <= state["to"])
         return F.struct(
             F.concat(rest, char).alias("inside"),
@@ -135,7 +135,7 @@ def high_entropy(text: Column, kind: str, pattern: str, window: int, least: floa
     def inside(match: Column) -> Column:
         def wanted(span: Column) -> Column:
             string = F.substr(match["hit"], span["start"] + 1, span["end"] - span["start"])
-            return string.rlike("[0-9]") & string.rlike("[A-Za-z]") & ~string.rlike(ALLOWED) & ~match["hit"].rlike(ALLOWED)
+            return string.rlike("[0-9]") & string.rlike("[A-Za-z]") & ~string.rlike(KNOWN_DIGEST) & ~match["hit"].rlike(WHOLE_UUID)
 
         spans = F.filter(entropy_spans(match["hit"], window, least), wanted)
         return F.transform(spans, lambda s: _span(match["start"] + s["start"], match["start"] + s["end"], kind))

@@ -59,10 +59,29 @@ def tokens_of(text: str) -> list[str]:
     return low.split()
 
 
-def lattice(token: str) -> list[list[char_model.Candidate]] | str:
-    """The candidates of each position of a disguised token, or the plain word that another token holds."""
-    apart = token.startswith(JOINED)
-    core = token[1:] if apart else token.strip(EDGE).rstrip("!$+|")
+def cores(token: str) -> list[str]:
+    """The ways to read where a token's word begins and ends.
+
+    Marks at the edges are no letters, but some of them stand for letters elsewhere.
+    A word is read without them and, where they may be disguise, with them as well.
+    """
+    if token.startswith(JOINED):
+        return [token]
+    bare = token.strip(EDGE)
+    core = bare.rstrip("!$+|")
+    tail = bare[len(core) :]
+    opened = token[: len(token) - len(token.lstrip(EDGE))].endswith("(") and ")" not in token
+    # An exclamation mark at the end is one.
+    told = any(c in "$+|" for c in tail)
+    if not (opened or told) or not any(map(str.isalpha, core)):
+        return [core]
+    return [core, ("(" if opened else "") + core + tail]
+
+
+def lattice(core: str) -> list[list[char_model.Candidate]] | str:
+    """The candidates of each position of a disguised core, or the plain word that another one is."""
+    apart = core.startswith(JOINED)
+    core = core[1:] if apart else core
     if not apart and DOTTED.fullmatch(core):
         apart, core = True, core[::2]
     disguised = SUSPECT.search(core) is not None and any(map(str.isalpha, core))
@@ -94,15 +113,19 @@ def restored(model: np.ndarray, tokens: Iterable[str]) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
     pending, lattices = [], []
     for token in tokens:
-        read = lattice(token)
-        if isinstance(read, str):
-            found[token] = [read]
-        else:
-            pending.append(token)
-            lattices.append(read)
+        found[token] = []
+        for core in cores(token):
+            read = lattice(core)
+            if isinstance(read, str):
+                found[token].append(read)
+            else:
+                pending.append(token)
+                lattices.append(read)
     for token, read in zip(pending, char_model.viterbi(model, lattices), strict=True):
-        # Letters apart are also read as one word.
-        found[token] = [*read.split(), token[1:]] if token.startswith(JOINED) else read.split()
+        found[token] += read.split()
+        if token.startswith(JOINED):
+            # Letters apart are also read as one word.
+            found[token].append(token[1:])
     return found
 
 
