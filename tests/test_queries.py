@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -33,6 +35,19 @@ def test_query_equals_sql(spark, connection, name):
     assert problems == []
 
 
+@pytest.mark.parametrize("absent", ["public_tokenizers", "xxhash", "tidemark.llm", "corpus_pipeline"])
+def test_other_queries_stand_without_the_corpus_ones(absent):
+    """In a process of its own, in which one module can't be imported."""
+    code = f"""
+import sys
+sys.modules[{absent!r}] = None
+import __spark_entry__ as entry
+assert set(entry.ALL) <= set(entry.queries()) and set(entry.ALL) <= set(entry.oracle_sql())
+assert "pipeline" not in entry.queries()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry_point.__file__)))
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).columns == ["step", "step_order", "users"]
 
