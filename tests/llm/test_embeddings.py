@@ -50,6 +50,27 @@ def test_repeated_rows_and_empty_table(spark):
     assert embedding_dedup.near_vectors(empty, group=F.col("label")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_one_id_may_name_different_vectors(spark, kind):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [-0.0, 2.0], 0), (4, [0.0, 2.0], 0)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int"), group=F.col("label")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
+def test_signs_drop_no_pair_at_the_threshold():
+    """Pairs right at the threshold stay within the bound on differing signs; random pairs mostly do not."""
+    rng = np.random.default_rng(3)
+    bits, tables = embedding_dedup.plan_tables(100_000, 0.98)
+    planes = rng.standard_normal((64, bits * tables))
+    a, noise = rng.standard_normal((2, 3_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    limit = embedding_dedup.most_differing(bits * tables, 0.98)
+    differing = lambda x, y: ((x @ planes > 0) != (y @ planes > 0)).sum(axis=1)
+    assert (differing(a, b) <= limit).all() and (differing(a, rng.permutation(a)) <= limit).mean() < 0.01
+
+
 def test_planned_recall():
     for n in (2, 1000, 10**9):
         bits, tables = embedding_dedup.plan_tables(n, 0.98)

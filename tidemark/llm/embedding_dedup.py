@@ -1,4 +1,9 @@
-"""Near-duplicate vectors: random-hyperplane signs in several tables, exact cosines, connected components."""
+"""Near-duplicate vectors: random-hyperplane signs in several tables, exact cosines, connected components.
+
+Buckets are dealt out with the ids and the signs of their vectors alone. Signs tell
+how far apart two vectors can be, so most rows of a bucket have no partner; only
+those that have one are given their vectors, and compared exactly.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import ROW, with_row_key
 from tidemark.llm.components import components
 from tidemark.llm.trie_join import forest
 from tidemark.session import snapshot
@@ -30,8 +36,15 @@ def plan_tables(largest: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-(agree**bits)))
 
 
+def most_differing(signs: int, threshold: float) -> int:
+    """Signs that differ between two vectors at the threshold at most, but for a chance below 1e-14 (eight deviations)."""
+    share = math.acos(threshold) / math.pi
+    return math.ceil(signs * share + 8 * math.sqrt(signs * share * (1 - share)))
+
+
 def _signed(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     """``vectors`` with ``signs``: per table the signs of ``bits`` random projections as an integer."""
+    kind = vectors.schema["vector"].dataType.simpleString()
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -46,7 +59,40 @@ def _signed(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
                 signs.append((positive.reshape(tables, bits) @ weights).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.list_(pa.int32()))], names=["id", "vector", "family", "weight", "signs"])
 
-    return vectors.select("id", "vector", "family", "weight").mapInArrow(tasks, "id long, vector array<double>, family string, weight long, signs array<int>")
+    return vectors.select("id", "vector", "family", "weight").mapInArrow(tasks, f"id long, vector {kind}, family long, weight long, signs array<int>")
+
+
+def _candidates(units: DataFrame, bits: int, tables: int, threshold: float) -> DataFrame:
+    """The rows (``unit``, ``side``, ``place``, ``id``) of the units that have a partner there, as far as signs tell."""
+    limit = most_differing(bits * tables, threshold)
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches):
+            place = unit.column("place")[0].as_py()
+            side = unit.column("side").to_numpy()
+            signs = unit.column("signs").combine_chunks().flatten().to_numpy().reshape(unit.num_rows, -1)
+            middle = int(np.searchsorted(side, 2)) if side[-1] else 0
+            near = _near_signs(signs[:middle] if middle else signs, signs[middle:] if middle else signs, place, limit)
+            if not middle:
+                np.fill_diagonal(near, False)
+            wanted = np.r_[near.any(axis=1), near.any(axis=0)] if middle else near.any(axis=1)
+            if wanted.any():
+                yield from unit.select(["unit", "side", "place", "id"]).filter(pa.array(wanted)).to_batches()
+
+    ordered = units.repartition("unit").sortWithinPartitions("unit", "side")
+    return ordered.mapInArrow(tasks, "unit long, side int, place int, id long")
+
+
+def _near_signs(a: np.ndarray, b: np.ndarray, place: int, limit: int) -> np.ndarray:
+    """Which pairs differ in ``limit`` or fewer signs and share no bucket in a table before ``place``."""
+    near = np.zeros((len(a), len(b)), np.int32)
+    met = np.zeros(near.shape, bool)
+    for table in range(a.shape[1]):
+        differing = a[:, table, None] ^ b[None, :, table]
+        if table < place:
+            met |= differing == 0
+        near += np.bitwise_count(differing)
+    return (near <= limit) & ~met
 
 
 def _compare(units: DataFrame, threshold: float) -> DataFrame:
@@ -88,7 +134,7 @@ def _unit_links(unit: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarra
     ids, weight, side = (unit.column(c).to_numpy() for c in ("id", "weight", "side"))
     place = unit.column("place")[0].as_py()
     flat = unit.column("vector").combine_chunks().flatten().to_numpy()
-    vectors = flat.reshape(len(ids), -1)
+    vectors = flat.reshape(len(ids), -1).astype(np.float64)
     vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     if side[-1]:
         middle = int(np.searchsorted(side, 2))
@@ -114,51 +160,54 @@ def near_vectors(
     more, worked out in double precision. Vectors that are null, empty, zero or hold
     null or non-finite components, and rows whose group or id is null, link with
     nothing and are their own component (null for a null id); they are kept. Equal
-    vectors are compared once and count as often as they occur; repeated rows are
-    vectors of their own. Other columns are not read. An empty table gives an empty
-    result.
+    vectors (by a 128-bit digest) are compared once and count as often as they
+    occur; repeated rows are vectors of their own. Other columns are not read. An
+    empty table gives an empty result. ``vectors`` is a table (see ``with_row_key``).
 
     Pairs right at the threshold share a bucket with a probability of 1 - 1e-4 or
     more. A pair counts in the first table whose bucket it shares, so links are
     exact counts of the pairs found. Buckets are compared in blocks of bounded size.
     """
     group = F.lit("") if group is None else group.cast("string")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), group.alias("label"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = F.transform(F.col(vector_col).cast("array<float>" if single else "array<double>"), lambda x: x + F.lit(0.0).cast("float" if single else "double"))
+    rows = with_row_key(vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"), group.alias("label")))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    valid = rows.filter("sound").withColumn("family", F.concat_ws(":", F.size("vector").cast("string"), "label"))
-    classes = snapshot(valid.groupBy("family", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
+    digest = [F.when(F.col("sound"), F.xxhash64(*part)).alias(name) for name, part in (("d1", ("label", "vector")), ("d2", (F.lit(1), "vector", "label")))]
+    members = snapshot(rows.select(ROW, "vec_id", *digest))
+    classes = snapshot(members.filter("d1 is not null").groupBy("d1", "d2").agg(F.min(ROW).alias("id"), F.min("vec_id").alias("low"), F.count("*").alias("weight")))
 
-    largest = classes.groupBy("family").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    family = F.xxhash64(F.size("vector"), "label")
+    firsts = rows.join(classes.select(F.col("id").alias(ROW), "weight"), ROW).select(F.col(ROW).alias("id"), "vector", family.alias("family"), "weight")
+    largest = rows.filter("sound").groupBy(F.size("vector"), "label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     bits, tables = plan_tables(largest, threshold)
-    signed = snapshot(_signed(classes, bits, tables))
-    bucket = F.concat_ws("/", F.col("place").cast("string"), F.col("sign").cast("string"), "family")
-    sizes = signed.select("family", F.posexplode("signs").alias("place", "sign")).select(bucket.alias("bucket")).groupBy("bucket").count().filter("count > 1")
-    sizes = snapshot(sizes.withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")).select("bucket", "blocks"))
-    placed = signed.select("*", F.posexplode("signs").alias("place", "sign")).withColumn("bucket", bucket).join(sizes, "bucket")
-    own = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    signed = snapshot(_signed(firsts, bits, tables))
+    placed = signed.select("id", "signs", "family", F.posexplode("signs").alias("place", "sign")).select(
+        "id", "signs", "place", F.xxhash64("place", "sign", "family").alias("bucket")
+    )
+    large = snapshot(placed.groupBy("bucket").count().filter(F.col("count") > BLOCK_ROWS).select("bucket", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")))
+    own = placed.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = dealt.select(
-        F.concat_ws("|", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"), "bucket").alias("unit"),
+        F.xxhash64(F.least("own", "other"), F.greatest("own", "other"), "bucket").alias("unit"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
         "place",
         "id",
-        "weight",
-        "vector",
         "signs",
     )
-    found = snapshot(_compare(units, threshold))
+    wanted = snapshot(_candidates(units, bits, tables, threshold))
+    found = snapshot(_compare(wanted.join(signed.drop("family"), "id"), threshold))
     links = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("links"))
-    member_of = components(found.filter("v is not null").select("u", "v"))
-    known = classes.select("id", "weight").join(links, F.col("id") == F.col("u"), "left").drop("u").join(member_of, F.col("id") == F.col("node"), "left")
-    known = snapshot(known.select("id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-
-    repeated = snapshot(classes.filter("weight > 1").select("family", "vector", "id"))
-    family = F.when(F.col("sound"), F.concat_ws(":", F.size("vector").cast("string"), "label"))
-    joined = rows.withColumn("family", family).join(repeated, ["family", "vector"], "left")
-    members = joined.select("vec_id", F.when(F.col("sound"), F.coalesce("id", "vec_id")).alias("id"))
-    result = members.join(known, "id", "left").select(
+    linked = classes.join(components(found.filter("v is not null").select("u", "v")), F.col("id") == F.col("node"))
+    low = snapshot(linked.groupBy("component").agg(F.min("low").alias("component_id")))
+    named = snapshot(linked.select("id", "component").join(low, "component").select("id", "component_id"))
+    known = classes.join(links, F.col("id") == F.col("u"), "left").join(named, "id", "left")
+    n_links = (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    known = snapshot(known.select("d1", "d2", n_links, F.coalesce("component_id", "low").alias("component_id")))
+
+    result = members.join(known, ["d1", "d2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return result.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
