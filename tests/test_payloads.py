@@ -189,3 +189,30 @@ def test_each_text_is_parsed_once(spark):
     for normalize, field in ((payloads.normalize_stripe_invoices, "RLIKE(value"), (payloads.stripe_invoices_to_events, "RLIKE(value"), (payloads.normalize_google_spend, "value")):
         plan = normalize(raw(spark, BILL))._jdf.queryExecution().executedPlan().toString()
         assert len(re.findall(rf"parseJson\((CASE WHEN )?{re.escape(field)}", plan)) == 1, plan
+
+
+def test_reports_are_read_by_one_walk(spark):
+    """No field is looked up by itself behind the explode of the results, and an odd field costs no other."""
+    for normalize in (payloads.normalize_google_spend, payloads.normalize_google_campaigns):
+        plan = normalize(raw(spark, BILL))._jdf.queryExecution().executedPlan().toString()
+        assert "try_variant_get" not in plan.split("Generate explode")[0], plan
+    texts = {"id": 12, "name": {"a": [1, 2.50]}, "status": "", "startDate": "2020-05-01x", "endDate": False}
+    row = payloads.normalize_google_campaigns(raw(spark, {"results": [{"campaign": texts, "metrics": None}]})).first()
+    assert (row.campaign_id, row.name, row.status, row.start_date, row.end_date) == ("12", '{"a":[1,2.5]}', "", None, None)
+
+
+def test_report_batches_are_listed_behind_an_exchange_of_narrow_rows(spark, tmp_path):
+    """A split of the scan sorts no lists, whatever its size; lines of one order are one batch, also without a key."""
+    from datetime import datetime
+
+    from tidemark.plans import tables
+
+    lines = [(k, n, 7, 9, 2.0, 10.25, "A", datetime(2020, 1, n)) for k, n in ((1, 1), (1, 2), (1, 2), (2, 3), (None, 1), (None, 4))]
+    names = "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame(lines, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    batches = tables._google_batches(spark, str(tmp_path))
+    plan = batches._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning")
+    assert len(below) == 2 and "collect_list" not in below[1] and "REPARTITION_BY_NUM" in below[1], plan
+    assert sorted(len(json.loads(r.value)[0]["results"]) for r in batches.collect()) == [1, 2, 3]
+    assert payloads.normalize_google_spend(batches).count() == 6

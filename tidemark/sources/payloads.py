@@ -251,18 +251,21 @@ def normalize_meta_spend(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     )
 
 
-def _google_results(raw: DataFrame, column: str) -> DataFrame:
-    """The results of report batches as variant ``v``, whatever their kind; a single batch counts as a list of one.
+def _google_results(raw: DataFrame, column: str, kind: str) -> DataFrame:
+    """The results of report batches as ``r`` of the given type; a single batch counts as a list of one.
 
-    A text that is no strict JSON gives those of its results that are.
+    What does not fit the type is null, by itself: an unfit field costs neither its
+    result nor its neighbours. One walk through a parsed text takes all fields. A
+    text that is no strict JSON gives those of its results that are.
     """
     parsed = raw.select(F.col(column).alias("_value"), F.explode_outer(F.array(F.try_parse_json(column))).alias("b"))
-    none = F.array().cast("array<variant>")
-    batches = F.coalesce(F.try_variant_get("b", "$", "array<variant>"), F.array("b"))
-    results = F.flatten(F.transform(batches, lambda batch: F.coalesce(F.try_variant_get(batch, "$.results", "array<variant>"), none)))
+    batch = f"struct<results:array<{kind}>>"
+    batches = F.coalesce(F.try_variant_get("b", "$", f"array<{batch}>"), F.array(F.try_variant_get("b", "$", batch)))
+    # A batch without results adds none; a list with a null list in it would flatten to null.
+    results = F.flatten(F.filter(batches["results"], lambda listed: listed.isNotNull()))
     texts = F.flatten(F.from_json("_value", "array<struct<results:array<string>>>")["results"])
-    lenient = F.transform(F.filter(texts, lambda text: text.isNotNull()), F.try_parse_json)
-    return parsed.select("_value", F.explode_outer(F.when(F.col("b").isNotNull(), results).otherwise(lenient)).alias("v"))
+    lenient = F.transform(F.filter(texts, lambda text: text.isNotNull()), lambda text: F.try_variant_get(F.try_parse_json(text), "$", kind))
+    return parsed.select("_value", F.explode_outer(F.when(F.col("b").isNotNull(), results).otherwise(lenient)).alias("r"))
 
 
 def _is_object(variant: str) -> Column:
@@ -271,37 +274,45 @@ def _is_object(variant: str) -> Column:
 
 def rejected_google_results(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """What the normalizers of ad reports skip: texts without any result, and results that are no object."""
-    read = _google_results(raw, column).filter(~_is_object("v"))
-    return read.select(F.coalesce(F.to_json("v"), F.col("_value")).alias(PAYLOAD))
+    read = _google_results(raw, column, "variant").filter(~_is_object("r"))
+    return read.select(F.coalesce(F.to_json("r"), F.col("_value")).alias(PAYLOAD))
+
+
+def _google_fields(raw: DataFrame, column: str, **parts: str) -> DataFrame:
+    """The named fields of each part of the results as text in structs by part; results that are no object are dropped."""
+    fields = {part: ", ".join(f"`{name}`: string" for name in names.split()) for part, names in parts.items()}
+    kind = ", ".join(f"`{part}`: struct<{names}>" for part, names in fields.items())
+    return _google_results(raw, column, f"struct<{kind}>").filter("r IS NOT NULL").select("r.*")
 
 
 def normalize_google_campaigns(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Campaigns of the second ads platform."""
-    return _google_results(raw, column).filter(_is_object("v")).select(
-        _text_at("campaign.id").alias("campaign_id"),
-        _text_at("campaign.name").alias("name"),
+    return _google_fields(raw, column, campaign="id name advertisingChannelType advertisingChannelSubType status startDate endDate").select(
+        _text("campaign.id").alias("campaign_id"),
+        _text("campaign.name").alias("name"),
         F.lit("google_ads").alias("channel"),
-        _text_at("campaign.advertisingChannelType").alias("campaign_type"),
-        _text_at("campaign.advertisingChannelSubType").alias("campaign_sub_type"),
-        _text_at("campaign.status").alias("status"),
-        _at("campaign.startDate").try_cast("date").alias("start_date"),
-        _at("campaign.endDate").try_cast("date").alias("end_date"),
+        _text("campaign.advertisingChannelType").alias("campaign_type"),
+        _text("campaign.advertisingChannelSubType").alias("campaign_sub_type"),
+        _text("campaign.status").alias("status"),
+        F.col("campaign.startDate").try_cast("date").alias("start_date"),
+        F.col("campaign.endDate").try_cast("date").alias("end_date"),
         F.lit("google_ads").alias("source_system"),
     )
 
 
 def normalize_google_spend(raw: DataFrame, column: str = PAYLOAD) -> DataFrame:
     """Daily campaign performance as spend rows; costs come in millionths."""
-    cost = F.coalesce(_at("metrics.costMicros").try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-    return _google_results(raw, column).filter(_is_object("v")).select(
-        _at("segments.date").try_cast("date").alias("date"),
+    fields = {"campaign": "id name", "segments": "date", "metrics": "costMicros impressions clicks conversions"}
+    cost = F.coalesce(F.col("metrics.costMicros").try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    return _google_fields(raw, column, **fields).select(
+        F.col("segments.date").try_cast("date").alias("date"),
         F.lit("google_ads").alias("channel"),
-        _text_at("campaign.id").alias("campaign_id"),
-        _text_at("campaign.name").alias("campaign"),
+        _text("campaign.id").alias("campaign_id"),
+        _text("campaign.name").alias("campaign"),
         F.round(cost / 1_000_000, 2).cast("decimal(20,2)").alias("spend"),
-        _whole(_at("metrics.impressions")).alias("impressions"),
-        _whole(_at("metrics.clicks")).alias("clicks"),
-        _number(_at("metrics.conversions")).cast("double").alias("conversions"),
+        _whole("metrics.impressions").alias("impressions"),
+        _whole("metrics.clicks").alias("clicks"),
+        _number("metrics.conversions").cast("double").alias("conversions"),
         F.lit("google_ads").alias("source_system"),
     )
 
