@@ -60,6 +60,36 @@ def test_texts_of_all_lengths_carry_their_state():
     assert len(gru.score_texts(shape, p, [])) == 0
 
 
+def test_states_in_columns_advance_as_in_rows():
+    shape, flat = small()
+    p, n, words = shape.split(flat), shape.width, np.array([4, 9, 0, 7, 4])
+    h = np.random.default_rng(4).uniform(-1, 1, (5, n))
+    parts = [np.empty((k * n, 5)) for k in (2, 1, 1, 1)]
+    gru._advance(p["embed"][words].T, h.T, p["recur"].T, *parts)
+    state, update, reset, new, inner_new = gru.step(p, words, h)
+    for got, expected in zip(parts, (np.hstack([update, reset]), inner_new, new, state), strict=True):
+        assert got.T == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("size", [1.0, 300.0, 30_000.0])
+def test_softmax_of_small_and_of_huge_weights(size):
+    """Only weights that could overflow have their maximum taken off; both ways give the same gradient and likelihood."""
+    rng = np.random.default_rng(6)
+    s, weight, bias = rng.uniform(-1, 1, (50, 3)), rng.normal(0, size, (3, 7)), rng.normal(0, size, 7)
+    place = rng.integers(0, 7, 50)
+    loss, gradient = gru._softmax_gradient(s.astype(np.float32), place, weight.astype(np.float32), bias.astype(np.float32))
+    scores = s @ weight + bias
+    logs = scores - scores.max(axis=1)[:, None]
+    logs -= np.log(np.exp(logs).sum(axis=1))[:, None]
+    expected = np.exp(logs)
+    expected[np.arange(50), place] -= 1
+    assert loss == pytest.approx(-logs[np.arange(50), place].sum(), rel=1e-3)
+    assert gradient == pytest.approx(expected, abs=1e-2)
+    shape = gru.Shape(np.array([0, 7]), 3)
+    p = {"class_w": np.zeros((3, 1)), "class_b": np.zeros(1), "word_w": weight, "word_b": bias}
+    assert gru.log_probability(shape, p, s, place, shape.class_of()) == pytest.approx(logs[np.arange(50), place])
+
+
 def test_training_lowers_the_loss():
     shape = gru.Shape(np.array([0, 1, 3, 6]), 8)
     texts = [np.array([1, 2, 3, 4, 5] * 8 + [0]) for _ in range(60)]

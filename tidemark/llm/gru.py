@@ -83,11 +83,40 @@ def step(p: dict[str, np.ndarray], words: np.ndarray, h: np.ndarray) -> tuple[np
     return new + update * (h - new), update, reset, new, inner[:, 2 * n :]
 
 
-def _normalized(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(scores) by row up to a factor, in place, and its logarithmic sum with the row's maximum left in."""
-    top = scores.max(axis=1)
-    raw = np.exp(np.subtract(scores, top[:, None], out=scores), out=scores)
-    total = raw.sum(axis=1)
+def _advance(x: np.ndarray, before: np.ndarray, recur: np.ndarray, gates: np.ndarray, inner_new: np.ndarray, new: np.ndarray, state: np.ndarray) -> None:
+    """``step`` for states in columns, into the given arrays: units lie behind each other, so that every part is contiguous."""
+    n = len(before)
+    inner = recur @ before
+    np.add(x[: 2 * n], inner[: 2 * n], out=gates)
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    inner_new[:] = inner[2 * n :]
+    np.multiply(gates[n:], inner_new, out=new)
+    new += x[2 * n :]
+    np.tanh(new, out=new)
+    np.subtract(before, new, out=state)
+    state *= gates[:n]
+    state += new
+
+
+#: Scores that can be nowhere beyond this are exponentiated as they are.
+SAFE_SCORE = 60.0
+
+
+def _normalized(scores: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(scores) by row up to a factor, in place, and the logarithm of its sum without that factor.
+
+    ``scores`` are states @ weight + bias. No state is beyond 1, so the sizes of
+    weights and biases bound them; only where they could be large is each row's
+    maximum taken off.
+    """
+    top = 0.0
+    if not float((np.abs(weight).sum(axis=0) + np.abs(bias)).max()) < SAFE_SCORE:
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+    total = np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype)
     return total, top + np.log(total)
 
 
@@ -105,12 +134,13 @@ def log_probability(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray,
     scores = states @ p["class_w"]
     scores += p["class_b"]
     out = scores[np.arange(len(targets)), classes]
-    out -= _normalized(scores)[1]
+    out -= _normalized(scores, p["class_w"], p["class_b"])[1]
     for rows, a, b in _by_class(shape, classes):
-        scores = states[rows] @ p["word_w"][:, a:b]
-        scores += p["word_b"][a:b]
+        weight, bias = p["word_w"][:, a:b], p["word_b"][a:b]
+        scores = states[rows] @ weight
+        scores += bias
         chosen = scores[np.arange(len(rows)), targets[rows] - a]
-        out[rows] += chosen - _normalized(scores)[1]
+        out[rows] += chosen - _normalized(scores, weight, bias)[1]
     return out
 
 
@@ -120,12 +150,17 @@ def _softmax_gradient(s: np.ndarray, place: np.ndarray, weight: np.ndarray, bias
     scores += bias
     at = np.arange(len(place))
     chosen = scores[at, place]
-    total, logs = _normalized(scores)
+    total, logs = _normalized(scores, weight, bias)
     scores /= total[:, None]
     scores[at, place] -= 1
     return float((logs - chosen).sum()), scores
 
 
+def _columns(blocks: np.ndarray) -> np.ndarray:
+    """Each block with rows and columns exchanged."""
+    return np.ascontiguousarray(blocks.transpose(0, 2, 1))
+
+
 def window_gradient(
     shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, class_of: np.ndarray
 ) -> tuple[np.ndarray, float, np.ndarray]:
@@ -139,67 +174,59 @@ def window_gradient(
     n = shape.width
     flat = np.zeros(shape.size(), np.float32)
     g = shape.split(flat)
-    before, states = np.empty((steps, rows, n), np.float32), np.empty((steps, rows, n), np.float32)
-    gates, new, inner_new = np.empty((steps, rows, 2 * n), np.float32), np.empty((steps, rows, n), np.float32), np.empty((steps, rows, n), np.float32)
-    going = (inputs != shape.words)[:, :, None].astype(np.float32)
-    x = p["embed"][inputs]
+    before, states = np.empty((steps, n, rows), np.float32), np.empty((steps, n, rows), np.float32)
+    gates, new, inner_new = np.empty((steps, 2 * n, rows), np.float32), np.empty((steps, n, rows), np.float32), np.empty((steps, n, rows), np.float32)
+    going = (inputs != shape.words)[:, None].astype(np.float32)
+    x = _columns(p["embed"][inputs])
+    recur = np.ascontiguousarray(p["recur"].T)
+    h = h.T
     for t in range(steps):
         np.multiply(h, going[t], out=before[t])
-        inner = before[t] @ p["recur"]
-        z = gates[t]
-        np.add(x[t, :, : 2 * n], inner[:, : 2 * n], out=z)
-        z *= 0.5
-        np.tanh(z, out=z)
-        z *= 0.5
-        z += 0.5
-        inner_new[t] = inner[:, 2 * n :]
-        np.multiply(z[:, n:], inner_new[t], out=new[t])
-        new[t] += x[t, :, 2 * n :]
-        np.tanh(new[t], out=new[t])
         h = states[t]
-        np.subtract(before[t], new[t], out=h)
-        h *= z[:, :n]
-        h += new[t]
+        _advance(x[t], before[t], recur, gates[t], inner_new[t], new[t], h)
     counted = np.flatnonzero(targets.ravel() != shape.words)
-    s, y = states.reshape(-1, n)[counted], targets.ravel()[counted]
+    # Targets of a class lie together, so that its rows are a slice.
+    counted = counted[np.argsort(class_of[targets.ravel()[counted]].astype(np.uint16), kind="stable")]
+    s, y = _columns(states).reshape(-1, n)[counted], targets.ravel()[counted]
     classes = class_of[y]
     loss, d = _softmax_gradient(s, classes, p["class_w"], p["class_b"])
-    g["class_w"][:], g["class_b"][:] = s.T @ d, d.sum(axis=0)
+    ones = np.ones(len(y), d.dtype)
+    g["class_w"][:], g["class_b"][:] = s.T @ d, ones @ d
     ds = d @ p["class_w"].T
-    for k, a, b in _by_class(shape, classes):
-        of_class = s[k]
-        more, d = _softmax_gradient(of_class, y[k] - a, p["word_w"][:, a:b], p["word_b"][a:b])
+    ends = np.searchsorted(classes, np.arange(shape.classes + 1))
+    for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(shape.first) > 1)):
+        k, a, b = slice(ends[c], ends[c + 1]), shape.first[c], shape.first[c + 1]
+        more, d = _softmax_gradient(s[k], y[k] - a, p["word_w"][:, a:b], p["word_b"][a:b])
         loss += more
-        g["word_w"][:, a:b], g["word_b"][a:b] = of_class.T @ d, d.sum(axis=0)
+        g["word_w"][:, a:b], g["word_b"][a:b] = s[k].T @ d, ones[k] @ d
         ds[k] += d @ p["word_w"][:, a:b].T
     spread = np.zeros((steps * rows, n), np.float32)
     spread[counted] = ds
-    ds = spread.reshape(steps, rows, n)
+    ds = _columns(spread.reshape(steps, rows, n))
     # What does not depend on the gradient of the next step, for all steps at once.
-    update, reset = gates[:, :, :n], gates[:, :, n:]
+    update, reset = gates[:, :n], gates[:, n:]
     slope_new = (1 - update) * (1 - new * new)
     slope_update = (before - new) * update * (1 - update)
     slope_reset = inner_new * reset * (1 - reset)
-    dh = np.zeros((rows, n), np.float32)
-    dx, d_inner = np.empty((steps, rows, 3 * n), np.float32), np.empty((steps, rows, 3 * n), np.float32)
-    back = np.ascontiguousarray(p["recur"].T)
+    dh = np.zeros((n, rows), np.float32)
+    dx, d_inner = np.empty((steps, 3 * n, rows), np.float32), np.empty((steps, 3 * n, rows), np.float32)
     for t in range(steps - 1, -1, -1):
         dh += ds[t]
-        d_new = dh * slope_new[t]
-        np.multiply(dh, slope_update[t], out=dx[t, :, :n])
-        np.multiply(d_new, slope_reset[t], out=dx[t, :, n : 2 * n])
-        dx[t, :, 2 * n :] = d_new
-        d_inner[t, :, : 2 * n] = dx[t, :, : 2 * n]
-        np.multiply(d_new, reset[t], out=d_inner[t, :, 2 * n :])
-        dh = dh * update[t]
-        dh += d_inner[t] @ back
+        d_new = dx[t, 2 * n :]
+        np.multiply(dh, slope_new[t], out=d_new)
+        np.multiply(dh, slope_update[t], out=dx[t, :n])
+        np.multiply(d_new, slope_reset[t], out=dx[t, n : 2 * n])
+        d_inner[t, : 2 * n] = dx[t, : 2 * n]
+        np.multiply(d_new, reset[t], out=d_inner[t, 2 * n :])
+        dh *= update[t]
+        dh += p["recur"] @ d_inner[t]
         dh *= going[t]
-    g["recur"][:] = before.reshape(-1, n).T @ d_inner.reshape(-1, 3 * n)
+    g["recur"][:] = (before @ d_inner.transpose(0, 2, 1)).sum(axis=0)
     order = np.argsort(inputs.ravel().astype(np.uint16) if shape.words < 2**16 else inputs.ravel(), kind="stable")
     words = inputs.ravel()[order]
     cuts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-    g["embed"][words[cuts]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], cuts, axis=0)
-    return flat, loss, states[-1]
+    g["embed"][words[cuts]] = np.add.reduceat(_columns(dx).reshape(-1, 3 * n)[order], cuts, axis=0)
+    return flat, loss, states[-1].T
 
 
 def lanes_of(shape: Shape, texts: list[np.ndarray], lanes: int) -> np.ndarray:
@@ -280,15 +307,19 @@ def score_texts(shape: Shape, p: dict[str, np.ndarray], texts: list[np.ndarray])
     start = np.cumsum(lengths) - lengths
     running = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left").tolist()
     class_of = shape.class_of()
-    h = np.zeros((len(texts), shape.width), np.float32)
+    width = shape.width
+    recur = np.ascontiguousarray(p["recur"].T)
+    h = np.zeros((width, len(texts)), np.float32)
     word = np.full(len(texts), shape.words)
     scores = np.zeros(len(texts))
     states, targets, rows, held = [], [], [], 0
     for t, n in enumerate(running):
-        h, word = h[:n], word[:n]
-        h = step(p, word, h)[0]
+        before = np.ascontiguousarray(h[:, :n])
+        parts = np.empty((5 * width, n), np.float32)
+        gates, inner_new, new, h = parts[: 2 * width], parts[2 * width : 3 * width], parts[3 * width : 4 * width], parts[4 * width :]
+        _advance(np.ascontiguousarray(p["embed"][word[:n]].T), before, recur, gates, inner_new, new, h)
         word = stream[start[:n] + t]
-        states.append(h)
+        states.append(h.T)
         targets.append(word)
         rows.append(n)
         held += n

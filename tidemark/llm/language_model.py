@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +162,8 @@ def number_words(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             rows = []
             for text in batch.column(3):
                 words = words_of(text.as_py())
-                numbers = np.array([*[get(w, -1) for w in words], end], np.int64)
+                numbers = np.full(len(words) + 1, end, np.int64)
+                numbers[:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 symbols, other = symbol[numbers], np.flatnonzero(numbers < 0)
                 rare = [words[k] for k in other.tolist()]
                 if rare:
