@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 
 from tidemark.llm import spelling
+from tidemark.session import snapshot
 
 ASCII_LOWER = str.maketrans(spelling.UPPER, spelling.LOWER)
 
@@ -84,6 +85,21 @@ def test_chains_end_at_their_root(spark):
     assert rows[words[0]].form == words[1] and rows[words[-1]].form is None
 
 
+def test_tables_of_words_are_not_broadcast(spark, documents, monkeypatch):
+    plans = []
+
+    def kept(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return snapshot(frame)
+
+    monkeypatch.setattr(spelling, "snapshot", kept)
+    rows = [(i, "colour color colours colors theatre theater") for i in range(3)] + [(i, "colors theatre") for i in range(3, 9)]
+    found = spelling.spelling_variants(documents(*rows))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in found.collect()} == plain_groups(plain_words(rows))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_near_words_share_a_signature():
     rng = random.Random(7)
     for _ in range(400):

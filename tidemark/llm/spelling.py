@@ -9,6 +9,10 @@ words share at least one. Near words also have the first or the last half of the
 shorter one in common, since one edit lies in one half: each signature is taken
 once with either half, which keeps the groups of equal signatures small. Equal
 signatures are joined and the pairs verified in the same step.
+
+All joins are of tables that grow with the vocabulary, and ask for a merge. Spark
+sizes such tables by their compressed files, and signed words as one row a word, so
+one that it takes for small enough to broadcast can outgrow the driver.
 """
 
 from __future__ import annotations
@@ -116,7 +120,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(``a``, ``b``), ``a`` < ``b``: all pairs of the distinct ``word``s that differ by one inserted, deleted or replaced code point."""
     signed = _signed(words)
     left, right = signed.withColumnRenamed("word", "a"), signed.withColumnRenamed("word", "b")
-    candidates = left.join(right, ["signature", "kind"]).filter("a < b")
+    candidates = left.join(right.hint("merge"), ["signature", "kind"]).filter("a < b")
     apart = F.abs(F.length("a") - F.length("b"))
     fitting = candidates.filter(apart == F.when(F.col("kind") == 1, 1).otherwise(0))
     return fitting.filter(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
@@ -131,7 +135,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     current = snapshot(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")))
     while not current.filter("moved").isEmpty():
         further = current.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        joined = current.join(further, "root", "left")
+        joined = current.join(further.hint("merge"), "root", "left")
         current = snapshot(joined.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
     return current.select("word", "root")
 
@@ -148,10 +152,10 @@ def variant_groups(counts: DataFrame) -> DataFrame:
     words = counts.select("word", "n")
     pairs = snapshot(near_pairs(words))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    known = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("near_n")), "b")
+    known = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("near_n")).hint("merge"), "b")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("b").alias("form")))
     nearest = known.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), best.alias("best"))
-    joined = words.join(nearest, "word", "left")
+    joined = words.join(nearest.hint("merge"), "word", "left")
     chosen = F.col("best.less") <= -2 * F.col("n")
     found = snapshot(
         joined.select(
@@ -163,7 +167,7 @@ def variant_groups(counts: DataFrame) -> DataFrame:
         )
     )
     roots = _roots(found.filter("form IS NOT NULL"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
